@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricmart.llm import jaccard, langid, packing
+from metricmart.llm import chat, jaccard, langid, packing
 from metricmart.llm.folds import held_out
 
 
@@ -15,6 +15,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    extra = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(tricky).alias("text")) for k, role in enumerate(("user", "assistant"))])).alias("x")).select("x.*")
+    messages = said.unionByName(extra).select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts"))
+    return chat.digest(chat.format_chats(messages))
+
+
+def _sql_escaped(x: str) -> str:
+    out = f"replace(coalesce({x}, ''), '\\', '\\\\')"
+    for c in chat.CONTROLS:
+        out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
+    return out
+
+
+OP1_SQL = f"""
+with said as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+ordered as (select *, {_sql_escaped("role")} as r, {_sql_escaped("text")} as t from said)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, t)) as turns_sha256,
+  cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, t) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(sum(length(r) + length(t) + {len(chat.START + chat.SEP + chat.END)}) as bigint) as formatted_chars
+from ordered group by conv_id
+"""
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"))
 
@@ -30,5 +59,5 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_best_fit_packing, op3_language_id, op9_jaccard_join)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_best_fit_packing, op3_language_id, op9_jaccard_join)}
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL}
