@@ -24,12 +24,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from metricmart.llm import kernel
 from metricmart.llm.components import components
-from metricmart.llm.kernel import stored
+from metricmart.llm.kernel import dropped, stored
 
 SHINGLE = 5
 #: Similarity as a fraction of whole numbers.
@@ -65,12 +65,14 @@ def _digests(grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: id, size and digest of each row; kind 1: shingles of several rows of a batch, with their counts."""
+    """kind 0: id, size, digest and bitmap of each row; kind 1: shingles of several rows of a batch, with their counts."""
+    names = ["kind", "id", "n", "digest", "bitmap"]
     for batch in batches:
         all_grams = []
         for row, grams, offsets in shingle_sets(batch.column(1)):
             n = len(offsets) - 1
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), batch.column(0).slice(row, n), pa.array(np.diff(offsets)), pa.array(_digests(grams, offsets))], names=["kind", "id", "n", "digest"])
+            maps = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * (BITS // 64), pa.int32()), pa.array(bitmaps(grams, offsets).ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), batch.column(0).slice(row, n), pa.array(np.diff(offsets)), pa.array(_digests(grams, offsets)), maps], names=names)
             all_grams.append(grams)
         if all_grams:
             g = np.sort(np.concatenate(all_grams))
@@ -78,7 +80,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             count = np.diff(np.append(first, len(g)))
             many = count >= 4
             n = int(many.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int8)), pa.array(g[first[many]].view(np.int64)), pa.array(count[many]), pa.array(np.zeros(n, np.int64))], names=["kind", "id", "n", "digest"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int8)), pa.array(g[first[many]].view(np.int64)), pa.array(count[many]), pa.array(np.zeros(n, np.int64)), pa.nulls(n, pa.list_(pa.int64()))], names=names)
 
 
 def _prefixes(frequent: np.ndarray, counts: np.ndarray, num: int, den: int):
@@ -102,10 +104,10 @@ def _prefixes(frequent: np.ndarray, counts: np.ndarray, num: int, den: int):
                     at = np.minimum(np.searchsorted(frequent, grams[maybe]), len(frequent) - 1)
                     count[maybe] = np.where(frequent[at] == grams[maybe], counts[at], 0)
                     changed = np.lexsort((grams, count, of))
-                    grams = grams[changed]
+                    grams, count = grams[changed], count[changed]
                 rank = np.arange(len(grams)) - offsets[:-1][of]
                 keep = (rank < (n - (num * n + den - 1) // den + 1)[of]) & fresh[of]
-                yield pa.RecordBatch.from_arrays([pa.array(grams[keep].view(np.int64)), pa.array(digest[of[keep]])], names=["token", "digest"])
+                yield pa.RecordBatch.from_arrays([pa.array(grams[keep].view(np.int64)), pa.array(digest[of[keep]]), pa.array(count[keep] > 0)], names=["token", "digest", "frequent"])
 
     return emit
 
@@ -113,9 +115,7 @@ def _prefixes(frequent: np.ndarray, counts: np.ndarray, num: int, den: int):
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, grams, offsets in shingle_sets(batch.column(1)):
-            n = len(offsets) - 1
-            bitmap = bitmaps(grams, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array(np.diff(offsets)), pa.array([b.tobytes() for b in bitmap], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(grams.view(np.int64)))], names=["digest", "n", "bitmap", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(offsets) - 1), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(grams.view(np.int64)))], names=["digest", "grams"])
 
 
 def bitmaps(grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -192,82 +192,100 @@ def tree_pairs(a: SignatureTree, b: SignatureTree, num: int = NUM, den: int = DE
         stack += parts
 
 
-def _block_pairs(num: int, den: int):
+def _bucket_pairs(num: int, den: int):
+    """Walks the trees of all groups (token, i, j) of a bucket."""
+
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        maps = np.frombuffer(b"".join(pdf["bitmap"]), np.uint64).reshape(len(pdf), -1)
-        size, comp, digest = pdf["n"].to_numpy(), pdf["component"].to_numpy(), pdf["digest"].to_numpy()
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        if i == j:
-            a = b = SignatureTree(size, maps, comp)
-            at = bt = np.arange(len(pdf))
-        else:
-            side = pdf["block"].to_numpy()
-            at, bt = np.flatnonzero(side == i), np.flatnonzero(side == j)
-            a, b = SignatureTree(size[at], maps[at], comp[at]), SignatureTree(size[bt], maps[bt], comp[bt])
-        found = [(at[p], bt[q]) for p, q in tree_pairs(a, b, num, den)]
-        p, q = np.array(found, np.int64).reshape(-1, 2).T
-        return pd.DataFrame({"a": np.minimum(digest[p], digest[q]), "b": np.maximum(digest[p], digest[q])})
+        pdf = pdf.sort_values(["token", "i", "j"], kind="stable", ignore_index=True)
+        maps = np.array(pdf["bitmap"].tolist(), np.int64).view(np.uint64).reshape(len(pdf), -1)
+        size, comp, digest, side = (pdf[c].to_numpy() for c in ("n", "component", "digest", "block"))
+        key = pdf[["token", "i", "j"]].to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
+        ends = np.append(first[1:], len(pdf))
+        # two rows: their trees are one node each
+        two = first[(ends - first == 2) & (key[first, 1] == key[first, 2])]
+        two = two[comp[two] != comp[two + 1]]
+        top = np.minimum(size[two] - np.bitwise_count(maps[two] & ~maps[two + 1]).sum(1), size[two + 1] - np.bitwise_count(maps[two + 1] & ~maps[two]).sum(1))
+        two = two[_reach(top, size[two], size[two + 1], num, den)]
+        found = [np.stack([two, two + 1], 1)]
+        for lo, hi in zip(first.tolist(), ends.tolist()):
+            i, j = key[lo, 1], key[lo, 2]
+            if i == j:
+                if hi - lo > 2:
+                    a = SignatureTree(size[lo:hi], maps[lo:hi], comp[lo:hi])
+                    found.append(lo + np.array(list(tree_pairs(a, a, num, den)), np.int64).reshape(-1, 2))
+            else:
+                at, bt = lo + np.flatnonzero(side[lo:hi] == i), lo + np.flatnonzero(side[lo:hi] == j)
+                a, b = SignatureTree(size[at], maps[at], comp[at]), SignatureTree(size[bt], maps[bt], comp[bt])
+                pairs = np.array(list(tree_pairs(a, b, num, den)), np.int64).reshape(-1, 2)
+                found.append(np.stack([at[pairs[:, 0]], bt[pairs[:, 1]]], 1))
+        p, q = np.concatenate(found).T
+        return pd.DataFrame({"a": np.minimum(digest[p], digest[q]), "b": np.maximum(digest[p], digest[q])}).drop_duplicates()
 
     return walk
 
 
-def _holding(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of digests whose sets reach the similarity."""
-    both = pairs.join(sets.select(F.col("digest").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("digest").alias("b"), F.col("grams").alias("gb")), "b")
+def _possible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of digests whose sizes and bitmaps allow the similarity."""
+    side = lambda c: classes.select(F.col("digest").alias(c), F.col("n").alias(f"n{c}"), F.col("bitmap").alias(f"m{c}"))
+    alone = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, v: s + v)
+    top = F.least(F.col("na") - alone("ma", "mb"), F.col("nb") - alone("mb", "ma"))
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(den * F.least("na", "nb") >= num * F.greatest("na", "nb"))
+    return sized.where(den * top >= num * (F.col("na") + F.col("nb") - top)).select("a", "b")
+
+
+def _holding(pairs: DataFrame, texts: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of digests whose sets, made again from one text of each, reach the similarity."""
+    pairs = stored(pairs.distinct())
+    wanted = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
+    wanted = stored(classes.join(wanted, "digest", "left_semi").select("digest", "first_id"))
+    sets = stored(texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id"))).select("digest", "text").mapInArrow(_set_rows, "digest long, grams array<long>").dropDuplicates(["digest"]))
+    both = pairs.join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b")
     overlap = F.size(F.array_intersect("ga", "gb"))
-    return both.where(den * overlap >= num * (F.size("ga") + F.size("gb") - overlap)).select("a", "b")
+    return stored(both.where(den * overlap >= num * (F.size("ga") + F.size("gb") - overlap)).select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den: int = DEN, frequent_kept: int = 200_000, stars: int = 2, block: int = 2048) -> DataFrame:
+def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN, frequent_kept: int = 200_000, stars: int = 2, block: int = 2048) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs`` (doc_id, text)."""
-    if shingle != SHINGLE:
-        raise ValueError("shingles are of five words")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = stored(texts.mapInArrow(_profile, "kind byte, id long, n long, digest long"))
+    profile = stored(texts.mapInArrow(_profile, "kind byte, id long, n long, digest long, bitmap array<long>"))
     rows = profile.where("kind = 0").select(F.col("id").alias("doc_id"), "n", "digest")
+    classes = stored(profile.where("kind = 0 and n > 0").groupBy("digest").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")))
     top = profile.where("kind = 1").groupBy(F.col("id").alias("gram")).agg(F.sum("n").alias("n")).where("n >= 8").orderBy(F.desc("n"), "gram").limit(frequent_kept).toPandas()  # bounded by frequent_kept
     grams, counts = top["gram"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     order = np.argsort(grams)
-    tokens = stored(texts.select("text").mapInArrow(_prefixes(grams[order], counts[order], num, den), "token long, digest long"))
-    shared = tokens.groupBy("token").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi")
-    members = stored(tokens.join(shared.select("token"), "token").distinct())
-    wanted = rows.join(members.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    sets = stored(texts.join(wanted, "doc_id").select("digest", "text").dropDuplicates(["digest"]).mapInArrow(_set_rows, "digest long, n long, bitmap binary, grams array<long>"))
-    sizes = sets.select("digest", "n")
+    tokens = stored(texts.select("text").mapInArrow(_prefixes(grams[order], counts[order], num, den), "token long, digest long, frequent boolean"))
+    # tokens of several classes: a window where no token is frequent, else a pre-aggregated count joined back
+    by_token = Window.partitionBy("token")
+    rare = tokens.where("not frequent").select("token", "digest", (F.min("digest").over(by_token) != F.max("digest").over(by_token)).alias("shared")).where("shared").select("token", "digest")
+    often = tokens.where("frequent").select("token", "digest").distinct()
+    members = stored(rare.distinct().union(often.join(often.groupBy("token").count().where("count > 1").select("token"), "token")))
+    dropped(tokens)
 
     labelled = members.withColumn("component", F.col("digest"))
     edges = None
     for k in range(stars):
-        leader = labelled.groupBy("token").agg(F.min_by(F.struct("digest", "component"), F.struct(F.xxhash64("digest", F.lit(k)), "digest")).alias("leader"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+        leader = labelled.groupBy("token").agg(F.min_by(F.struct("digest", "component"), F.struct(F.xxhash64("digest", F.lit(k)), "digest")).alias("leader"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token", "leader")
         pairs = labelled.join(leader, "token").where("component <> leader.component").groupBy("digest", F.col("leader.digest").alias("leader")).agg(F.count("*").alias("shared"))
-        pairs = pairs.groupBy("digest").agg(F.max_by("leader", F.struct("shared", "leader")).alias("leader")).select(F.least("digest", "leader").alias("a"), F.greatest("digest", "leader").alias("b")).distinct()
-        pairs = _possible(pairs, sizes, num, den)
-        found = stored(_holding(pairs, sets, num, den))
+        pairs = pairs.groupBy("digest").agg(F.max_by("leader", F.struct("shared", "leader")).alias("leader")).select(F.least("digest", "leader").alias("a"), F.greatest("digest", "leader").alias("b"))
+        found = _holding(_possible(pairs.distinct(), classes, num, den), texts, classes, num, den)
         edges = found if edges is None else edges.union(found)
-        label = components(edges)
-        labelled = stored(_labelled(members, label))
+        labelled = stored(_labelled(members, components(edges)))
     # groups that still hold several components
     open_tokens = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
     split = F.greatest(F.lit(1), F.ceil(F.col("size") / block).cast("int"))
-    rest = labelled.join(open_tokens.select("token", split.alias("blocks")), "token").join(sets.select("digest", "n", "bitmap"), "digest")
+    rest = labelled.join(open_tokens.select("token", split.alias("blocks")), "token").join(classes.select("digest", "n", "bitmap"), "digest")
     rest = rest.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "digest", "component", "n", "bitmap")
-    pairs = rest.groupBy("token", "i", "j").applyInPandas(_block_pairs(num, den), "a long, b long").distinct()
-    last = stored(_holding(stored(pairs), sets, num, den))
-    label = components(edges.union(last))
+    buckets = max(12, members.count() // 20_000)  # of groups; each bucket is some thousand rows
+    pairs = rest.groupBy(F.pmod(F.xxhash64("token", "i", "j"), F.lit(buckets))).applyInPandas(_bucket_pairs(num, den), "a long, b long")
+    label = components(edges.union(_holding(pairs, texts, classes, num, den)))
 
-    classes = rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first_id"))
     named = classes.join(label, classes.digest == label.node, "left").select("digest", "first_id", F.coalesce("component", "digest").alias("component"))
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     by_digest = named.join(smallest, "component").select("digest", "component_id")
     return rows.join(by_digest, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _possible(pairs: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs whose set sizes alone allow the similarity."""
-    a, b = sizes.select(F.col("digest").alias("a"), F.col("n").alias("na")), sizes.select(F.col("digest").alias("b"), F.col("n").alias("nb"))
-    return pairs.join(a, "a").join(b, "b").where((den * F.least("na", "nb") >= num * F.greatest("na", "nb"))).select("a", "b")
-
-
 def _labelled(members: DataFrame, label: DataFrame) -> DataFrame:
     return members.join(label, members.digest == label.node, "left").select("token", "digest", F.coalesce("component", "digest").alias("component"))
