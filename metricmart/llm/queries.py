@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricmart.llm import chat, jaccard, langid, packing, pii
+from metricmart.llm import chat, jaccard, langid, packing, pii, quality, tokencount, toxicity
 from metricmart.llm.folds import held_out
 
 
@@ -55,6 +55,25 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trusted = table(spark, sf_dir, "labels").where(~held_out(3, 1) & (F.col("quality") == 1)).select("doc_id").distinct()
+    out = quality.score(docs, quality.fit(docs.where(~held_out(3, 1)), trusted))
+    return out.select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out(4, 2)).groupBy("doc_id").agg(F.max("toxic").alias("y"))
+    letters = toxicity.character_model(docs)
+    out = toxicity.score(docs, letters, toxicity.fit(docs.where(~held_out(4, 2)), labels, letters))
+    return out.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -63,5 +82,5 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_best_fit_packing, op3_language_id, op8_pii_surrogates, op9_jaccard_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_best_fit_packing, op3_language_id, op4_quality_classifier, op7_toxicity, op8_pii_surrogates, op9_jaccard_join, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL}
