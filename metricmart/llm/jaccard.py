@@ -11,7 +11,7 @@ The answer is exact up to collisions of 64-bit hashes. Steps, each a Spark job o
    whose nodes hold the OR of their members' shingle bitmaps and their range of set sizes. Two trees are walked
    together, and a pair of nodes is left when even its largest possible overlap is too small, or when both sides
    lie in one component. A group of many classes is split in blocks, and each pair of blocks is one task.
-5. Surviving pairs are checked on their sets, and the components are closed.
+5. Pairs that share too few prefix shingles go; the others are checked on their sets, and the components are closed.
 
 Null or wordless texts have no shingles and link with nothing. Texts of fewer than five words are one shingle.
 Repeated rows fall into one class. An empty table gives no rows.
@@ -220,7 +220,8 @@ def _bucket_pairs(num: int, den: int):
                 pairs = np.array(list(tree_pairs(a, b, num, den)), np.int64).reshape(-1, 2)
                 found.append(np.stack([at[pairs[:, 0]], bt[pairs[:, 1]]], 1))
         p, q = np.concatenate(found).T
-        return pd.DataFrame({"a": np.minimum(digest[p], digest[q]), "b": np.maximum(digest[p], digest[q])}).drop_duplicates()
+        pairs = pd.DataFrame({"a": np.minimum(digest[p], digest[q]), "b": np.maximum(digest[p], digest[q])})
+        return pairs.groupby(["a", "b"], as_index=False).size().rename(columns={"size": "shared"})
 
     return walk
 
@@ -234,6 +235,14 @@ def _possible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataF
     return sized.where(den * top >= num * (F.col("na") + F.col("nb") - top)).select("a", "b")
 
 
+def _enough_shared(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs whose common prefix shingles, with all that one side has beyond its prefix, allow the similarity."""
+    side = lambda c: classes.select(F.col("digest").alias(c), F.col("n").alias(f"n{c}"))
+    beyond = lambda n: F.ceil(num * n / den) - 1
+    top = F.least(F.col("shared") + F.greatest(beyond(F.col("na")), beyond(F.col("nb"))), "na", "nb")
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(den * top >= num * (F.col("na") + F.col("nb") - top)).select("a", "b")
+
+
 def _holding(pairs: DataFrame, texts: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of digests whose sets, made again from one text of each, reach the similarity."""
     pairs = stored(pairs.distinct())
@@ -278,7 +287,8 @@ def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN, frequent_ke
     rest = rest.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "digest", "component", "n", "bitmap")
     buckets = max(12, members.count() // 20_000)  # of groups; each bucket is some thousand rows
-    pairs = rest.groupBy(F.pmod(F.xxhash64("token", "i", "j"), F.lit(buckets))).applyInPandas(_bucket_pairs(num, den), "a long, b long")
+    pairs = rest.groupBy(F.pmod(F.xxhash64("token", "i", "j"), F.lit(buckets))).applyInPandas(_bucket_pairs(num, den), "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    pairs = _enough_shared(pairs, classes, num, den)
     label = components(edges.union(_holding(pairs, texts, classes, num, den)))
 
     named = classes.join(label, classes.digest == label.node, "left").select("digest", "first_id", F.coalesce("component", "digest").alias("component"))
