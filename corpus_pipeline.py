@@ -1,7 +1,7 @@
 """A corpus cleaned in stages: language, near duplicates, benchmark leaks, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
-next stage's docs. All but the last keep the columns of ``documents``.
+next stage's docs. All but the last keep the columns of ``documents``. Documents without an id stay in every stage.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricmart.llm import langid, packing
-from metricmart.llm.kernel import shared_folder
+from metricmart.llm import decontam, jaccard, langid, packing, pii
+from metricmart.llm.kernel import stored
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,6 +21,27 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return out.where(~F.col("rejected")).select(docs.columns)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates (operator 9); one row of a repeated id."""
+    near = stored(jaccard.near_duplicates(docs))
+    gone = stored(near.where("doc_id <> component_id").select("doc_id").distinct())
+    again = stored(near.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    kept = docs.join(gone, "doc_id", "left_anti")
+    return kept.join(again, "doc_id", "left_anti").union(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no test item is found (operator 5)."""
+    leaks = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(stored(leaks.select("doc_id").distinct()), "doc_id", "left_anti").select(docs.columns)
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with surrogates in place of personal data (operator 8); n_chars follows the new text."""
+    out = pii.replace_entities(docs)
+    return out.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces placed in sequences (operator 2)."""
     return packing.best_fit_pack(docs)
@@ -28,6 +49,9 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", keep_known_languages),
+    ("jaccard_join", drop_near_duplicates),
+    ("decontamination", drop_benchmark_leaks),
+    ("pii", replace_personal_data),
     ("best_fit_packing", pack_sequences),
 ]
 
@@ -38,8 +62,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        at = shared_folder(spark)
-        out.write.parquet(at)
-        docs = spark.read.parquet(at)
+        docs = stored(stage(spark, docs, sf_dir))
     return docs

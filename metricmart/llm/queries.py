@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricmart.llm import chat, jaccard, langid, packing, pii, quality, tokencount, toxicity
+from metricmart.llm import ann, chat, decontam, jaccard, langid, packing, pii, quality, tokencount, toxicity
 from metricmart.llm.folds import held_out
 
 
@@ -62,6 +62,16 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").where("vec_id is not null").where(ann.usable(F.col("embedding")))
+    vectors = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return ann.nearest(vectors, vectors.where("id % 100 = 0"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(~held_out(4, 2)).groupBy("doc_id").agg(F.max("toxic").alias("y"))
@@ -82,5 +92,5 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_best_fit_packing, op3_language_id, op4_quality_classifier, op7_toxicity, op8_pii_surrogates, op9_jaccard_join, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_best_fit_packing, op3_language_id, op4_quality_classifier, op5_decontamination, op6_nearest_neighbours, op7_toxicity, op8_pii_surrogates, op9_jaccard_join, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL}
