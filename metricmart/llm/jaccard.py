@@ -6,7 +6,8 @@ The answer is exact up to collisions of 64-bit hashes. Steps, each a Spark job o
 2. Shingles met several times within a batch are counted; the most frequent (a bounded table) go last in one global
    order. Two sets that reach the similarity share one of their first ``n - ceil(t n) + 1`` shingles in any such
    order, so only classes that share one of these are compared. The order decides the cost and never the result.
-3. Stars: a class is compared with the leader of the shingles it shares most; links that hold join components.
+3. Stars: a class is compared with the leader of the shingles it shares most (first the class that meets most others,
+   then random ones); links that hold join components.
 4. Signature trees: classes of different components that still share a shingle form a group. Each group is a tree
    whose nodes hold the OR of their members' shingle bitmaps and their range of set sizes. Two trees are walked
    together, and a pair of nodes is left when even its largest possible overlap is too small, or when both sides
@@ -65,22 +66,28 @@ def _digests(grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: id, size, digest and bitmap of each row; kind 1: shingles of several rows of a batch, with their counts."""
-    names = ["kind", "id", "n", "digest", "bitmap"]
+    """kind 0: id, size, digest and bitmap of each row; kind 1: shingles of several rows that come together, with counts."""
+    names, held = ["kind", "id", "n", "digest", "bitmap"], []
+
+    def counted() -> pa.RecordBatch:
+        g = np.concatenate(held) if held else np.zeros(0, np.uint64)
+        held.clear()
+        g.sort()
+        first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
+        count = np.diff(np.append(first, len(g)))
+        many = np.flatnonzero(count >= 2)
+        n = len(many)
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int8)), pa.array(g[first[many]].view(np.int64)), pa.array(count[many]), pa.array(np.zeros(n, np.int64)), pa.nulls(n, pa.list_(pa.int64()))], names=names)
+
     for batch in batches:
-        all_grams = []
         for row, grams, offsets in shingle_sets(batch.column(1)):
             n = len(offsets) - 1
             maps = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * (BITS // 64), pa.int32()), pa.array(bitmaps(grams, offsets).ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), batch.column(0).slice(row, n), pa.array(np.diff(offsets)), pa.array(_digests(grams, offsets)), maps], names=names)
-            all_grams.append(grams)
-        if all_grams:
-            g = np.sort(np.concatenate(all_grams))
-            first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
-            count = np.diff(np.append(first, len(g)))
-            many = count >= 4
-            n = int(many.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int8)), pa.array(g[first[many]].view(np.int64)), pa.array(count[many]), pa.array(np.zeros(n, np.int64)), pa.nulls(n, pa.list_(pa.int64()))], names=names)
+            held.append(grams)
+            if sum(map(len, held)) > 4_000_000:
+                yield counted()
+    yield counted()
 
 
 def _prefixes(frequent: np.ndarray, counts: np.ndarray, num: int, den: int):
@@ -154,8 +161,8 @@ def _reach(overlap, small, large, num: int, den: int):
     return den * overlap >= num * (small + large - overlap)
 
 
-def tree_pairs(a: SignatureTree, b: SignatureTree, num: int = NUM, den: int = DEN) -> Iterator[tuple[int, int]]:
-    """Row pairs of different components that may reach the similarity; with a is b each pair once."""
+def tree_pairs(a: SignatureTree, b: SignatureTree, num: int = NUM, den: int = DEN) -> Iterator[np.ndarray]:
+    """Row pairs of different components that may reach the similarity, as arrays of two columns; with a is b each pair once."""
     if not len(a.size) or not len(b.size):
         return
     stack = [((0, len(a.size)), (0, len(b.size)))]
@@ -176,8 +183,8 @@ def tree_pairs(a: SignatureTree, b: SignatureTree, num: int = NUM, den: int = DE
                 if len(for_j):
                     n, m = a.size[i], b.size[for_j]
                     top = np.minimum(n - np.bitwise_count(a.maps[i] & ~b.maps[for_j]).sum(1), m - np.bitwise_count(b.maps[for_j] & ~a.maps[i]).sum(1))
-                    for j in for_j[_reach(top, n, m, num, den)]:
-                        yield int(a.order[i]), int(b.order[j])
+                    for_j = for_j[_reach(top, n, m, num, den)]
+                    yield np.stack([np.full(len(for_j), a.order[i]), b.order[for_j]], 1)
             continue
         if x[1] - x[0] >= y[1] - y[0]:
             mid = (x[0] + x[1]) // 2
@@ -213,12 +220,11 @@ def _bucket_pairs(num: int, den: int):
             if i == j:
                 if hi - lo > 2:
                     a = SignatureTree(size[lo:hi], maps[lo:hi], comp[lo:hi])
-                    found.append(lo + np.array(list(tree_pairs(a, a, num, den)), np.int64).reshape(-1, 2))
+                    found += [lo + x for x in tree_pairs(a, a, num, den)]
             else:
                 at, bt = lo + np.flatnonzero(side[lo:hi] == i), lo + np.flatnonzero(side[lo:hi] == j)
                 a, b = SignatureTree(size[at], maps[at], comp[at]), SignatureTree(size[bt], maps[bt], comp[bt])
-                pairs = np.array(list(tree_pairs(a, b, num, den)), np.int64).reshape(-1, 2)
-                found.append(np.stack([at[pairs[:, 0]], bt[pairs[:, 1]]], 1))
+                found += [np.stack([at[x[:, 0]], bt[x[:, 1]]], 1) for x in tree_pairs(a, b, num, den)]
         p, q = np.concatenate(found).T
         pairs = pd.DataFrame({"a": np.minimum(digest[p], digest[q]), "b": np.maximum(digest[p], digest[q])})
         return pairs.groupby(["a", "b"], as_index=False).size().rename(columns={"size": "shared"})
@@ -254,7 +260,7 @@ def _holding(pairs: DataFrame, texts: DataFrame, classes: DataFrame, num: int, d
     return stored(both.where(den * overlap >= num * (F.size("ga") + F.size("gb") - overlap)).select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN, frequent_kept: int = 200_000, stars: int = 2, block: int = 2048) -> DataFrame:
+def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN, frequent_kept: int = 500_000, stars: int = 3, block: int = 2048) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs`` (doc_id, text)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profile = stored(texts.mapInArrow(_profile, "kind byte, id long, n long, digest long, bitmap array<long>"))
@@ -271,10 +277,15 @@ def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN, frequent_ke
     members = stored(rare.distinct().union(often.join(often.groupBy("token").count().where("count > 1").select("token"), "token")))
     dropped(tokens)
 
+    # how many others a class meets over its tokens: a text that others were copied from meets most
+    sizes = members.groupBy("token").agg(F.count("*").alias("size"))
+    met = members.join(sizes, "token").groupBy("digest").agg(F.sum("size").alias("met"))
+    members = stored(members.join(met, "digest"))
     labelled = members.withColumn("component", F.col("digest"))
     edges = None
     for k in range(stars):
-        leader = labelled.groupBy("token").agg(F.min_by(F.struct("digest", "component"), F.struct(F.xxhash64("digest", F.lit(k)), "digest")).alias("leader"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token", "leader")
+        order = F.struct(F.when(F.lit(k) == 0, -F.col("met")).otherwise(F.lit(0)), F.xxhash64("digest", F.lit(k)), "digest")
+        leader = labelled.groupBy("token").agg(F.min_by(F.struct("digest", "component"), order).alias("leader"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token", "leader")
         pairs = labelled.join(leader, "token").where("component <> leader.component").groupBy("digest", F.col("leader.digest").alias("leader")).agg(F.count("*").alias("shared"))
         pairs = pairs.groupBy("digest").agg(F.max_by("leader", F.struct("shared", "leader")).alias("leader")).select(F.least("digest", "leader").alias("a"), F.greatest("digest", "leader").alias("b"))
         found = _holding(_possible(pairs.distinct(), classes, num, den), texts, classes, num, den)
@@ -298,4 +309,4 @@ def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN, frequent_ke
 
 
 def _labelled(members: DataFrame, label: DataFrame) -> DataFrame:
-    return members.join(label, members.digest == label.node, "left").select("token", "digest", F.coalesce("component", "digest").alias("component"))
+    return members.join(label, members.digest == label.node, "left").select("token", "digest", "met", F.coalesce("component", "digest").alias("component"))
