@@ -85,7 +85,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             maps = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * (BITS // 64), pa.int32()), pa.array(bitmaps(grams, offsets).ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), batch.column(0).slice(row, n), pa.array(np.diff(offsets)), pa.array(_digests(grams, offsets)), maps], names=names)
             held.append(grams)
-            if sum(map(len, held)) > 4_000_000:
+            if sum(map(len, held)) > 2_000_000:
                 yield counted()
     yield counted()
 

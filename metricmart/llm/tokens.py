@@ -48,7 +48,7 @@ def default_tokenizer() -> str:
 class ChunkEncoder:
     """Encodes string arrays. ``keep``: distinct chunks kept in memory; beyond it the store starts anew."""
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -85,7 +85,7 @@ class ChunkEncoder:
 
     def encode(self, texts: pa.Array, end_id: int | None = None):
         """(first row, ids, id offsets by row) for each block of rows; ``end_id`` is put after each text."""
-        for row, stop, data, offsets in kernel.blocks(texts, 4 << 20):
+        for row, stop, data, offsets in kernel.blocks(texts, 2 << 20):
             starts, ends, h, by_row = kernel.words(data, offsets, self.values, cuts=self.cuts(data))
             inverse, unique = pd.factorize(h)
             first = np.zeros(len(unique), np.int64)
