@@ -42,11 +42,22 @@ def _by_value(df: DataFrame, value: str, buckets: int) -> DataFrame:
     return counts.withColumn("inside", inside).join(F.broadcast(before), "range").select(value, "n", (F.col("before") + F.col("inside")).alias("less"), "total")
 
 
+def percentiles_tied(df: DataFrame, outs: dict[str, str], buckets: int = 64) -> DataFrame:
+    """For each column of ``outs`` its percentile from 0 to 100 with ties averaged; one value only: 50; NULL stays NULL.
+
+    All come from ``df`` itself, so the plan grows with the number of columns and not with its power.
+    """
+    out = df
+    for value, name in outs.items():
+        v = _by_value(df, value, buckets)
+        pct = F.when((F.col("total") <= 1) | (F.col("n") == F.col("total")), 50.0).otherwise((F.col("less") + (F.col("n") + 1) / 2.0 - 1) / (F.col("total") - 1) * 100)
+        v = v.select(F.col(value).alias(f"_{name}"), F.round(pct, 6).alias(name))
+        out = out.join(v, F.col(value) == F.col(f"_{name}"), "left").drop(f"_{name}")
+    return out
+
+
 def percentile_tied(df: DataFrame, value: str, out: str, buckets: int = 64) -> DataFrame:
-    """0 to 100 with ties averaged; one value only: 50; NULL stays NULL."""
-    v = _by_value(df, value, buckets)
-    pct = F.when((F.col("total") <= 1) | (F.col("n") == F.col("total")), 50.0).otherwise((F.col("less") + (F.col("n") + 1) / 2.0 - 1) / (F.col("total") - 1) * 100)
-    return df.join(v.select(F.col(value).alias("_v"), F.round(pct, 6).alias(out)), F.col(value) == F.col("_v"), "left").drop("_v")
+    return percentiles_tied(df, {value: out}, buckets)
 
 
 def percentile_cume(df: DataFrame, value: str, out: str, buckets: int = 64) -> DataFrame:
@@ -61,3 +72,17 @@ def percentile_ordinal(df: DataFrame, value: str, tie: str, out: str, descending
     at = (F.col("_r") - 1) / (F.col("_r_n") - 1) * 100.0
     one = 100.0 if descending else 50.0
     return ranked.withColumn(out, F.when(F.col("_r_n") == 1, one).when(F.col("_r").isNotNull(), F.round(100 - at if descending else at, digits))).drop("_r", "_r_n")
+
+
+def running_sums(df: DataFrame, value: str, tie: str, columns: list[str], descending: bool = True, buckets: int = 64) -> DataFrame:
+    """Adds rank and, for each column, its sum over all rows up to this one in the order of value and then ``tie``."""
+    known = df.where(F.col(value).isNotNull()).withColumn("range", _range_of(df, value, buckets) * (-1 if descending else 1))
+    order = [F.col(value).desc() if descending else F.col(value).asc(), F.col(tie).asc()]
+    w = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = known.groupBy("range").agg(F.count("*").alias("n"), *[F.sum(c).alias(f"t_{c}") for c in columns])  # at most buckets + 1 rows
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("b_n"), *[F.coalesce(F.sum(f"t_{c}").over(earlier), F.lit(0)).alias(f"b_{c}") for c in columns])
+    inside = known.withColumn("i_n", F.count("*").over(w))
+    for c in columns:
+        inside = inside.withColumn(f"i_{c}", F.sum(c).over(w))
+    return inside.join(F.broadcast(before), "range").select(*df.columns, (F.col("b_n") + F.col("i_n")).alias("rank"), *[(F.col(f"b_{c}") + F.col(f"i_{c}")).alias(f"sum_{c}") for c in columns])

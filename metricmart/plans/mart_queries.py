@@ -288,11 +288,12 @@ def expiry_filter(spark, sf):
     return g.withColumn("active", F.col("last_seen") + F.expr("interval 183 days") >= F.expr("timestamp_ntz '2001-06-01'"))
 
 
-@register("select coalesce(a.k, b.k) as k, case when b.k is not null then b.v else a.v end as v, a.x, b.y from (select c_custkey as k, c_mktsegment as v, c_nationkey as x from customer where c_custkey % 3 <> 0) a full join (select c_custkey as k, case when c_custkey % 2 = 0 then '' else c_name end as v, c_acctbal as y from customer where c_custkey % 4 <> 0) b on a.k = b.k")
+@register("""select coalesce(a.k, b.k) as k, case when b.k is not null then b.v else a.v end as v, a.x, b.y from (select c_custkey as k, c_mktsegment as v, c_nationkey as x from customer) a
+ full join (select o_custkey as k, case when max(o_orderstatus) = 'P' then '' else max(o_orderstatus) end as v, count(*) as y from orders group by 1) b on a.k = b.k""")
 def merge_right(spark, sf):
-    c = table(spark, sf, "customer")
-    a = c.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("v"), F.col("c_nationkey").alias("x"))
-    b = c.where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 2 == 0, "").otherwise(F.col("c_name")).alias("v"), F.col("c_acctbal").alias("y"))
+    a = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("v"), F.col("c_nationkey").alias("x"))
+    status = F.max("o_orderstatus")
+    b = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.when(status == "P", "").otherwise(status).alias("v"), F.count("*").alias("y"))
     return merge_right_biased(a, b, "k")
 
 

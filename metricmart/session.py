@@ -6,9 +6,10 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -23,3 +24,17 @@ def ship(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parent
     spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, "metricmart"), "zip", root.parent, root.name))
     _shipped.add(app)
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Writes a stage's table to the shared folder (spark.checkpoint.dir; of this machine only where unset) and reads it
+    again, so that what follows may use it many times."""
+    spark = df.sparkSession
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="metricmart-"))
+        at = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = f"{at.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
