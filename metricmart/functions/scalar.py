@@ -13,6 +13,11 @@ def barrier(x: Column) -> Column:
     return F.round(x, 6)
 
 
+def settled(x: Column) -> Column:
+    """Six decimals of a weighted score: half a unit goes up whatever the order in which its parts were added."""
+    return F.round(x + 1e-9, 6)
+
+
 def safe_divide(n: Column, d: Column) -> Column:
     """NULL where the denominator is NULL or 0."""
     return F.try_divide(n.cast("double"), d.cast("double"))

@@ -85,8 +85,8 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     fresh, meta = S.barrier(100 * F.exp(-F.col("age_days") / 7)), F.when(F.col("size") % 2 == 0, 100.0).otherwise(0.0)
     m = m.withColumn("freshness", fresh).withColumn("metadata", meta)
     m = m.withColumn("alpha", F.when(F.col("growth_pct").isNotNull() & F.col("relative_pct").isNotNull() & F.col("eng_pct").isNotNull(), S.weighted_sum((0.35, F.col("growth_pct")), (0.20, F.col("relative_pct")), (0.20, F.col("eng_pct")), (0.15, F.col("freshness")), (0.10, F.col("metadata")))))
-    m = m.withColumn("alpha", S.barrier(S.clamp(F.col("alpha"))))
-    m = m.withColumn("opportunity", S.barrier(S.clamp(S.weighted_sum((0.50, F.col("alpha")), (0.25, F.col("relative_pct")), (0.15, F.col("eng_pct")), (0.10, F.col("freshness"))))))
+    m = m.withColumn("alpha", S.settled(S.clamp(F.col("alpha"))))
+    m = m.withColumn("opportunity", S.settled(S.clamp(S.weighted_sum((0.50, F.col("alpha")), (0.25, F.col("relative_pct")), (0.15, F.col("eng_pct")), (0.10, F.col("freshness"))))))
     z = S.zero(robust_z(F.col("log_delta"), F.col("median"), F.col("mad")))
     return m.withColumn("anomaly", S.barrier(S.clamp(F.abs(z) / 5 * 100)))
 
@@ -99,7 +99,7 @@ s1 as (select *, round(views_delta / greatest(coalesce(group_median, 0), 1.0e0),
 s2 as (select *, {pct_sql("views_delta")} as growth_pct, {pct_sql("relative")} as relative_pct, {pct_sql("eng")} as eng_pct,
   round(100 * exp(-age_days / 7.0e0), 6) as freshness, case when size % 2 = 0 then 100.0e0 else 0.0e0 end as metadata, (select median(log_delta) from s1) as med from s1),
 s3 as (select *, (select median(abs(log_delta - med)) from s2) as mad,
-  round(least(greatest(0.35 * growth_pct + 0.20 * relative_pct + 0.20 * eng_pct + 0.15 * freshness + 0.10 * metadata, 0), 100), 6) as alpha from s2),
-scores as (select *, round(least(greatest(0.50 * alpha + 0.25 * relative_pct + 0.15 * eng_pct + 0.10 * freshness, 0), 100), 6) as opportunity,
+  round(least(greatest(0.35 * growth_pct + 0.20 * relative_pct + 0.20 * eng_pct + 0.15 * freshness + 0.10 * metadata, 0), 100) + 1e-9, 6) as alpha from s2),
+scores as (select *, round(least(greatest(0.50 * alpha + 0.25 * relative_pct + 0.15 * eng_pct + 0.10 * freshness, 0), 100) + 1e-9, 6) as opportunity,
   round(least(greatest(abs(coalesce(case when mad = 0 then 0 else 0.6745 * (log_delta - med) / mad end, 0)) / 5 * 100, 0), 100), 6) as anomaly from s3)"""
 )

@@ -35,7 +35,7 @@ def advanced(spark, sf) -> DataFrame:
     packaging = S.clamp(0.50 * F.col("eng_pct") + 0.30 * F.col("comment_pct") + 0.20 * F.col("relative_pct") - 0.40 * F.col("growth_pct"))
     complete = sum((F.col(c).isNotNull().cast("int") for c in ("eng", "delta_eng", "like_rate", "comment_rate", "alpha")), F.lit(0)) * 100.0 / 5
     confidence = 35 * F.least(F.col("history") / 10.0, F.lit(1.0)) + 0.25 * complete + 20 * F.least(F.col("group_n") / 20.0, F.lit(1.0)) + 0.20 * F.when(F.col("run") == F.col("execution"), 100.0).otherwise(50.0)
-    return s.withColumn("short_score", S.barrier(short)).withColumn("evergreen", S.barrier(evergreen)).withColumn("packaging", S.barrier(packaging)).withColumn("confidence", S.barrier(confidence))
+    return s.withColumn("short_score", S.settled(short)).withColumn("evergreen", S.settled(evergreen)).withColumn("packaging", S.settled(packaging)).withColumn("confidence", S.barrier(confidence))
 
 
 ADVANCED = (
@@ -43,9 +43,9 @@ ADVANCED = (
     + f""",
 a0 as (select *, round(ln(1 + views_per_day), 6) as log_vpd, count(*) over (partition by group_id) as group_n from scores),
 a1 as (select *, {pct_sql("log_vpd")} as age_pct, {pct_sql("comment_rate")} as comment_pct from a0),
-advanced as (select *, round(0.45 * age_pct + 0.25 * relative_pct + 0.20 * eng_pct + 0.10 * comment_pct, 6) as short_score,
-  case when age_days >= 30 then round(0.50 * age_pct + 0.35 * relative_pct + 0.15 * eng_pct, 6) end as evergreen,
-  round(least(greatest(0.50 * eng_pct + 0.30 * comment_pct + 0.20 * relative_pct - 0.40 * growth_pct, 0), 100), 6) as packaging,
+advanced as (select *, round(0.45 * age_pct + 0.25 * relative_pct + 0.20 * eng_pct + 0.10 * comment_pct + 1e-9, 6) as short_score,
+  case when age_days >= 30 then round(0.50 * age_pct + 0.35 * relative_pct + 0.15 * eng_pct + 1e-9, 6) end as evergreen,
+  round(least(greatest(0.50 * eng_pct + 0.30 * comment_pct + 0.20 * relative_pct - 0.40 * growth_pct, 0), 100) + 1e-9, 6) as packaging,
   round(35 * least(history / 10.0e0, 1) + 0.25 * (((eng is not null)::int + (delta_eng is not null)::int + (like_rate is not null)::int + (comment_rate is not null)::int + (alpha is not null)::int) * 100.0e0 / 5)
     + 20 * least(group_n / 20.0e0, 1) + 0.20 * (case when run = execution then 100.0e0 else 50.0e0 end), 6) as confidence from a1)"""
 )
