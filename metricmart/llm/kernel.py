@@ -147,6 +147,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it if ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a table made by ``stored`` that nothing reads any more."""
     spark = df.sparkSession

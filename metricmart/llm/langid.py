@@ -122,4 +122,4 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(names).dtypes) + ", lang_pred string, score double, rejected boolean"
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select(*names, has_letter.alias("_has_letter")).mapInArrow(nearest, schema)
+    return docs.select(*names, has_letter.alias(kernel.fresh(docs, "_has_letter"))).mapInArrow(nearest, schema)

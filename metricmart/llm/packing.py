@@ -63,12 +63,12 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     far = np.int64(1) << 40
     for k, s in enumerate(lengths.tolist()):
         here = n_open[s:]
-        # growth of the sum of squares, halved: N(g - s) - N(g) + 1; a gap filled wholly leaves the open bins
-        grown = np.where(here > 0, n_open[: capacity + 1 - s] - here + 1, far)
+        # growth of the sum of squares; a gap filled wholly leaves the open bins
+        grown = np.where(here > 0, 2 * (n_open[: capacity + 1 - s] - here + 1), far)
         if here[0] > 0:
-            grown[0] = -here[0]
+            grown[0] = 1 - 2 * here[0]
         g = int(grown.argmin())
-        if grown[g] <= n_open[capacity - s] and s < capacity:
+        if grown[g] <= 2 * n_open[capacity - s] + 1 and s < capacity:
             gap = g + s
             b = stacks[gap].pop()
             n_open[gap] -= 1

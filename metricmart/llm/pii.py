@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricmart.llm.kernel import stored
+from metricmart.llm.kernel import fresh, stored
 
 HONORIFICS = {"male": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος"), "female": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "Κυρία"), "any": ("Dr", "Prof")}
 GIVEN = {
@@ -198,10 +198,11 @@ def replace_entities(docs: DataFrame, key: str = "metricmart", rounds: int = 8)
     found = stored(found.select("id", "entity", unit(F.col("entity")).alias("unit")).distinct())
     units = found.groupBy("unit").agg(F.min("entity").alias("entity"))
     again = _attempts(units.select("entity", "unit"), key, rounds)
-    changed = stored(found.join(again, "unit").groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("unit", "attempt"))).alias("attempts")))
     kept = [c for c in docs.columns if c not in ("n_entities",)]
-    out = docs.select(kept).join(changed.withColumnRenamed("id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    out = out.withColumn("_found", entities(F.col("text")))
-    made = F.transform("_found", lambda e: surrogate(e, lambda u: F.coalesce(F.col("attempts")[u], F.lit(0)), key))
-    text = F.when(F.size("_found") > 0, F.array_join(F.zip_with(F.split("text", ENTITY, -1), made, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")).otherwise(F.col("text"))
-    return out.select(*[text.alias(c) if c == "text" else F.col(c) for c in kept], F.greatest(F.size("_found"), F.lit(0)).alias("n_entities"))
+    id_, attempts, found_ = (fresh(docs, x) for x in ("_id", "_attempts", "_found"))
+    changed = stored(found.join(again, "unit").groupBy(F.col("id").alias(id_)).agg(F.map_from_entries(F.collect_set(F.struct("unit", "attempt"))).alias(attempts)))
+    out = docs.select(kept).join(changed, F.col("doc_id").eqNullSafe(F.col(id_)), "left")
+    out = out.withColumn(found_, entities(F.col("text")))
+    made = F.transform(found_, lambda e: surrogate(e, lambda u: F.coalesce(F.col(attempts)[u], F.lit(0)), key))
+    text = F.when(F.size(found_) > 0, F.array_join(F.zip_with(F.split("text", ENTITY, -1), made, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")).otherwise(F.col("text"))
+    return out.select(*[text.alias(c) if c == "text" else F.col(c) for c in kept], F.greatest(F.size(found_), F.lit(0)).alias("n_entities"))

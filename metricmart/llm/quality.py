@@ -90,6 +90,7 @@ def estimated_prior(p: np.ndarray, u: np.ndarray) -> float:
 
 def fit(train: DataFrame, positive_ids: DataFrame, positives: int = 3000, unlabelled: int = 6000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Mean and scale of the features and the weights. ``train``: doc_id, text; ``positive_ids``: doc_id."""
+    train = train.select("doc_id", "text")
     n_positive, n_all = positive_ids.count(), train.count()
     hashed = lambda c, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(1 << 20)) / float(1 << 20)
     # at most 2 * positives ids, so that they may be broadcast

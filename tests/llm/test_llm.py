@@ -1,0 +1,328 @@
+"""Language-model operators against brute force, planted cases, held-out labels and odd tables."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__
+import corpus_pipeline
+from metricmart.llm import ann, chat, decontam, jaccard, langid, packing, pii, quality, tokencount, toxicity
+from metricmart.llm.components import components
+
+SF, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
+Q = __spark_entry__.queries()
+
+
+def rows(name, sf=SF):
+    return pq.read_table(f"{sf}/{name}.parquet").to_pylist()
+
+
+def shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words)} if 0 < len(words) < 5 else {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def linked(docs):
+    """Brute force over distinct sets: the smallest id of each component."""
+    sets = [frozenset(shingles(t)) for _, t in docs]
+    root = list(range(len(docs)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i in range(len(docs)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if a and b and 100 * min(len(a), len(b)) >= 80 * max(len(a), len(b)) and 100 * len(a & b) >= 80 * len(a | b):
+                root[find(i)] = find(j)
+    low = {}
+    for i, (d, _) in enumerate(docs):
+        low[find(i)] = min(low.get(find(i), d), d)
+    return {(d, len(sets[i]), low[find(i)]) for i, (d, _) in enumerate(docs)}
+
+
+def test_op9_is_brute_force(spark):
+    want = linked([(r["doc_id"], r["text"]) for r in rows("documents")])
+    got = [tuple(r) for r in Q["op9_jaccard_join"](spark, SF).select("doc_id", "n_shingles", "component_id").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_op9_small_and_odd(spark):
+    base = "a b c d e f g h i j k l m n o p q r s t u v w x y z".split()
+    docs = [(5, "One two"), (3, "one TWO"), (7, None), (8, "  \n"), (9, " ".join(base)), (2, " ".join([*base, "end"])), (4, "short text"), (4, "short text")]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {(5, 1, 3), (3, 1, 3), (7, 0, 7), (8, 0, 8), (9, 22, 2), (2, 23, 2), (4, 1, 4)}
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 7), (3, 1)], "a long, b long")
+    assert {(r.node, r.component) for r in components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 7), (9, 7)}
+
+
+def test_op2_packs_the_tokenizers_ids(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    got = Q["op2_best_fit_packing"](spark, SMALL).collect()
+    want = {}
+    for r in rows("documents", SMALL):
+        ids = [*tok.encode(r["text"] or "", add_special_tokens=False).ids, 0]
+        for k, s in enumerate(range(0, len(ids), 2048)):
+            part = ids[s : s + 2048]
+            want[r["doc_id"], k] = (s, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in got} == want and len(got) == len(want)
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for b in bins.values():
+        at = 0
+        for offset, length in sorted(b):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(bins) <= 1.05 * -(-sum(r.length for r in got) // 2048) + 1
+
+
+def test_sum_of_squares_rule():
+    """Against the rule written out: the bin whose choice makes the sum of squares smallest."""
+    rng = np.random.default_rng(5)
+    lengths = rng.integers(1, 11, 200)
+    bins, offsets = packing.sum_of_squares(lengths, 10)
+    counts, level = np.zeros(11, int), {}
+    for s, b, o in zip(lengths.tolist(), bins.tolist(), offsets.tolist()):
+        options = {}
+        for gap in [10, *(g for g in range(s, 10) if counts[g])]:
+            after = counts.copy()
+            if gap < 10:
+                after[gap] -= 1
+            if gap > s:
+                after[gap - s] += 1
+            options[gap] = (after**2).sum()
+        gap = 10 - level.get(b, 0)
+        assert o == 10 - gap and options[gap] == min(options.values())
+        if gap < 10:
+            counts[gap] -= 1
+        if gap > s:
+            counts[gap - s] += 1
+        level[b] = level.get(b, 0) + s
+
+
+def accuracy(pairs):
+    pairs = list(pairs)
+    return sum(a == b for a, b in pairs) / len(pairs)
+
+
+def test_op3_held_out(spark):
+    lang = {r["doc_id"]: r["lang"] for r in rows("documents")}
+    got = Q["op3_language_id"](spark, SF).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in got)
+    assert accuracy((r.lang_pred, lang[r.doc_id]) for r in got if r.held_out and lang[r.doc_id]) > 0.9
+
+
+def auc(pairs):
+    pos, neg = [s for s, y in pairs if y], [s for s, y in pairs if not y]
+    return np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg])
+
+
+def test_op4_held_out(spark):
+    y = {r["doc_id"]: r["quality"] for r in rows("labels") if r["quality"] is not None}
+    got = Q["op4_quality_classifier"](spark, SF).collect()
+    assert all(r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1 for r in got)
+    assert auc([(r.score, y[r.doc_id]) for r in got if r.held_out and r.doc_id in y]) > 0.8
+
+
+def test_op7_held_out(spark):
+    y = {r["doc_id"]: r["toxic"] for r in rows("labels") if r["toxic"] is not None}
+    got = Q["op7_toxicity"](spark, SF).collect()
+    held = [r for r in got if r.held_out and r.doc_id in y]
+    assert all(r.predicted == (r.score >= 0.3) for r in got) and auc([(r.score, y[r.doc_id]) for r in held]) > 0.9
+
+
+def test_restored_words(spark):
+    model = toxicity.character_model(spark.createDataFrame([("you idiot and clown, the idiot said to the clown " * 50,)], "text string"))
+    assert [toxicity.restored(w, model) for w in ("1d10t", "idiooot", "cl0wn")] == ["idiot", "idiot", "clown"]
+
+
+def test_non_negative_risk_separates():
+    rng = np.random.default_rng(1)
+    p, n = rng.normal(2, 1, (300, 2)), rng.normal(-2, 1, (300, 2))
+    u = np.vstack([rng.normal(2, 1, (100, 2)), n])
+    w = quality.fit_nn_pu(p, u, 0.25)
+    assert (p @ w[:-1] + w[-1] > 0).mean() > 0.9 and (n @ w[:-1] + w[-1] < 0).mean() > 0.9
+
+
+def test_op5_finds_plants_and_leaves_clean(spark):
+    words = [f"w{k}" for k in range(200)]
+    item = " ".join(words[:30])
+    edited = words[:30].copy()
+    edited[7:9], edited[20:21] = ["x", "y"], ["z"]
+    docs = [(1, " ".join(words[100:150]) + " " + item + " " + " ".join(words[150:])), (2, "pre " + " ".join(edited) + " post"), (3, " ".join(words[40:90])), (4, None), (5, "")]
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(70, item), (71, "too short"), (72, None)], "item_id long, text string")).collect()}
+    assert got == {(1, 70), (2, 70)}
+
+
+def test_alignment():
+    """The vectorised rows give the score of the plain recurrence."""
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        a, b = rng.integers(0, 4, 12).astype(np.uint64), rng.integers(0, 4, 25).astype(np.uint64)
+        h = np.zeros((13, 26))
+        for i in range(1, 13):
+            for j in range(1, 26):
+                h[i, j] = max(0, h[i - 1, j - 1] + (1 if a[i - 1] == b[j - 1] else -0.5), h[i - 1, j] - 0.5, h[i, j - 1] - 0.5)
+        assert abs(decontam.align(a, b) - h.max() / 12) < 1e-9
+
+
+def test_op6_recall_and_scores(spark):
+    table = rows("embeddings")
+    ids = np.array([r["vec_id"] for r in table])
+    x = np.array([r["embedding"] for r in table], float)
+    got = {}
+    for r in Q["op6_nearest_neighbours"](spark, SF).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    at = {i: k for k, i in enumerate(ids.tolist())}
+    hit = total = 0
+    for q in ids[ids % 100 == 0].tolist():
+        d = np.sqrt(((x - x[at[q]]) ** 2).sum(1))
+        best = [ids[k] for k in np.lexsort((ids, d)) if ids[k] != q][:10]
+        assert [k for k, _, _ in got[q]] == list(range(1, len(best) + 1))
+        assert all(abs(s - d[at[v]]) < 1e-9 for _, v, s in got[q])
+        hit, total = hit + len({v for _, v, _ in got[q]} & set(best)), total + len(best)
+    assert hit / total >= 0.9
+
+
+def test_op8_keeps_types_and_coreference(spark):
+    text = "Mail jo.doe@corp.example or call +44 20 7946 0958; card 4111 1111 1111 1111, Mr. John Smith, 10.1.2.3"
+    docs = spark.createDataFrame([(1, text), (2, "again jo.doe@corp.example and John Smith"), (3, None), (4, ""), (5, "nothing here"), (1, text)], "doc_id long, text string")
+    out = pii.replace_entities(docs, "k").collect()
+    by = {r.doc_id: r.text for r in out}
+    assert len(out) == 6 and by[3] is None and by[4] == "" and by[5] == "nothing here"
+    for raw in ("jo.doe", "7946", "4111 1111", "Smith", "10.1.2.3"):
+        assert raw not in by[1]
+    mail = re.search(r"\S+@\S+", by[1])[0]
+    assert mail in by[2] and mail.endswith(".example")
+    card = re.search(r"card (4\d{3} \d{4} \d{4} \d{4})", by[1])[1].replace(" ", "")
+    assert sum(int(c) if i % 2 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(card)) % 10 == 0
+    assert re.search(r"Mr\. \w+ (\w+)", by[1])[1] == re.search(r"and \w+ (\w+)", by[2])[1]
+    assert "+44 " in by[1] and pii.replace_entities(docs, "other").where("doc_id = 2").first().text != by[2]
+
+
+@pytest.mark.parametrize("block,span", [(7, 2), (1, 3), (1 << 20, 1024)])
+def test_op10_scan_across_blocks(spark, tmp_path, block, span):
+    rng = np.random.default_rng(3)
+    want = []
+    for k in range(3):
+        ids = rng.integers(0, 5, 200).astype("<u2")
+        (tmp_path / f"part-{k}").write_bytes(ids.tobytes())
+        ends = np.flatnonzero(ids == 4)
+        want += [(f"part-{k}", i, n, True) for i, n in enumerate(np.diff(np.concatenate([[-1], ends])) - 1)]
+        if ends[-1] < 199:
+            want.append((f"part-{k}", len(ends), 199 - ends[-1], False))
+    got = [tuple(r) for r in tokencount.scan_token_files(spark, str(tmp_path), 4, block, span).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_op10_counts_every_document(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    want = sorted(len(tok.encode(r["text"] or "", add_special_tokens=False).ids) for r in rows("documents", SMALL))
+    got = Q["op10_token_counts"](spark, SMALL).collect()
+    assert sorted(r.n_tokens for r in got) == want and all(r.closed for r in got)
+
+
+def test_op1_round_trip(spark):
+    said = {}
+    for r in rows("conversations"):
+        said.setdefault(r["conv_id"], []).append((r["turn"], r["role"], r["text"] or ""))
+    said[-7] = [(0, "user", "</s>[INST] ok [/INST]"), (1, "assistant", "</s>[INST] ok [/INST]")]
+    got = Q["op1_chat_format"](spark, SF).collect()
+    assert {r.conv_id for r in got} == set(said)
+    for r in got:
+        turns = sorted(said[r.conv_id])
+        loss = "".join(t for _, role, t in turns if role == "assistant")
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{t}\n" for _, a, t in turns).encode()).hexdigest()
+        assert (r.n_turns, r.loss_chars, r.loss_sha256) == (len(turns), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+def test_op1_parts(spark):
+    part = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
+    messages = spark.createDataFrame([(1, 0, "user", [("text", "a\\<|im_end|>", None, None, None, None, None), ("image", None, "i.png", 57, 28, None, None), ("audio", None, "a.wav", None, None, 2.0, None)]), (1, 1, None, None)], f"conv_id long, turn long, role string, parts array<{part}>")
+    out = chat.read_back(chat.format_chats(messages)).first()
+    assert [(a.turn, a.type, a.ref, a.tokens) for a in out.attachments] == [(0, "image", "i.png", 3), (0, "audio", "a.wav", 50)]
+    assert out.expanded_tokens == 53 and out.n_turns == 2 and out.turns_read[0].text.startswith("a\\<|im_end|>")
+
+
+LONG = "word " * 60_000
+ODD = [(1, None, None, None), (2, "", "en", "s"), (None, "text without id here now", "en", "s"), (3, LONG, "en", None), (4, "same text twice over again", "fr", "s"), (4, "same text twice over again", "fr", "s"), (5, "12 34", None, "s")]
+SCHEMA = "doc_id long, text string, lang string, source string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    extra = {"score": F.lit("mine"), "shard": F.lit(1), "n": F.lit(2), "digest": F.lit("x"), "id": F.lit(9), "_id": F.lit(8), "_found": F.lit("f"), "attempts": F.lit(0), "_p": F.lit(1), "_u": F.lit(1), "token": F.lit("t"), "p": F.lit(0), "y": F.lit(1)}
+    return spark.createDataFrame(ODD, SCHEMA).withColumns(extra)
+
+
+LABELS = "doc_id long, y int"
+RUNS = {
+    "packing": lambda s, d: packing.best_fit_pack(d),
+    "langid": lambda s, d: langid.predict(d, langid.fit(d)),
+    "quality": lambda s, d: quality.score(d, quality.fit(d, s.createDataFrame([(4,)], "doc_id long"))),
+    "decontam": lambda s, d: decontam.contaminated(d, s.createDataFrame([(1, "same text twice over again")], "item_id long, text string")),
+    "toxicity": lambda s, d: toxicity.score(d, m := toxicity.character_model(d), toxicity.fit(d, s.createDataFrame([(4, 1), (3, 0)], LABELS), m)),
+    "pii": lambda s, d: pii.replace_entities(d),
+    "jaccard": lambda s, d: jaccard.near_duplicates(d),
+    "tokens": lambda s, d: tokencount.count_tokens(d),
+}
+
+
+@pytest.mark.parametrize("name", sorted(RUNS))
+def test_odd_and_empty_tables(spark, odd, name):
+    got = RUNS[name](spark, odd).collect()
+    if name == "decontam":
+        assert [r.doc_id for r in got] == [4, 4]
+    elif name == "packing":
+        assert sum(r.start == 0 for r in got) == len(ODD)
+    else:
+        assert len(got) == len(ODD)
+    assert RUNS[name](spark, odd.limit(0)).collect() == []
+
+
+def test_empty_vectors(spark):
+    none = spark.createDataFrame([], "id long, v array<double>")
+    assert ann.nearest(none, none).collect() == []
+    few = spark.createDataFrame([(0, [1.0, 0.0]), (100, [1.0, 0.0]), (3, [0.0, 2.0])], "id long, v array<double>")
+    assert [(r.query_id, r.rank, r.vec_id) for r in ann.nearest(few, few.where("id = 0")).orderBy("rank").collect()] == [(0, 1, 100), (0, 2, 3)]
+    bad = spark.createDataFrame([([0.0],), ([None],), ([float("nan")],), (None,), ([1.0],)], "v array<double>")
+    assert [r.ok for r in bad.select(ann.usable(F.col("v")).alias("ok")).collect()] == [False, False, False, False, True]
+
+
+def test_pipeline_stages(spark):
+    assert [k for k, _ in corpus_pipeline.STAGES] == ["language_id", "jaccard_join", "decontamination", "pii", "best_fit_packing"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    near = linked([(r.doc_id, r.text) for r in docs.collect()])
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d, _, c in near if d == c}
+    leaks = {r.doc_id for r in Q["op5_decontamination"](spark, SF).collect()}
+    clean = corpus_pipeline.drop_benchmark_leaks(spark, docs, SF)
+    assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {r.doc_id for r in docs.collect()} - leaks
+    assert corpus_pipeline.keep_known_languages(spark, docs, SF).count() > 0.9 * docs.count()
+
+
+def test_pipeline_on_odd_documents(spark, odd, tmp_path):
+    spark.createDataFrame([(1, "never seen anywhere at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    odd = odd.withColumn("n_chars", F.length("text").cast("long"))
+    for docs in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            assert name == "best_fit_packing" or out.columns == docs.columns
+            docs = spark.createDataFrame(out.collect(), out.schema)
