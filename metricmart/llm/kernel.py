@@ -67,6 +67,8 @@ def blocks(texts: pa.Array, most: int = BLOCK_BYTES, most_rows: int = 1 << 16) -
         end = min(end, len(texts), row + most_rows)
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
+    del texts, data, offsets
+    pa.default_memory_pool().release_unused()  # a reused worker would keep what a batch has freed
 
 
 def words(data: np.ndarray, offsets: np.ndarray, values: np.ndarray = FOLDED, spaces: np.ndarray = SPACES, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
