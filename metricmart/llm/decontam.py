@@ -1,10 +1,11 @@
-"""Benchmark decontamination by rare seeds and local alignment (operator 5).
+"""Benchmark decontamination by seeds and local alignment (operator 5).
 
-Seeds are 3-word sequences of test items. A first pass counts every seed over all documents; an item keeps the seeds
-that are rare beside its others, whatever their absolute count, so copies in many documents stay found. A second pass
-joins documents to items by the kept seeds (a lookup by hash), cuts a window around the hits of each document and
-item, and aligns it with the item by Smith-Waterman over word hashes; edited and paraphrased copies lose only what
-was changed. Items come in blocks of ``block`` by hash, so what a task holds is bounded whatever the benchmark's size.
+Seeds are 3-word sequences of test items; all count, however often documents or items hold them, so what is found in a
+document doesn't depend on the others. Documents are joined to items by their seeds (a lookup by hash), a window is cut
+around the hits of each document and item, and aligned with the item by Smith-Waterman over word hashes; edited and
+paraphrased copies lose only what was changed. Common seeds are paid for by two bounds that no pair within reach of the
+threshold fails: on the item's words in the document, and on the item's words within any stretch an alignment can span.
+Items come in blocks of ``block`` by hash, so what a task holds is bounded whatever the benchmark's size.
 
 Words are lower-cased runs without ASCII punctuation. Items of fewer than three words have no seed and match nothing.
 Null and empty texts match nothing. Repeated rows match alike. Empty tables give no rows.
@@ -39,18 +40,13 @@ class Seeds:
             at.append(p)
         h, item, at = map(np.concatenate, (h, item, at))
         order = np.argsort(h, kind="stable")
-        self._set(h[order], item[order], at[order])
-
-    def _set(self, h: np.ndarray, item: np.ndarray, at: np.ndarray) -> None:
-        self.h, self.item, self.at = h, item, at
-        self.unique, self.first = np.unique(h, return_index=True)
-        self.count = np.diff(np.append(self.first, len(h)))
+        h, self.item, self.at = h[order], item[order], at[order]
+        self.unique, first = np.unique(h, return_index=True)
+        self.items = max(len(items), 1)
+        self.key = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h)))) * self.items + self.item  # ascending
         self.table = np.zeros(1 << 22, bool)
         self.table[(self.unique >> np.uint64(42)).astype(np.int64)] = True
 
-    def kept(self, ok: np.ndarray) -> None:
-        self._set(self.h[ok], self.item[ok], self.at[ok])
-
     def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indices of grams that are seeds, and their index in ``unique``."""
         maybe = np.flatnonzero(self.table[(grams >> np.uint64(42)).astype(np.int64)])
@@ -60,6 +56,22 @@ class Seeds:
         hit = self.unique[u] == grams[maybe]
         return maybe[hit], u[hit]
 
+    def places(self, u: np.ndarray, doc: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(hit, place) of all places of the seeds ``u``, in parts of about ``most`` that hold all of a document and item."""
+        todo = [(0, len(u), 0, self.items)]
+        while todo:
+            a, b, low, high = todo.pop()
+            first = np.searchsorted(self.key, u[a:b] * self.items + low)
+            n = np.searchsorted(self.key, u[a:b] * self.items + high) - first
+            if n.sum() > most and doc[a] != doc[b - 1]:
+                m = int(np.searchsorted(doc, doc[(a + b) // 2]))
+                m = m if m > a else int(np.searchsorted(doc, doc[a], "right"))
+                todo += [(m, b, low, high), (a, m, low, high)]
+            elif n.sum() > most and high - low > 1:
+                todo += [(a, b, (low + high) // 2, high), (a, b, low, (low + high) // 2)]
+            elif n.sum():
+                yield np.repeat(np.arange(a, b), n), np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
 
 def _words(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     for row, _, data, offsets in kernel.blocks(texts):
@@ -80,6 +92,33 @@ def align(item: np.ndarray, text: np.ndarray, match: float = 1.0, mismatch: floa
     return best / max(match * len(item), 1e-9)
 
 
+def _held(words: list[np.ndarray], text: np.ndarray, threshold: float, most: int = 1 << 20) -> np.ndarray:
+    """Whether of each item at least ``threshold`` of the words seem to be in the text (by a table of hashes)."""
+    table = np.zeros(1 << 18, bool)
+    table[(text >> np.uint64(46)).astype(np.int64)] = True
+    out, size = np.zeros(len(words), bool), np.cumsum([len(w) for w in words])
+    part = size // most
+    for k in np.unique(part).tolist():
+        a, b = np.searchsorted(part, [k, k + 1])
+        flat = table[(np.concatenate(words[a:b]) >> np.uint64(46)).astype(np.int64)]
+        lens = np.array([len(w) for w in words[a:b]])
+        out[a:b] = np.add.reduceat(flat, np.cumsum(lens) - lens, dtype=np.int64) >= threshold * lens - 1e-9
+    return out
+
+
+def _stretches(item: np.ndarray, text: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Parts of the text that hold every alignment which reaches ``threshold``. Its matches are ``threshold`` times the
+    item's length at least, and every gap takes half a match, so it spans no more than ``span`` words."""
+    span = len(item) + int(2 * max(1 - threshold, 0) * len(item)) + 1
+    total = np.concatenate([[0], np.cumsum(np.isin(text, item))])
+    enough = threshold * len(item) - 1e-9
+    if len(text) <= span:
+        return [(0, len(text))] if total[-1] >= enough else []
+    ok = np.concatenate([[False], total[span:] - total[:-span] >= enough, [False]])
+    first, last = np.flatnonzero(ok[1:] & ~ok[:-1]), np.flatnonzero(ok[:-1] & ~ok[1:])
+    return [(a, b - 1 + span) for a, b in zip(first.tolist(), last.tolist())]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, block: int = 20_000) -> DataFrame:
     """doc_id, item_id, score (of the best window), start_word, for pairs that reach ``threshold``; one row a pair and document row."""
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -98,29 +137,6 @@ def _one_block(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame
     ids = np.array([r.item_id if r.item_id is not None else -1 for r in rows], np.int64)
     seeds = Seeds(words)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shared = sc.broadcast(seeds)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = shared.value
-        n = np.zeros(len(seeds.unique), np.int64)
-        for batch in batches:
-            for _, h, by_row in _words(batch.column(0)):
-                grams, _ = kernel.ngrams(h, by_row, SEED)
-                n += np.bincount(seeds.find(grams)[1], minlength=len(n))
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at])], names=["seed", "n"])
-
-    total = np.zeros(len(seeds.unique), np.int64)
-    for r in texts.select("text").mapInArrow(count, "seed int, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():  # as many as the block's seeds
-        total[r.seed] = r.n
-    counts = np.repeat(total, seeds.count)
-    ok = np.zeros(len(counts), bool)
-    for k in range(len(words)):
-        own = np.flatnonzero(seeds.item == k)
-        found = counts[own][counts[own] > 0]
-        if len(found):
-            ok[own] = (counts[own] > 0) & (counts[own] <= max(16, 4 * np.median(found)))
-    seeds.kept(ok)
     lengths = np.array([len(w) for w in words], np.int64)
     ready = sc.broadcast((seeds, words, lengths, ids))
 
@@ -132,31 +148,35 @@ def _one_block(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame
                 hit, u = seeds.find(grams)
                 if not len(hit):
                     continue
-                n = seeds.count[u]
-                place = np.repeat(seeds.first[u], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                pos, item, item_at = np.repeat(at[hit], n), seeds.item[place], seeds.at[place]
-                doc = np.searchsorted(by_row, pos, "right") - 1
-                order = np.lexsort((pos, item, doc))
-                pos, item, item_at, doc = pos[order], item[order], item_at[order], doc[order]
-                start = pos - item_at
-                # hits farther apart than an item's length belong to different windows
-                new = np.ones(len(pos), bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (pos[1:] - pos[:-1] > lengths[item[1:]])
-                lo = np.flatnonzero(new)
                 best: dict[tuple[int, int], tuple[float, int]] = {}
-                for a, b in zip(lo.tolist(), np.append(lo[1:], len(pos)).tolist()):
-                    d, k = int(doc[a]), int(item[a])
-                    length, w = int(lengths[k]), words[k]
-                    if b - a < min(2, length // 12 + 1):
-                        continue
-                    first = max(int(by_row[d]), int(start[a:b].min()) - length // 4)
-                    last = min(int(by_row[d + 1]), int(start[a:b].max()) + length + length // 4)
-                    text = h[first:last]
-                    if np.isin(w, text).mean() < threshold:  # no alignment can reach it
-                        continue
-                    value = align(w, text)
-                    if value >= threshold and value > best.get((d, k), (0.0, 0))[0]:
-                        best[d, k] = (value, first - int(by_row[d]))
+                hit_doc = np.searchsorted(by_row, at[hit], "right") - 1
+                for at_hit, place in seeds.places(u, hit_doc):
+                    pos, item, item_at, doc = at[hit[at_hit]], seeds.item[place], seeds.at[place], hit_doc[at_hit]
+                    order = np.lexsort((pos, item, doc))
+                    pos, item, item_at, doc = pos[order], item[order], item_at[order], doc[order]
+                    start = pos - item_at
+                    # hits farther apart than an item's length belong to different windows
+                    new = np.ones(len(pos), bool)
+                    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (pos[1:] - pos[:-1] > lengths[item[1:]])
+                    lo = np.flatnonzero(new)
+                    hi = np.append(lo[1:], len(pos))
+                    low, high = np.minimum.reduceat(start, lo), np.maximum.reduceat(start, lo)
+                    ok = hi - lo >= np.minimum(2, lengths[item[lo]] // 12 + 1)
+                    d_of, k_of, low, high = doc[lo][ok], item[lo][ok], low[ok], high[ok]
+                    for d in np.unique(d_of).tolist():
+                        a, b = np.searchsorted(d_of, [d, d + 1])
+                        begin, end = int(by_row[d]), int(by_row[d + 1])
+                        for j in (a + np.flatnonzero(_held([words[k] for k in k_of[a:b]], h[begin:end], threshold))).tolist():
+                            k = int(k_of[j])
+                            length, w = int(lengths[k]), words[k]
+                            first, last = max(begin, int(low[j]) - length // 4), min(end, int(high[j]) + length + length // 4)
+                            for x, y in _stretches(w, h[first:last], threshold):
+                                text = h[first + x : first + y]
+                                if np.isin(w, text).mean() < threshold:  # no alignment can reach it
+                                    continue
+                                value = align(w, text)
+                                if value >= threshold and value > best.get((d, k), (0.0, 0))[0]:
+                                    best[d, k] = (value, first + x - begin)
                 if best:
                     keys = list(best)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([row + d for d, _ in keys])), pa.array(ids[[k for _, k in keys]]), pa.array([best[x][0] for x in keys]), pa.array([best[x][1] for x in keys], pa.int64())], names=["doc_id", "item_id", "score", "start_word"])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from metricmart.llm import ann, chat, decontam, jaccard, langid, packing, pii, quality, tokencount, toxicity
+from metricmart.llm import ann, chat, decontam, jaccard, kernel, langid, packing, pii, quality, tokencount, toxicity
 from metricmart.llm.components import components
 
 SF, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
@@ -169,6 +169,32 @@ def test_op5_finds_plants_and_leaves_clean(spark):
     assert got == {(1, 70), (2, 70)}
 
 
+def test_op5_finds_many_equal_edited_copies(spark):
+    """A thousand copies edited alike beside one verbatim copy, and each found as it is alone."""
+    item = [f"w{k}" for k in range(40)]
+    edited = " ".join(f"x{k}" if k % 5 == 2 else w for k, w in enumerate(item))
+    docs = [(0, " ".join(item)), *((k, edited) for k in range(1, 1001)), (2000, "other words " * 50)]
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(70, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == list(range(1001)) and {round(r.score, 9) for r in got if r.doc_id} == {0.7}
+
+
+def test_op5_common_seeds():
+    """Parts of hits lose no place, and the stretches of a long window hold its alignment."""
+    rng = np.random.default_rng(4)
+    items = [kernel.mix(np.concatenate([np.arange(3), rng.integers(3, 10**6, 20)]).astype(np.uint64)) for _ in range(50)]
+    seeds = decontam.Seeds(items)
+    doc = np.repeat(np.arange(4), [1, 30, 2, 0])
+    u = np.resize(np.arange(len(seeds.unique)), len(doc))
+    whole, parts = ({(int(h), int(p)) for x, y in seeds.places(u, doc, most) for h, p in zip(x, y)} for most in (1 << 20, 7))
+    assert whole == parts and len(whole) == sum(int((seeds.key // seeds.items == x).sum()) for x in u)
+    text = rng.integers(10**7, 10**8, 2000).astype(np.uint64)
+    text[1000:1046:2] = items[0]  # a gap after every word
+    for threshold in (0.2, 0.45):
+        cut = decontam._stretches(items[0], text, threshold)
+        assert max(decontam.align(items[0], text[a:b]) for a, b in cut) == decontam.align(items[0], text) and sum(b - a for a, b in cut) < 400
+    assert decontam._held(items[:2], items[0], 0.5).tolist() == [True, False] and decontam._held(items[:2], items[0], 0.5, 1).tolist() == [True, False]
+
+
 def test_alignment():
     """The vectorised rows give the score of the plain recurrence."""
     rng = np.random.default_rng(2)
