@@ -8,7 +8,9 @@ a replacement of the same type and format from a keyed hash, so the same entity
 * a card number that passes the Luhn check is replaced by one that passes it;
 * a name keeps its honorific and script, and a given name its gender (by honorific or list); each word is replaced
   by itself, so "Mr. Smith" and "John Smith" still share their surname;
-* an e-mail's domain is replaced by itself, so addresses of one domain still share it.
+* an e-mail's domain is replaced by itself, so addresses of one domain still share it;
+* a secret runs to its closing quote in the line, else to the next blank or quote (less punctuation at its end),
+  whatever its length; separators stay, letters of other alphabets become Latin ones, and other symbols change.
 
 Collision check: over all distinct entities, a replacement that two entities share, or that is itself an entity of
 the corpus, is drawn again with the next attempt number until none is left (or ``rounds`` are over). Few entities
@@ -30,10 +32,12 @@ GIVEN = {
     "female": ("Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Susan", "Sarah", "Karen", "Anna", "Ursula", "Monika", "Marie", "Camille", "Carmen", "Lucía", "Мария", "Ольга", "Ελένη"),
 }
 _WORD = r"\p{Lu}\p{Ll}{1,30}"
-_SECRET_NAME = r"(?:token|password|passwd|secret|api_key|apikey|access_key)"
+_LABEL = r"(?:token|password|passwd|secret|api_key|apikey|access_key) {0,3}[=:] {0,3}"
+_QUOTED = r"(?=[^{0}\r\n]{{8}})(?=[^{0}\r\n\p{{L}}\p{{N}}]*+[\p{{L}}\p{{N}}])[^{0}\r\n]++(?={0})"
+_BARE = r"""(?=[^\s"']{8})(?=[^\s"'\p{L}\p{N}]*+[\p{L}\p{N}])(?:[.,;:!?)\]}>]*+[^\s"'.,;:!?)\]}>]++)++"""
 PATTERNS = {
     "email": r"(?<![\w.%+-])[\w.%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
-    "secret": r"(?<![A-Za-z])" + _SECRET_NAME + r" {0,3}[=:] {0,3}[\"']?[A-Za-z0-9_/+-]{8,128}",
+    "secret": r"(?<![A-Za-z])" + _LABEL + r"(?:\"" + _QUOTED.format('"') + "|'" + _QUOTED.format("'") + r"|[\"']?" + _BARE + ")",
     "access_key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)",
@@ -52,7 +56,8 @@ _ENDINGS = {"Latin": {"male": "us", "female": "a"}, "Cyrillic": {"male": "ан",
 def kind(entity: Column) -> Column:
     out = F.lit("name")
     for k in reversed([k for k in PATTERNS if k != "name"]):
-        out = F.when(entity.rlike("^(?:" + PATTERNS[k] + ")$"), F.lit(k)).otherwise(out)
+        # no other kind begins like a secret, whose end depends on what follows it in the text
+        out = F.when(entity.rlike("^" + _LABEL if k == "secret" else "^(?:" + PATTERNS[k] + ")$"), F.lit(k)).otherwise(out)
     return out
 
 
@@ -63,7 +68,7 @@ def let(value: Column, body) -> Column:
 
 def unit(entity: Column, k: Column | None = None) -> Column:
     """What is kept distinct: a secret without its label, a name without its honorific, else the entity. ``k``: its kind."""
-    secret = F.regexp_replace(entity, "^" + _SECRET_NAME + r" {0,3}[=:] {0,3}[\"']?", "")
+    secret = F.regexp_replace(entity, "^" + _LABEL + r"[\"']?", "")
     title = "^(?:" + "|".join(x for v in HONORIFICS.values() for x in v) + r")\.? "
     of = lambda k: F.when(k == "secret", secret).when(k == "name", F.regexp_replace(entity, title, "")).otherwise(entity)
     return let(kind(entity), of) if k is None else of(k)
@@ -79,8 +84,8 @@ def _hash(key: str, what: str, value: Column, attempt: Column) -> Column:
     return F.sha2(F.concat_ws("\u001f", F.lit(key), F.lit(what), F.lower(value), attempt.cast("string")), 512)
 
 
-def _scrambled(s: Column, h: Column, hexadecimal: bool = False) -> Column:
-    """``h``: a column or variable that holds the hash."""
+def _scrambled(s: Column, h: Column, hexadecimal: bool = False, all_letters: bool = False) -> Column:
+    """``h``: a column or variable that holds the hash. ``all_letters``: other alphabets and symbols change too."""
 
     def of(s: Column) -> Column:
         def char(i: Column) -> Column:
@@ -88,7 +93,10 @@ def _scrambled(s: Column, h: Column, hexadecimal: bool = False) -> Column:
                 one = lambda letters: F.substring(F.lit(letters), (_number(h, i - 1) + i + F.floor(i / 32) * 7) % len(letters) + 1, F.lit(1))
                 if hexadecimal:
                     return F.when(c.rlike("[0-9a-f]"), one("0123456789abcdef")).otherwise(c)
-                return F.when(c.rlike("[0-9]"), one("0123456789")).when(c.rlike("[a-z]"), one("abcdefghijklmnopqrstuvwxyz")).when(c.rlike("[A-Z]"), one("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(c)
+                made = F.when(c.rlike("[0-9]"), one("0123456789")).when(c.rlike("[a-z]"), one("abcdefghijklmnopqrstuvwxyz")).when(c.rlike("[A-Z]"), one("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+                if all_letters:
+                    made = made.when(c.rlike(r"\p{Lu}"), one("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).when(c.rlike(r"[\p{L}\p{M}]"), one("abcdefghijklmnopqrstuvwxyz")).when(c.rlike(r"\p{N}"), one("0123456789")).when(c.rlike(r"[!@#$%^&*?~]|[^\x00-\x7f]"), one("!@#$%^&*?~"))
+                return made.otherwise(c)
 
             return let(F.substring(s, i, F.lit(1)), pick)
 
@@ -149,7 +157,7 @@ def _name(entity: Column, u: Column, attempt: Column, key: str) -> Column:
 
 def _replaced(entity: Column, k: Column, u: Column, h: Column, attempt: Column, key: str) -> Column:
     label = F.substring(entity, F.lit(1), F.length(entity) - F.length(u))
-    secret = F.concat(label, F.when(u.rlike("^[0-9a-f]+$"), _scrambled(u, h, True)).otherwise(_scrambled(u, h)))
+    secret = F.concat(label, F.when(u.rlike("^[0-9a-f]+$"), _scrambled(u, h, True)).otherwise(_scrambled(u, h, all_letters=True)))
     base32 = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), _number(h, i) % 32 + 1, F.lit(1))), "")
     country = F.regexp_extract(entity, r"^\+\d{1,3}(?=[ .(-])|^\+\d", 0)
     phone = F.concat(country, _scrambled(F.substring(entity, F.length(country) + 1, F.length(entity)), h))

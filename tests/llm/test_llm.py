@@ -241,6 +241,19 @@ def test_op8_keeps_types_and_coreference(spark):
     assert "+44 " in by[1] and pii.replace_entities(docs, "other").where("doc_id = 2").first().text != by[2]
 
 
+def test_op8_whole_secrets(spark):
+    long, jwt = "Ab3" * 67, "eyJhbGciOi.eyJzdWIiOi.SflKxwRJSM"
+    secrets = [f"token = {long} end", f'token = "{jwt}" end', f"token: {jwt}. end", "password: 'pa ss=wörd!@x9' end", "password=abc=def!ghi@jkl end"]
+    docs = spark.createDataFrame(list(enumerate(secrets)), "doc_id long, text string")
+    by = {r.doc_id: r.text for r in pii.replace_entities(docs, "k").collect()}
+    for k, raw in enumerate(secrets):
+        old, new = (re.sub(r"^\w+ ?[=:] ?|(?<=.)\.? end$", "", x).strip("\"'") for x in (raw, by[k]))
+        assert by[k].endswith(" end") and len(new) == len(old) and re.split("[=:]", raw)[0] == re.split("[=:]", by[k])[0]
+        for part in re.findall(r"\w{3,}", old):
+            assert part not in new
+    assert re.search(r'"(.*)"', by[1])[1] in by[2] and "Ab3Ab3" not in by[0] and "ö" not in by[3] and " ss" not in by[3]
+
+
 @pytest.mark.parametrize("block,span", [(7, 2), (1, 3), (1 << 20, 1024)])
 def test_op10_scan_across_blocks(spark, tmp_path, block, span):
     rng = np.random.default_rng(3)
