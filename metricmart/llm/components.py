@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from metricmart.llm.kernel import stored
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``edges``: a, b. Returns node, component (the smallest node that it reaches), for nodes with an edge.
 
     Each step is a minimum by vertex (pre-aggregated) joined back to the edges, so a vertex with very many edges
@@ -16,7 +16,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
-    for _ in range(rounds):
+    while True:  # the steps converge in a logarithmic number of rounds
         both = e.union(e.select("b", "a")).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

@@ -127,6 +127,12 @@ def hashed_bytes(data: np.ndarray, offsets: np.ndarray, n: int, dim: int) -> np.
     return np.bincount(key[ok], minlength=rows * dim).reshape(rows, dim).astype(np.float32)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of whole texts hold at most so many rows from now on, which bounds what a Python worker holds."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows or int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 0:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share (spark.checkpoint.dir); one of this machine only where none is set, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)

@@ -62,6 +62,47 @@ def test_op9_small_and_odd(spark):
     assert got == {(5, 1, 3), (3, 1, 3), (7, 0, 7), (8, 0, 8), (9, 22, 2), (2, 23, 2), (4, 1, 4)}
 
 
+def test_op9_repeated_and_null_ids(spark):
+    """Rows of one id with other texts link on their own; rows without an id link others and take their ids."""
+    a, c = ([f"{x}{k}" for k in range(60)] for x in "ac")
+    near = lambda w: " ".join([*w, "end"])
+    docs = [(1, " ".join(a)), (1, "something else with enough words"), (2, near(a)), (1, " ".join(c)), (3, near(c)), (None, near([*a, "more"])), (None, "nobody shares these words at all"), (None, None)]
+    got = jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == sorted([(1, 56, 1), (1, 1, 1), (2, 57, 1), (1, 56, 1), (3, 57, 1), (None, 58, 1), (None, 2, None), (None, 0, None)], key=str)
+
+
+@pytest.mark.parametrize("stars", [0, 3])
+def test_op9_hot_groups_with_and_without_stars(spark, stars):
+    """A line in all texts, a group of near copies, a chain of copies of copies: trees alone find what stars and trees do."""
+    rng = np.random.default_rng(8)
+    line, original = [f"common{k}" for k in range(12)], [f"o{k}" for k in range(80)]
+    docs = [(k, " ".join([*line, *(f"w{x}" for x in rng.integers(0, 10**6, 40))])) for k in range(60)]
+    for k in range(60, 130):
+        at = int(rng.integers(0, 80))
+        docs.append((k, " ".join([*line, *original[:at], f"new{k}", *original[at + 1 :]])))
+    chain = [f"c{k}" for k in range(300)]
+    for k in range(130, 150):
+        chain = [*chain[5:], *(f"d{k}_{j}" for j in range(5))]
+        docs.append((k, " ".join(chain)))
+    got = jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), stars=stars, block=16).collect()
+    assert {tuple(r) for r in got} == linked(docs) and len(got) == len(docs)
+
+
+def test_op9_tree_is_brute_force():
+    """Walked trees lose no pair, whatever the bitmaps' widths, and prune unlike ones."""
+    rng = np.random.default_rng(6)
+    base = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in rng.integers(20, 600, 25)]
+    sets = [np.unique(np.concatenate([b[: max(1, int(len(b) * f))], rng.integers(0, 1 << 63, int(e), dtype=np.uint64)])) for b in base for f, e in zip(rng.uniform(0.7, 1, 6), rng.integers(0, 20, 6))]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    raw = np.array(jaccard.bitmaps(np.concatenate(sets), offsets).to_pylist(), object)
+    size, n = np.diff(offsets), len(sets)
+    found = {tuple(sorted(p)) for x in jaccard._group_pairs(np.arange(n), None, raw, size, np.arange(n), size, 80, 100) for p in x.tolist()}
+    half = [np.arange(0, n, 2), np.arange(1, n, 2)]
+    across = {tuple(sorted(p)) for x in jaccard._group_pairs(*half, raw, size, np.arange(n), size, 80, 100) for p in x.tolist()}
+    true = {(i, j) for j in range(n) for i in range(j) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    assert true <= found and {p for p in true if (p[0] + p[1]) % 2} <= across and len(found) < 0.2 * n * n / 2
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 7), (3, 1)], "a long, b long")
     assert {(r.node, r.component) for r in components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 7), (9, 7)}
