@@ -5,10 +5,13 @@ document doesn't depend on the others. Documents are joined to items by their se
 around the hits of each document and item, and aligned with the item by Smith-Waterman over word hashes; edited and
 paraphrased copies lose only what was changed. Common seeds are paid for by two bounds that no pair within reach of the
 threshold fails: on the item's words in the document, and on the item's words within any stretch an alignment can span.
-Items come in blocks of ``block`` by hash, so what a task holds is bounded whatever the benchmark's size.
+Items come in blocks of bounded number and size by hash, each broadcast and one scan of the documents, so what a task
+holds is bounded whatever the benchmark's size.
 
 Words are lower-cased runs without ASCII punctuation. Items of fewer than three words have no seed and match nothing.
-Null and empty texts match nothing. Repeated rows match alike. Empty tables give no rows.
+Null and empty texts match nothing. Null ids stay null, and null item ids are items as others are; equal rows of
+``benchmark`` count once. Repeated documents match alike, and ties of windows go to the first. Very long texts are
+searched whole. Other columns are not read. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -119,66 +122,98 @@ def _stretches(item: np.ndarray, text: np.ndarray, threshold: float) -> list[tup
     return [(a, b - 1 + span) for a, b in zip(first.tolist(), last.tolist())]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, block: int = 20_000) -> DataFrame:
+def _items(benchmark: DataFrame, block: int, chars: int) -> list[DataFrame]:
+    """item_id, text of the test items, in blocks of about ``block`` items and ``chars`` characters at most, by hash."""
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // block), -(-size // chars))
+    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) for b in range(blocks)]
+
+
+class _Searcher:
+    """One block of items, made ready on the driver and broadcast."""
+
+    def __init__(self, items: DataFrame, threshold: float):
+        rows = items.orderBy("item_id", "text").collect()  # one block
+        self.words = [np.zeros(0, np.uint64)] * len(rows)
+        for row, h, by_row in _words(pa.array([r.text for r in rows], pa.string())):
+            for k in range(len(by_row) - 1):
+                self.words[row + k] = h[by_row[k] : by_row[k + 1]]
+        self.ids = pa.array([r.item_id for r in rows], pa.int64())
+        self.lengths, self.seeds, self.threshold = np.array([len(w) for w in self.words], np.int64), Seeds(self.words), threshold
+
+    def search(self, texts: pa.Array) -> Iterator[tuple[int, int, float, int]]:
+        """(row, item, score of the best window, its first word) for pairs that reach the threshold."""
+        seeds, words, lengths, threshold = self.seeds, self.words, self.lengths, self.threshold
+        for row, h, by_row in _words(texts):
+            grams, at = kernel.ngrams(h, by_row, SEED)
+            hit, u = seeds.find(grams)
+            if not len(hit):
+                continue
+            best: dict[tuple[int, int], tuple[float, int]] = {}
+            hit_doc = np.searchsorted(by_row, at[hit], "right") - 1
+            for at_hit, place in seeds.places(u, hit_doc):
+                pos, item, item_at, doc = at[hit[at_hit]], seeds.item[place], seeds.at[place], hit_doc[at_hit]
+                order = np.lexsort((pos, item, doc))
+                pos, item, item_at, doc = pos[order], item[order], item_at[order], doc[order]
+                start = pos - item_at
+                # hits farther apart than an item's length belong to different windows
+                new = np.ones(len(pos), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (pos[1:] - pos[:-1] > lengths[item[1:]])
+                lo = np.flatnonzero(new)
+                hi = np.append(lo[1:], len(pos))
+                low, high = np.minimum.reduceat(start, lo), np.maximum.reduceat(start, lo)
+                ok = hi - lo >= np.minimum(2, lengths[item[lo]] // 12 + 1)
+                d_of, k_of, low, high = doc[lo][ok], item[lo][ok], low[ok], high[ok]
+                for d in np.unique(d_of).tolist():
+                    a, b = np.searchsorted(d_of, [d, d + 1])
+                    begin, end = int(by_row[d]), int(by_row[d + 1])
+                    for j in (a + np.flatnonzero(_held([words[k] for k in k_of[a:b]], h[begin:end], threshold))).tolist():
+                        k = int(k_of[j])
+                        length, w = int(lengths[k]), words[k]
+                        first, last = max(begin, int(low[j]) - length // 4), min(end, int(high[j]) + length + length // 4)
+                        for x, y in _stretches(w, h[first:last], threshold):
+                            text = h[first + x : first + y]
+                            if np.isin(w, text).mean() < threshold:  # no alignment can reach it
+                                continue
+                            value = align(w, text)
+                            if value >= threshold and value > best.get((d, k), (0.0, 0))[0]:
+                                best[d, k] = (value, first + x - begin)
+            for (d, k), (value, first) in best.items():
+                yield row + d, k, value, first
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, block: int = 20_000, chars: int = 1 << 25) -> DataFrame:
     """doc_id, item_id, score (of the best window), start_word, for pairs that reach ``threshold``; one row a pair and document row."""
-    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    blocks = max(1, -(-items.count() // block))
-    parts = [_one_block(docs, items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b), threshold) for b in range(blocks)]
-    return reduce(DataFrame.union, parts)
-
-
-def _one_block(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
-    sc = docs.sparkSession.sparkContext
-    rows = items.orderBy("item_id", "text").collect()  # one block
-    words = [np.zeros(0, np.uint64)] * len(rows)
-    for row, h, by_row in _words(pa.array([r.text for r in rows], pa.string())):
-        for k in range(len(by_row) - 1):
-            words[row + k] = h[by_row[k] : by_row[k + 1]]
-    ids = np.array([r.item_id if r.item_id is not None else -1 for r in rows], np.int64)
-    seeds = Seeds(words)
+    kernel.small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lengths = np.array([len(w) for w in words], np.int64)
-    ready = sc.broadcast((seeds, words, lengths, ids))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, words, lengths, ids = ready.value
-        for batch in batches:
-            for row, h, by_row in _words(batch.column(1)):
-                grams, at = kernel.ngrams(h, by_row, SEED)
-                hit, u = seeds.find(grams)
-                if not len(hit):
-                    continue
-                best: dict[tuple[int, int], tuple[float, int]] = {}
-                hit_doc = np.searchsorted(by_row, at[hit], "right") - 1
-                for at_hit, place in seeds.places(u, hit_doc):
-                    pos, item, item_at, doc = at[hit[at_hit]], seeds.item[place], seeds.at[place], hit_doc[at_hit]
-                    order = np.lexsort((pos, item, doc))
-                    pos, item, item_at, doc = pos[order], item[order], item_at[order], doc[order]
-                    start = pos - item_at
-                    # hits farther apart than an item's length belong to different windows
-                    new = np.ones(len(pos), bool)
-                    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (pos[1:] - pos[:-1] > lengths[item[1:]])
-                    lo = np.flatnonzero(new)
-                    hi = np.append(lo[1:], len(pos))
-                    low, high = np.minimum.reduceat(start, lo), np.maximum.reduceat(start, lo)
-                    ok = hi - lo >= np.minimum(2, lengths[item[lo]] // 12 + 1)
-                    d_of, k_of, low, high = doc[lo][ok], item[lo][ok], low[ok], high[ok]
-                    for d in np.unique(d_of).tolist():
-                        a, b = np.searchsorted(d_of, [d, d + 1])
-                        begin, end = int(by_row[d]), int(by_row[d + 1])
-                        for j in (a + np.flatnonzero(_held([words[k] for k in k_of[a:b]], h[begin:end], threshold))).tolist():
-                            k = int(k_of[j])
-                            length, w = int(lengths[k]), words[k]
-                            first, last = max(begin, int(low[j]) - length // 4), min(end, int(high[j]) + length + length // 4)
-                            for x, y in _stretches(w, h[first:last], threshold):
-                                text = h[first + x : first + y]
-                                if np.isin(w, text).mean() < threshold:  # no alignment can reach it
-                                    continue
-                                value = align(w, text)
-                                if value >= threshold and value > best.get((d, k), (0.0, 0))[0]:
-                                    best[d, k] = (value, first + x - begin)
-                if best:
-                    keys = list(best)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([row + d for d, _ in keys])), pa.array(ids[[k for _, k in keys]]), pa.array([best[x][0] for x in keys]), pa.array([best[x][1] for x in keys], pa.int64())], names=["doc_id", "item_id", "score", "start_word"])
-
-    return texts.mapInArrow(search, "doc_id long, item_id long, score double, start_word long")
+
+    def one(items: DataFrame) -> DataFrame:
+        ready = docs.sparkSession.sparkContext.broadcast(_Searcher(items, threshold))
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = list(ready.value.search(batch.column(1)))
+                if found:
+                    row, item, score, start = zip(*found)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), ready.value.ids.take(pa.array(item)), pa.array(score, pa.float64()), pa.array(start, pa.int64())], names=["doc_id", "item_id", "score", "start_word"])
+
+        return texts.mapInArrow(search, "doc_id long, item_id long, score double, start_word long")
+
+    return reduce(DataFrame.union, [one(items) for items in _items(benchmark, block, chars)])
+
+
+def without_items(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, block: int = 20_000, chars: int = 1 << 25) -> DataFrame:
+    """The rows of ``docs`` (all columns) in whose text no test item is found; decided where the row lies, without a join."""
+    kernel.small_batches(docs.sparkSession)
+    for items in _items(benchmark, block, chars):
+        ready = docs.sparkSession.sparkContext.broadcast(_Searcher(items, threshold))
+
+        def clean(batches: Iterator[pa.RecordBatch], ready=ready) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(len(batch), bool)
+                keep[[row for row, *_ in ready.value.search(batch.column(batch.schema.get_field_index("text")))]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
