@@ -397,9 +397,9 @@ def _classes(docs: DataFrame, num: int, den: int, frequent_kept: int, stars: int
         met = members.join(sizes, "token").groupBy("digest").agg(F.sum(F.col("size") * F.col("tokens")).alias("met"))
         labelled = stored(labelled.join(met, "digest"))
     for k in range(stars):
-        # pairs of components that the trees would meet: stars go on while these are many
+        # pairs of components that the trees would meet: stars go on only while these are out of proportion
         left = labelled.groupBy("token", "component").count().groupBy("token").count().agg(F.coalesce(F.sum(F.expr("count * (count - 1)")), F.lit(0))).first()[0]
-        if k and left <= 4 * members.count():
+        if k and left <= 64 * members.count():
             break
         order = F.struct(F.when(F.lit(k) == 0, -F.col("met")).otherwise(F.lit(0)), F.xxhash64("digest", F.lit(k)), "digest")
         leader = labelled.groupBy("token").agg(F.min_by(F.struct("digest", "component", "n"), order).alias("leader"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token", "leader")
