@@ -1,22 +1,27 @@
 """Surrogates for personal data and secrets (operator 8), in DataFrame functions only.
 
 One pattern finds e-mail addresses, keys and passwords, telephone numbers, IPv4 addresses, card and similar numbers,
-US social security numbers, IBANs, and names (after an honorific, or a known given name before a surname). Each gets
-a replacement of the same type and format from a keyed hash, so the same entity reads the same in every document:
+US social security numbers, IBANs, and names (after an honorific or words like "my name is", or a known given name
+before a surname). Each gets a replacement of the same type and format from a keyed hash, so the same entity reads the
+same in every document:
 
 * digits stay digits and letters letters, with case; separators, country codes, issuer digits and prefixes stay;
-* a card number that passes the Luhn check is replaced by one that passes it;
-* a name keeps its honorific and script, and a given name its gender (by honorific or list); each word is replaced
-  by itself, so "Mr. Smith" and "John Smith" still share their surname;
+* a card number that passes the Luhn check is replaced by one that passes it, and so is an IBAN with its check digits;
+* a name keeps its honorific and script, and a known given name its gender; each word of a name is an entity of its
+  own, so "Mr. Smith" and "John Smith" share their surname, however often it was drawn again;
 * an e-mail's domain is replaced by itself, so addresses of one domain still share it;
 * a secret runs to its closing quote in the line, else to the next blank or quote (less punctuation at its end),
   whatever its length; separators stay, letters of other alphabets become Latin ones, and other symbols change.
 
 Collision check: over all distinct entities, a replacement that two entities share, or that is itself an entity of
-the corpus, is drawn again with the next attempt number until none is left (or ``rounds`` are over). Few entities
-need it; their attempts reach the documents by a join.
-
-Null texts stay null, empty ones empty. Equal rows give equal results. An empty table gives no rows.
+the corpus, is drawn again with the next attempt number until none is left. Words, e-mails and secrets grow by some
+letters with further attempts, so that crowded short ones come apart too; formats of fixed length are drawn anew,
+and after ``rounds`` without success the job fails rather than let two entities share a surrogate. Few entities need
+it; their attempts reach the documents by a join.
+
+Null texts stay null, empty ones empty, and what is no entity stays byte for byte. Equal texts give equal results,
+whatever their ids; null and repeated ids matter nothing. Texts are searched whole, whatever their length. Extra
+columns pass through, but for n_entities, which is replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,15 +45,15 @@ PATTERNS = {
     "secret": r"(?<![A-Za-z])" + _LABEL + r"(?:\"" + _QUOTED.format('"') + "|'" + _QUOTED.format("'") + r"|[\"']?" + _BARE + ")",
     "access_key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)",
+    "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d(.+-])(?:\(\d{3}\) ?|\d{3}[-.])\d{3}[-.]\d{4}(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "card": r"(?<![\d-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7})(?![\d-])",
-    "name": r"(?=[A-ZА-ЯΑ-Ω])(?<!\p{L})(?:(?:" + "|".join(x for v in HONORIFICS.values() for x in v) + r")\.? " + _WORD + f"(?: {_WORD})?|(?:" + "|".join(x for v in GIVEN.values() for x in v) + f") {_WORD})",
+    "name": r"(?=[A-ZА-ЯΑ-Ω])(?<!\p{L})(?:(?<=(?i:my name is|name:|signed,|regards,) )" + _WORD + f"(?: {_WORD})?|(?:" + "|".join(x for v in HONORIFICS.values() for x in v) + r")\.? " + _WORD + f"(?: {_WORD})?|(?:" + "|".join(x for v in GIVEN.values() for x in v) + f") {_WORD})",
 }
 ENTITY = "|".join(PATTERNS.values())
-#: Texts without any of these characters can hold names only.
-MARKS = r"[@=:\d]"
+#: Texts without any of these can hold names only: every other pattern needs one of them.
+MARKS = r"[@=:\d]|AKIA"
 _SYLLABLES = {"Latin": ("bdfgklmnprstvzhj", "aeio"), "Cyrillic": ("бвгдзклмнпрстфхж", "аеио"), "Greek": ("βγδζθκλμνπρστφχψ", "αειο")}
 _ENDINGS = {"Latin": {"male": "us", "female": "a"}, "Cyrillic": {"male": "ан", "female": "ия"}, "Greek": {"male": "ος", "female": "ία"}}
 
@@ -66,12 +71,22 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def unit(entity: Column, k: Column | None = None) -> Column:
-    """What is kept distinct: a secret without its label, a name without its honorific, else the entity. ``k``: its kind."""
+TITLE = "^(?:" + "|".join(x for v in HONORIFICS.values() for x in v) + r")\.? "
+
+
+def units(entity: Column, k: Column) -> Column:
+    """What is kept distinct, as an array: a secret without its label, the words of a name (with the gender of a given
+    name), else the entity. Each begins with its kind; ``k``: the entity's kind."""
     secret = F.regexp_replace(entity, "^" + _LABEL + r"[\"']?", "")
-    title = "^(?:" + "|".join(x for v in HONORIFICS.values() for x in v) + r")\.? "
-    of = lambda k: F.when(k == "secret", secret).when(k == "name", F.regexp_replace(entity, title, "")).otherwise(entity)
-    return let(kind(entity), of) if k is None else of(k)
+    named = lambda words: F.transform(words, lambda w, i: F.concat(F.lit("name:"), _gender(w, i, F.size(words), entity), F.lit(":"), w))
+    return F.when(k == "name", named(F.split(F.regexp_replace(entity, TITLE, ""), " "))).when(k == "secret", F.array(F.concat(F.lit("secret::"), secret))).otherwise(F.array(F.concat(k, F.lit("::"), entity)))
+
+
+def _gender(word: Column, i: Column, n: Column, entity: Column) -> Column:
+    """Of a known given name its own, of the first of two words its honorific's; surnames have none."""
+    called = lambda g: entity.rlike("^(?:" + "|".join(HONORIFICS[g]) + r")\.? ")
+    first = (i == 0) & (n > 1)
+    return F.when(first & word.isin(*GIVEN["male"]), "male").when(first & word.isin(*GIVEN["female"]), "female").when(first & called("male"), "male").when(first & called("female"), "female").otherwise("any")
 
 
 def _number(h: Column, i: Column | int) -> Column:
@@ -126,91 +141,131 @@ def _card(v: Column, h: Column) -> Column:
     return let(F.concat(F.substring(v, F.lit(1), F.lit(1)), _scrambled(F.substring(v, F.lit(2), F.length(v) - 1), h)), fixed)
 
 
-def _name_word(w: Column, key: str, attempt: Column, ending: Column) -> Column:
-    def of(h: Column) -> Column:
-        out = None
-        for s, (c, v) in _SYLLABLES.items():
-            pick = lambda letters, i: F.substring(F.lit(letters), _number(h, i) % len(letters) + 1, F.lit(1))
-            first, rest = F.upper(pick(c, 0)), [pick(c if i % 2 == 0 else v, i) for i in range(1, 8)]
-            tail = F.when(ending == "male", F.lit(_ENDINGS[s]["male"])).when(ending == "female", F.lit(_ENDINGS[s]["female"])).otherwise(F.lit(""))
-            made = F.concat(first, *rest, tail)
-            out = made if out is None else F.when(w.rlike(rf"\p{{Is{s}}}"), made).otherwise(out)
-        return out
+def _name_word(w: Column, h: Column, n: Column, gender: Column) -> Column:
+    """A made-up word of ``w``'s script; further attempts (``n``) make it longer."""
+    out = None
+    for s, (c, v) in _SYLLABLES.items():
+        pick = lambda letters, i: F.substring(F.lit(letters), _number(h, i) % len(letters) + 1, F.lit(1))
+        first, rest = F.upper(pick(c, 0)), [pick(c if i % 2 == 0 else v, i) for i in range(1, 8)]
+        more = F.array_join(F.transform(F.sequence(F.lit(0), F.least(n, F.lit(8))), lambda i: F.when(i == 0, "").otherwise(F.concat(pick(c, 2 * i + 8), pick(v, 2 * i + 9)))), "")
+        tail = F.when(gender == "male", F.lit(_ENDINGS[s]["male"])).when(gender == "female", F.lit(_ENDINGS[s]["female"])).otherwise(F.lit(""))
+        made = F.concat(first, *rest, more, tail)
+        out = made if out is None else F.when(w.rlike(rf"\p{{Is{s}}}"), made).otherwise(out)
+    return out
+
 
-    return let(_hash(key, "name", w, attempt), of)
+def _more(h: Column, n: Column, letters: str = "abcdefghijklmnopqrstuvwxyz0123456789") -> Column:
+    """Nothing for the first four attempts, then more and more letters."""
+    return F.when(n < 4, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), n - 3), lambda i: F.substring(F.lit(letters), _number(h, i + 20) % len(letters) + 1, F.lit(1))), ""))
 
 
-def _email(entity: Column, h: Column, key: str) -> Column:
+def _email(entity: Column, h: Column, n: Column, key: str) -> Column:
     local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
     top = F.concat(F.lit("."), F.substring_index(domain, ".", -1))
     under = F.substring(domain, F.lit(1), F.length(domain) - F.length(top))
-    return F.concat(_scrambled(local, h), F.lit("@"), let(_hash(key, "domain", domain, F.lit(0)), lambda d: _scrambled(under, d)), top)
+    return F.concat(_scrambled(local, h), _more(h, n), F.lit("@"), let(_hash(key, "domain", domain, F.lit(0)), lambda d: _scrambled(under, d)), top)
 
 
-def _name(entity: Column, u: Column, attempt: Column, key: str) -> Column:
-    label, words = F.substring(entity, F.lit(1), F.length(entity) - F.length(u)), F.split(u, " ")
-    called = lambda g: label.rlike("^(?:" + "|".join(HONORIFICS[g]) + r")\.? $")
-    gender = F.when(called("male"), "male").when(called("female"), "female").when(words[0].isin(*GIVEN["male"]), "male").when(words[0].isin(*GIVEN["female"]), "female").otherwise("any")
-    both = F.concat(_name_word(words[0], key, F.lit(0), gender), F.lit(" "), _name_word(words[1], key, attempt, F.lit("any")))
-    return F.concat(label, F.when(F.size(words) > 1, both).otherwise(_name_word(words[0], key, attempt, F.lit("any"))))
+def _mod97(s: Column) -> Column:
+    """Of an IBAN whose country and check digits stand at the end; letters count as 10 to 35."""
 
+    def add(total: Column, i: Column) -> Column:
+        c = F.substring(s, i, F.lit(1))
+        value = F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+        return (total * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value) % 97
 
-def _replaced(entity: Column, k: Column, u: Column, h: Column, attempt: Column, key: str) -> Column:
-    label = F.substring(entity, F.lit(1), F.length(entity) - F.length(u))
-    secret = F.concat(label, F.when(u.rlike("^[0-9a-f]+$"), _scrambled(u, h, True)).otherwise(_scrambled(u, h, all_letters=True)))
-    base32 = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), _number(h, i) % 32 + 1, F.lit(1))), "")
-    country = F.regexp_extract(entity, r"^\+\d{1,3}(?=[ .(-])|^\+\d", 0)
-    phone = F.concat(country, _scrambled(F.substring(entity, F.length(country) + 1, F.length(entity)), h))
-    ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (1 + _number(h, i) % 254).cast("string")), ".")
-    iban = F.concat(F.substring(entity, 1, 2), _scrambled(F.substring(entity, F.lit(3), F.length(entity)), h))
-    return (
-        F.when(k == "email", _email(entity, h, key)).when(k == "secret", secret).when(k == "access_key", F.concat(F.lit("AKIA"), base32)).when(k == "iban", iban)
-        .when(k == "phone", phone).when(k == "ip", ip).when(k == "card", _card(entity, h)).when(k == "ssn", _scrambled(entity, h)).otherwise(_name(entity, u, attempt, key))
-    )
+    return F.aggregate(F.sequence(F.lit(1), F.length(s)), F.lit(0), add)
+
+
+def _iban(v: Column, h: Column) -> Column:
+    plain = lambda s: F.regexp_replace(s, " ", "")
+    after = lambda s, k: F.substring(s, F.lit(k), F.length(s))
+    good = _mod97(F.concat(after(plain(v), 5), F.substring(plain(v), 1, 4))) == 1
+
+    def fixed(new: Column) -> Column:
+        check = 98 - _mod97(F.concat(after(plain(new), 5), F.substring(new, 1, 2), F.lit("00")))
+        return F.when(good, F.concat(F.substring(new, 1, 2), F.lpad(check.cast("string"), 2, "0"), after(new, 5))).otherwise(new)
+
+    return let(F.concat(F.substring(v, 1, 2), _scrambled(after(v, 3), h)), fixed)
+
+
+def unit_surrogate(u: Column, attempt: Column, key: str) -> Column:
+    """Replacement of one unit (see ``units``), without its kind; ``attempt`` is a number that changes it."""
+
+    def of(k: Column, gender: Column, v: Column, n: Column, h: Column) -> Column:
+        secret = F.concat(F.when(v.rlike("^[0-9a-f]+$"), _scrambled(v, h, True)).otherwise(_scrambled(v, h, all_letters=True)), _more(h, n, "0123456789abcdef"))
+        base32 = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), _number(h, i) % 32 + 1, F.lit(1))), "")
+        country = F.regexp_extract(v, r"^\+\d{1,3}(?=[ .(-])|^\+\d", 0)
+        phone = F.concat(country, _scrambled(F.substring(v, F.length(country) + 1, F.length(v)), h))
+        ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (1 + _number(h, i) % 254).cast("string")), ".")
+        return (
+            F.when(k == "email", _email(v, h, n, key)).when(k == "secret", secret).when(k == "access_key", F.concat(F.lit("AKIA"), base32)).when(k == "iban", _iban(v, h))
+            .when(k == "phone", phone).when(k == "ip", ip).when(k == "card", _card(v, h)).when(k == "ssn", _scrambled(v, h)).otherwise(_name_word(v, h, n, gender))
+        )
+
+    kind_, gender = F.substring_index(u, ":", 1), F.element_at(F.split(u, ":", 3), 2)
+    value = F.element_at(F.split(u, ":", 3), 3)
+    return let(value, lambda v: let(F.coalesce(attempt, F.lit(0)), lambda n: let(_hash(key, "entity", v, n), lambda h: of(kind_, gender, v, n, h))))
 
 
 def surrogate(entity: Column, attempt, key: str) -> Column:
-    """Replacement of one entity; ``attempt`` gives, of its unit, a number that changes it."""
+    """Replacement of one entity; ``attempt`` gives, of a unit, a number that changes it."""
 
-    def of(e: Column) -> Column:
-        hashed = lambda k, u, n: let(_hash(key, "entity", u, n), lambda h: _replaced(e, k, u, h, n, key))
-        return let(kind(e), lambda k: let(unit(e, k), lambda u: let(attempt(u), lambda n: hashed(k, u, n))))
+    def of(e: Column, k: Column, us: Column) -> Column:
+        title = F.when(k == "name", F.regexp_extract(e, TITLE, 0)).when(k == "secret", F.regexp_extract(e, "^" + _LABEL + r"[\"']?", 0)).otherwise(F.lit(""))
+        return F.concat(title, F.array_join(F.transform(us, lambda u: unit_surrogate(u, attempt(u), key)), " "))
 
-    return let(entity, of)
+    return let(entity, lambda e: let(kind(e), lambda k: let(units(e, k), lambda us: of(e, k, us))))
 
 
-def _attempts(units: DataFrame, key: str, rounds: int) -> DataFrame:
-    """``units``: distinct entity and unit. Returns unit, attempt for those whose first replacement collides."""
-    now = stored(units.withColumn("attempt", F.lit(0)))
+def _attempts(found: DataFrame, key: str, rounds: int) -> DataFrame:
+    """``found``: distinct units. Returns unit, attempt for those whose first replacement collides."""
+    spark = found.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    value = F.element_at(F.split("unit", ":", 3), 3)
+    made = lambda df: stored(df.repartition(parts, "unit").withColumn("made", unit_surrogate(F.col("unit"), F.col("attempt"), key)))
+    now = made(found.select("unit", F.lit(0).alias("attempt")))
+    real = now.select(value.alias("made")).distinct()
     for _ in range(rounds):
-        made = stored(now.withColumn("made", unit(surrogate(F.col("entity"), lambda u: F.col("attempt"), key))))
-        shared = made.groupBy("made").agg(F.count("*").alias("n"), F.min("unit").alias("first"))
-        real = units.select(F.col("unit").alias("made"), F.lit(True).alias("real"))
-        judged = made.join(shared, "made").join(real, "made", "left")
-        again = stored(judged.where(F.col("real").isNotNull() | (F.col("unit") != F.col("first"))).select("unit"))
+        # two units of one value but another gender are one entity
+        shared = now.groupBy("made").agg(F.min(F.struct(value, "unit")).alias("first"), F.min(value).alias("low"), F.max(value).alias("high")).where("low <> high").select("made", "low")
+        again = now.join(shared, "made").where(value != F.col("low")).select("unit", "attempt")
+        again = stored(again.union(now.join(real, "made", "left_semi").select("unit", "attempt")).distinct())
         if again.isEmpty():
-            break
-        now = stored(now.join(again.withColumn("again", F.lit(1)), "unit", "left").select("entity", "unit", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt")))
-    return now.where("attempt > 0").select("unit", "attempt")
+            return now.where("attempt > 0").select("unit", "attempt")
+        redrawn = made(again.select("unit", (F.col("attempt") + 1).alias("attempt")))
+        now = stored(now.join(again.select("unit"), "unit", "left_anti").unionByName(redrawn))
+    raise RuntimeError(f"entities of a crowded format still share surrogates after {rounds} rounds")
+
+
+def entities(text: Column, marked: Column) -> Column:
+    """All entities of a text, in order. ``marked``: whether it holds one of ``MARKS``."""
+    return F.when(marked, F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(PATTERNS["name"]), F.lit(0)))
 
 
-def entities(text: Column) -> Column:
-    """All entities of a text, in order."""
-    names = F.regexp_extract_all(text, F.lit(PATTERNS["name"]), F.lit(0))
-    return F.when(text.rlike(MARKS), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(names)
+def between(text: Column, marked: Column) -> Column:
+    """The parts of a text between its entities: cut by the very pattern that found them."""
+    return F.when(marked, F.split(text, ENTITY, -1)).otherwise(F.split(text, PATTERNS["name"], -1))
 
 
-def replace_entities(docs: DataFrame, key: str = "metricmart", rounds: int = 8) -> DataFrame:
+def replace_entities(docs: DataFrame, key: str = "metricmart", rounds: int = 100) -> DataFrame:
     """All columns of ``docs`` with entities in ``text`` replaced, and n_entities."""
-    found = docs.select(F.col("doc_id").alias("id"), F.explode(entities(F.col("text"))).alias("entity"))
-    found = stored(found.select("id", "entity", unit(F.col("entity")).alias("unit")).distinct())
-    units = found.groupBy("unit").agg(F.min("entity").alias("entity"))
-    again = _attempts(units.select("entity", "unit"), key, rounds)
+    keys = lambda text: (F.xxhash64(text), F.xxhash64(F.lit(1), text))
+    one, two = keys(F.col("text"))
+    marked = F.col("text").rlike(MARKS)
+    found = docs.where("text is not null").select(one.alias("one"), two.alias("two"), F.explode(entities(F.col("text"), marked)).alias("entity"))
+    found = stored(found.select("one", "two", F.explode(let(F.col("entity"), lambda e: let(kind(e), lambda k: units(e, k)))).alias("unit")).distinct())
+    again = _attempts(found.select("unit").distinct(), key, rounds)
     kept = [c for c in docs.columns if c not in ("n_entities",)]
-    id_, attempts, found_ = (fresh(docs, x) for x in ("_id", "_attempts", "_found"))
-    changed = stored(found.join(again, "unit").groupBy(F.col("id").alias(id_)).agg(F.map_from_entries(F.collect_set(F.struct("unit", "attempt"))).alias(attempts)))
-    out = docs.select(kept).join(changed, F.col("doc_id").eqNullSafe(F.col(id_)), "left")
-    out = out.withColumn(found_, entities(F.col("text")))
-    made = F.transform(found_, lambda e: surrogate(e, lambda u: F.coalesce(F.col(attempts)[u], F.lit(0)), key))
-    text = F.when(F.size(found_) > 0, F.array_join(F.zip_with(F.split("text", ENTITY, -1), made, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")).otherwise(F.col("text"))
+    one_, two_, attempts, found_, marked_ = (fresh(docs, x) for x in ("_one", "_two", "_attempts", "_found", "_marked"))
+    changed = stored(found.join(again, "unit").groupBy(F.col("one").alias(one_), F.col("two").alias(two_)).agg(F.map_from_entries(F.collect_set(F.struct("unit", "attempt"))).alias(attempts)))
+    out = docs.select(kept)
+    if changed.isEmpty():
+        out, attempt = out.withColumn(marked_, marked), lambda u: F.lit(0)
+    else:
+        out = out.join(changed, (one == F.col(one_)) & (two == F.col(two_)), "left").withColumn(marked_, marked)
+        attempt = lambda u: F.coalesce(F.col(attempts)[u], F.lit(0))
+    out = out.withColumn(found_, entities(F.col("text"), F.col(marked_)))
+    made = F.transform(found_, lambda e: surrogate(e, attempt, key))
+    text = F.when(F.size(found_) > 0, F.array_join(F.zip_with(between(F.col("text"), F.col(marked_)), made, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")).otherwise(F.col("text"))
     return out.select(*[text.alias(c) if c == "text" else F.col(c) for c in kept], F.greatest(F.size(found_), F.lit(0)).alias("n_entities"))
