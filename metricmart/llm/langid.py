@@ -7,7 +7,10 @@ seen in training (less for texts of few n-grams). Document frequencies come from
 all labelled training rows.
 
 Null texts and texts without a letter are ``und``, score 0 and rejected. Rows are independent, so repeats and
-ties behave alike (ties: the first language in alphabetical order). Without labelled rows everything is ``und``.
+ties behave alike (ties: the first language in alphabetical order); null ids matter nothing. In training, copies of a
+text count once in the sample, and rows without text or language are left out; every language that has a row is
+learned. Texts are read whole, whatever their length. Extra columns pass through, but for lang_pred, score and
+rejected, which are replaced. Without labelled rows everything is ``und``. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -66,15 +69,15 @@ def _document_frequencies(train: DataFrame) -> np.ndarray:
     return np.log((1 + out[-1]) / (1 + out[:-1])) + 1
 
 
-def fit(labelled: DataFrame, clusters: int = 4, per_language: int = 400, max_languages: int = 200, rounds: int = 12) -> LanguageModel:
-    """``labelled``: text, lang. ``per_language``: rows sampled of each language (by hash) for its centroids."""
+def fit(labelled: DataFrame, clusters: int = 4, per_language: int = 400, rounds: int = 12) -> LanguageModel:
+    """``labelled``: text, lang. ``per_language``: distinct texts sampled of each language (by hash) for its centroids."""
+    kernel.small_batches(labelled.sparkSession)
     rows = labelled.where("text is not null and lang is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
     idf = _document_frequencies(rows)
-    if not counts:
-        return LanguageModel([], np.zeros((0, WIDTH)), np.zeros(0), idf)
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))])
-    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.coalesce(share[F.col("lang")], F.lit(0.0)) * (1 << 20))
+    draw = F.xxhash64("text")
+    counts = rows.select("lang", draw.alias("h")).distinct().groupBy("lang").count()  # copies count once
+    share = counts.select("lang", F.least(F.lit(1.0), per_language / F.col("count")).alias("share"))
+    picked = rows.join(share, "lang").where(F.pmod(draw, F.lit(1 << 20)) < F.col("share") * (1 << 20)).groupBy("lang", draw.alias("h")).agg(F.min("text").alias("text")).select("lang", "text")
 
     def centre(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("text").drop_duplicates("text").head(2 * per_language)
@@ -94,6 +97,8 @@ def fit(labelled: DataFrame, clusters: int = 4, per_language: int = 400, max_lan
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "cluster": range(k), "centroid": list(c.astype(np.float32)), "least": least})
 
     found = picked.groupBy("lang").applyInPandas(centre, "lang string, cluster int, centroid array<float>, least double").toPandas()
+    if found.empty:
+        return LanguageModel([], np.zeros((0, WIDTH)), np.zeros(0), idf)
     found = found.sort_values(["lang", "cluster"])
     return LanguageModel(found["lang"].tolist(), np.array(found["centroid"].tolist(), np.float32).reshape(len(found), WIDTH), found["least"].to_numpy(float), idf)
 
@@ -101,6 +106,7 @@ def fit(labelled: DataFrame, clusters: int = 4, per_language: int = 400, max_lan
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """Adds lang_pred, score (cosine to the nearest centroid) and rejected to all columns of ``docs``."""
     names = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
+    kernel.small_batches(docs.sparkSession)
     languages = np.array([*model.languages, "und"], object)
     kept = docs.sparkSession.sparkContext.broadcast((model.centroids.T.astype(np.float32), model.least, model.idf.astype(np.float32)))
 

@@ -6,7 +6,9 @@ of residual gap g, a piece goes where the sum of N(g)**2 gets smallest. Pieces o
 keeps the rule (it sees one piece at a time) and leaves the short ones to fill gaps. A shard holds five numbers a
 piece, so memory is bounded whatever the number of documents, and wastes a few bins at most.
 
-Null or empty texts are the end id alone. Repeated rows are packed each on its own. An empty table gives no rows.
+Null or empty texts are the end id alone. Texts of any length are cut into as many pieces as they need; strings of
+added tokens (``<|endoftext|>``) are those tokens, as the tokenizer has it. Repeated rows, and rows without id, are
+packed each on its own; ties go by doc_id and piece. Other columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from metricmart.llm.kernel import small_batches
 from metricmart.llm.tokens import ChunkEncoder, default_tokenizer
 
 CAPACITY = 2048
@@ -29,6 +32,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """One row for each piece of each document: its place in the document, length and checksum, and its ids if asked for."""
     path = tokenizer or default_tokenizer()
+    small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder(path)

@@ -15,6 +15,7 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from metricmart.llm import kernel
 
@@ -46,14 +47,20 @@ def default_tokenizer() -> str:
 
 
 class ChunkEncoder:
-    """Encodes string arrays. ``keep``: distinct chunks kept in memory; beyond it the store starts anew."""
+    """Encodes string arrays. ``keep``: distinct chunks kept in memory; beyond it the store starts anew.
 
-    def __init__(self, path: str, keep: int = 250_000):
+    ``special``: whether added tokens (as ``<|endoftext|>``) that stand in a text become their ids, as the tokenizer by
+    itself has it. Texts that hold one are given to the tokenizer whole.
+    """
+
+    def __init__(self, path: str, keep: int = 250_000, special: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
         self.encoder.encode_special_tokens = True
+        self.whole = Tokenizer.from_file(path) if special else None
+        self.added = [x["content"] for x in json.loads(Path(path).read_text()).get("added_tokens", []) if x["content"]] if special else []
         parts = json.dumps(json.loads(Path(path).read_text()).get("pre_tokenizer"))
         self.cuts = letter_mark_cuts if json.dumps(LETTERS_APART) in parts else lambda data: None
         self.values = kernel.FOLDED if '"Lowercase"' in json.dumps(json.loads(Path(path).read_text()).get("normalizer")) else kernel.RAW
@@ -85,6 +92,10 @@ class ChunkEncoder:
 
     def encode(self, texts: pa.Array, end_id: int | None = None):
         """(first row, ids, id offsets by row) for each block of rows; ``end_id`` is put after each text."""
+        texts = texts.cast(pa.large_string())
+        odd = np.zeros(len(texts), bool)
+        for x in self.added:
+            odd |= np.asarray(pc.fill_null(pc.match_substring(texts, x, ignore_case=True), False))
         for row, stop, data, offsets in kernel.blocks(texts, 2 << 20):
             starts, ends, h, by_row = kernel.words(data, offsets, self.values, cuts=self.cuts(data))
             inverse, unique = pd.factorize(h)
@@ -104,4 +115,7 @@ class ChunkEncoder:
             out = total[by_row]
             if extra:
                 ids[out[1:] - 1] = end_id
+            if odd[row:stop].any():
+                parts = [np.append(np.array(self.whole.encode(texts[row + k].as_py(), add_special_tokens=False).ids, np.uint32), np.array([end_id] * extra, np.uint32)) if odd[row + k] else ids[out[k] : out[k + 1]] for k in range(stop - row)]
+                ids, out = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
             yield row, ids, out

@@ -1,13 +1,16 @@
 """Toxicity of deobfuscated text (operator 7).
 
 Noisy channel: a word as it stands may be a plain word whose letters were swapped for look-alikes (``1d10t``),
-spaced out (``i d i o t``) or repeated (``idiooot``). Each suspicious word becomes a lattice of letters; Viterbi finds
-the path that a character language model, and a price for each change, make likeliest. The model counts character
-4-grams over the words of all texts. The restored text is then scored by a linear model over whole words and word
-beginnings, learned from a bounded sample of labelled rows.
+spaced out (``i d i o t``, ``i.d.i.o.t``) or repeated (``idiooot``). Each suspicious word, and each run of single
+letters, becomes a lattice: an arc for each letter that a sign may stand for, for each length of a repeated letter,
+and between the letters of a run one that goes on with the word and one that begins another. Viterbi finds the path
+that a character language model, and a price for each change, make likeliest, over words and runs of any length. The
+model counts character 4-grams over all texts. The restored text is then scored by a linear model over whole words and
+word beginnings, learned from a bounded sample of labelled rows; its features are drawn and counted in parallel.
 
-Null and empty texts get the score of a text without features. Repeated rows score alike. Without toxic rows in
-training every score is 0.
+Null and empty texts get the score of a text without features. Repeated rows and ties score alike; rows without id are
+scored like others and never trained on. Texts are read whole. Extra columns pass through, but for score, which is
+replaced. Without toxic rows in training every score is 0. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ _LETTER = _CODE > 0
 _SWAP = np.zeros(256, bool)
 _SWAP[[ord(c) for c in LEET if ord(c) < 128]] = True
 _RAW_EDGE = kernel.SPACES
+_DIGITS = np.zeros(256, bool)
+_DIGITS[[ord(c) for c in LEET if c in "0123456789@$"]] = True
 
 
 def _four_gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,46 +68,64 @@ def character_model(docs: DataFrame) -> np.ndarray:
     return np.log(p).astype(np.float32)
 
 
-def restored(word: str, model: np.ndarray, swap: float = -1.0, repeat: float = -0.5, kept: float = -8.0) -> str:
-    """The likeliest plain word. A look-alike is a letter at the price of ``swap``, or stays at that of ``kept``; of
-    a run of one letter all but one or two may go."""
-    runs = [(m[0][0], len(m[0])) for m in re.finditer(r"(.)\1*", word.lower())]
-    paths = {(0, 0, 0): (0.0, "")}
-    for c, n in runs:
-        options = [("a" <= c <= "z" and [c]) or list(LEET.get(c, "")) or []][0]
-        price = 0.0 if "a" <= c <= "z" else swap
-        arcs = [(x * k, price * min(n, 2) + (repeat if k != n else 0)) for x in options for k in ({n} if n < 2 else {1, 2})]
+def restored(word: str, model: np.ndarray, spaced: bool = False, swap: float = -1.0, repeat: float = -0.5, kept: float = -8.0) -> str:
+    """The likeliest plain text. A look-alike is a letter at the price of ``swap``, or stays at that of ``kept``; of
+    a run of one letter all but one or two may go. ``spaced``: a word may end after each letter."""
+    runs = [(m[0][0], len(m[0])) for m in re.finditer(r"(.)\1*", word.lower(), re.S)]
+    paths: dict[tuple[int, int, int], tuple[float, tuple | None]] = {(0, 0, 0): (0.0, None)}  # the best way to each context
+    for at, (c, n) in enumerate(runs):
+        plain = "a" <= c <= "z"
+        options = [c] if plain else list(LEET.get(c, ""))
+        arcs = [(x * k, (0.0 if plain else swap) * min(n, 2) + (repeat if k != n else 0)) for x in options for k in ({n} if n < 2 else {1, 2})]
         if not options:
             arcs = [(c * n, kept if c.isascii() else 0.0)]
-        new: dict[tuple[int, int, int], tuple[float, str]] = {}
-        for (a, b, d), (value, text) in paths.items():
+        if spaced and at:
+            arcs += [(" " + piece, cost) for piece, cost in arcs]
+        new: dict[tuple[int, int, int], tuple[float, tuple | None]] = {}
+        for (a, b, d), (value, back) in paths.items():
             for piece, cost in arcs:
                 x, y, z, v = a, b, d, value + cost
                 for ch in piece:
-                    e = ord(ch) - 96 if "a" <= ch <= "z" else 27
+                    e = 0 if ch == " " else ord(ch) - 96 if "a" <= ch <= "z" else 27
                     v += float(model[x, y, z, e])
                     x, y, z = y, z, e
-                key = (x, y, z)
-                if key not in new or v > new[key][0]:
-                    new[key] = (v, text + piece)
+                if (x, y, z) not in new or v > new[x, y, z][0]:
+                    new[x, y, z] = (v, (back, piece))
         paths = new
-    return max(((v + float(model[a, b, d, 0]), t) for (a, b, d), (v, t) in paths.items()), default=(0, word))[1]
+    _, back = max(((v + float(model[a, b, d, 0]), k) for k, ((a, b, d), (v, _)) in enumerate(paths.items())), default=(0.0, 0))
+    back, pieces = list(paths.values())[back][1], []
+    while back is not None:
+        back, piece = back
+        pieces.append(piece)
+    return "".join(reversed(pieces))
 
 
-def _suspicious(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Words to decode, and runs (first, end) of at least four single letters."""
+def plain_words(word: str, model: np.ndarray) -> str:
+    """A word as it stands, restored; one of single letters between joiners is a run of letters."""
+    core = re.sub(r"^[^\w@$!|+(€]+|[^\w@$]+$", "", word)
+    if re.fullmatch(r"[\w@$!|+(€](?:[.\-_*][\w@$!|+(€]){3,}", core):
+        return restored(core[::2], model, spaced=True)
+    core = re.sub(r"(?<=\w)[.\-_*](?=\w)", "", core) if re.search(r"(?:^|\W)\w(?:[.\-_*]\w)+(?:$|\W)", core) else core
+    return " ".join(restored(x, model) for x in re.split(r"[^\w@$!|+(€]+", core) if x)
+
+
+def _suspicious(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Words to decode, and runs (first, end) of at least four single letters or look-alikes of one row, two letters at least."""
     letter, swap = _LETTER[data], _SWAP[data]
     flag = np.zeros(len(data), bool)
     flag[:-1] |= swap[:-1] & letter[1:]  # a look-alike before a letter
+    flag[1:] |= _DIGITS[data[1:]] & letter[:-1]  # or after one
     same = data[1:] == data[:-1]
     flag[:-2] |= same[:-1] & same[1:] & letter[:-2] & (data[:-2] < 128)  # three of one letter
     joiner = np.isin(data, np.frombuffer(JOINERS.encode(), np.uint8))
-    flag[:-4] |= letter[:-4] & joiner[1:-3] & letter[2:-2] & joiner[3:-1] & letter[4:]
+    flag[:-4] |= (letter | swap)[:-4] & joiner[1:-3] & (letter | swap)[2:-2] & joiner[3:-1] & (letter | swap)[4:]
     at = np.unique(np.searchsorted(starts, np.flatnonzero(flag), "right") - 1)
     single = np.zeros(len(starts) + 2, bool)
-    single[1:-1] = (ends - starts == 1) & letter[starts]
-    first, last = np.flatnonzero(single[1:] & ~single[:-1]), np.flatnonzero(single[:-1] & ~single[1:])
-    return at, [(int(a), int(b)) for a, b in zip(first, last) if b - a >= 4]
+    single[1:-1] = (ends - starts == 1) & (letter | swap)[starts] & (data[starts] < 128)
+    follows = single[:-1] & single[1:]
+    follows[1:-1] &= row[1:] == row[:-1]
+    first, last = np.flatnonzero(single[1:-1] & ~follows[:-1]), np.flatnonzero(single[1:-1] & ~follows[1:]) + 1
+    return at, [(a, b) for a, b in zip(first.tolist(), last.tolist()) if b - a >= 4 and letter[starts[a:b]].sum() >= 2]
 
 
 def _beginnings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
@@ -123,24 +146,21 @@ def word_features(texts: pa.Array, model: np.ndarray) -> Iterator[tuple[int, np.
         raw_starts, raw_ends, _, raw_by_row = kernel.words(data, offsets, spaces=_RAW_EDGE)
         extra, extra_of = [], []
         if len(raw_starts):
-            at, spaced = _suspicious(data, raw_starts, raw_ends)
+            raw_row = np.searchsorted(raw_by_row, np.arange(len(raw_starts)), "right") - 1
+            at, spaced = _suspicious(data, raw_starts, raw_ends, raw_row)
             raw = data.tobytes()
-            rows = np.searchsorted(raw_by_row, at, "right") - 1
-            for r, s, e in zip(rows.tolist(), raw_starts[at].tolist(), raw_ends[at].tolist()):
-                w = raw[s : min(e, s + 4096)]
+            for r, s, e in zip(raw_row[at].tolist(), raw_starts[at].tolist(), raw_ends[at].tolist()):
+                w = raw[s:e]
                 plain = cache.get(w)
                 if plain is None:
-                    core = re.sub(r"^[^\w@$!|+(€]+|[^\w@$]+$", "", w.decode("utf-8", "replace"))
-                    core = re.sub(r"(?<=\w)[.\-_*](?=\w)", "", core) if re.search(r"(?:^|\W)\w(?:[.\-_*]\w)+(?:$|\W)", core) else core
-                    plain = " ".join(restored(x, model) for x in re.split(r"[^\w@$!|+(€]+", core) if x) if len(core) <= 64 else ""
-                    if len(cache) < 200_000:
+                    plain = plain_words(w.decode("utf-8", "replace"), model)
+                    if len(cache) < 200_000 and len(w) <= 64:
                         cache[w] = plain
                 extra.append(plain)
                 extra_of.append(r)
             for a, b in spaced:
-                joined = "".join(chr(data[k]) if data[k] < 128 else "" for k in raw_starts[a:b].tolist())
-                extra.append(restored(joined[:64], model))
-                extra_of.append(int(np.searchsorted(raw_by_row, a, "right") - 1))
+                extra.append(restored("".join(chr(data[k]) for k in raw_starts[a:b].tolist()), model, spaced=True))
+                extra_of.append(int(raw_row[a]))
         parts, rows_out = [h, _beginnings(data, starts, ends, 4), _beginnings(data, starts, ends, 6)] if len(starts) else [], [of] * 3 if len(starts) else []
         if extra:
             d = np.frombuffer(" ".join(extra).encode(), np.uint8)
@@ -159,51 +179,65 @@ def word_features(texts: pa.Array, model: np.ndarray) -> Iterator[tuple[int, np.
 
 def fit(train: DataFrame, labels: DataFrame, model: np.ndarray, most: int = 3000, width: int = 3000) -> tuple[np.ndarray, np.ndarray]:
     """Features (ascending) and weights (the last is the constant). ``labels``: doc_id, y. ``most``: rows of either label."""
+    kernel.small_batches(train.sparkSession)
     counts = {r.y: r["count"] for r in labels.groupBy("y").count().where("y in (0, 1)").collect()}
-    share = F.when(F.col("y") == 1, min(1.0, most / max(counts.get(1, 0), 1))).otherwise(min(1.0, most / max(counts.get(0, 0), 1)))
-    some = labels.where("y in (0, 1)").where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) / float(1 << 20) < share).limit(4 * most)  # few enough to broadcast
-    drawn = train.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id").select("text", "y")
+    if not counts.get(1):
+        return np.zeros(0, np.uint64), np.array([-30.0])
+    share = F.when(F.col("y") == 1, min(1.0, most / counts[1])).otherwise(min(1.0, most / max(counts.get(0, 0), 1)))
+    some = labels.where("y in (0, 1)").where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) / float(1 << 20) < share).select("doc_id", "y").limit(4 * most)  # few enough to broadcast
+    drawn = train.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id").select("text", F.col("y").cast("int").alias("y"))
     kept = train.sparkSession.sparkContext.broadcast(model)
-    base = counts.get(1, 0) / max(counts.get(0, 0) + counts.get(1, 0), 1)
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, feats = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for row, r, f in word_features(batch.column(0), kept.value):
+                rows.append(row + r)
+                feats.append(f)
+            pair = np.unique(np.stack([np.concatenate(rows).astype(np.uint64), np.concatenate(feats)], 1), axis=0)
+            at = np.searchsorted(pair[:, 0], np.arange(len(batch) + 1))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(pair[:, 1].view(np.int64)))], names=["y", "features"])
+
+    rows = kernel.stored(drawn.mapInArrow(extract, "y int, features array<long>"))
+    total = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
+    if not total.get(1):
+        return np.zeros(0, np.uint64), np.array([-30.0])
+    by_feature = rows.select("y", F.explode("features").alias("f")).groupBy("f").agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0")).where("n1 >= 2")
+    odds = F.log((F.col("n1") + 0.1) / (total[1] + 1)) - F.log((F.col("n0") + 0.1) / (total.get(0, 0) + 1))
+    best = by_feature.withColumn("odds", odds).where("odds > 1").orderBy(F.desc(F.round(F.col("odds") * F.sqrt("n1"), 9)), "f").limit(width).toPandas()  # bounded by width
+    known = np.sort(best["f"].to_numpy(np.int64))
+    base = counts[1] / (counts.get(0, 0) + counts[1])
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [np.flatnonzero(np.isin(known, np.asarray(x.values))) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["y", "at"])
 
     def train_one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["text", "y"], kind="stable")
+        """``pdf``: at most 4 * most rows of at most ``width`` kept features."""
+        pdf = pdf.assign(s=[",".join(map(str, x)) for x in pdf["at"]]).sort_values(["s", "y"], kind="stable")
         y = pdf["y"].to_numpy(float)
-        rows, feats = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for row, r, f in word_features(pa.array(pdf["text"], pa.string()), kept.value):
-            rows.append(row + r)
-            feats.append(f)
-        pair = np.unique(np.stack([np.concatenate(feats), np.concatenate(rows).astype(np.uint64)], 1), axis=0)
-        f, r = pair[:, 0], pair[:, 1].astype(np.int64)
-        unique, inverse = np.unique(f, return_inverse=True)
-        n1, n0 = np.bincount(inverse, y[r], len(unique)), np.bincount(inverse, 1 - y[r], len(unique))
-        odds = np.log((n1 + 0.1) / (y.sum() + 1)) - np.log((n0 + 0.1) / ((1 - y).sum() + 1))
-        enough = np.flatnonzero((n1 >= 2) & (odds > 1))
-        best = np.sort(enough[np.argsort(-odds[enough] * np.sqrt(n1[enough]), kind="stable")[:width]])
-        place = np.full(len(unique), -1)
-        place[best] = np.arange(len(best))
-        x = np.zeros((len(y), len(best) + 1), np.float32)
-        ok = place[inverse] >= 0
-        x[r[ok], place[inverse[ok]]] = 1
-        x[:, -1] = 1
+        ats = [np.append(np.asarray(x, np.int64), len(known)) for x in pdf["at"]]  # the constant last
+        flat, size = np.concatenate(ats), np.array([len(x) for x in ats])
+        of, first = np.repeat(np.arange(len(y)), size), np.cumsum(size) - size
         weight = np.where(y == 1, base / max(y.mean(), 1e-9), (1 - base) / max(1 - y.mean(), 1e-9))
-        w, m, v = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
+        w, m, v = np.zeros(len(known) + 1), np.zeros(len(known) + 1), np.zeros(len(known) + 1)
         for t in range(1, 301):
-            z = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            g = x.T @ (weight * (z - y)) / len(y) + 1e-4 * np.append(w[:-1], 0)
+            z = 1 / (1 + np.exp(-np.clip(np.add.reduceat(w[flat], first), -30, 30)))
+            g = np.bincount(flat, (weight * (z - y))[of], len(w)) / len(y) + 1e-4 * np.append(w[:-1], 0)
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        return pd.DataFrame({"features": [unique[best].view(np.int64).tolist()], "weights": [w.tolist()]})
+        return pd.DataFrame({"weights": [w.tolist()]})
 
-    out = drawn.groupBy(F.lit("all")).applyInPandas(train_one, "features array<long>, weights array<double>").collect() if counts.get(1) else []
-    if not out:
-        return np.zeros(0, np.uint64), np.array([-30.0])
-    return np.array(out[0].features, np.int64).view(np.uint64), np.array(out[0].weights)
+    out = rows.mapInArrow(select, "y int, at array<int>").groupBy(F.lit("all")).applyInPandas(train_one, "weights array<double>").collect()
+    weights, order = np.array(out[0].weights), np.argsort(known.view(np.uint64))
+    return known.view(np.uint64)[order], np.append(weights[:-1][order], weights[-1])
 
 
 def score(docs: DataFrame, model: np.ndarray, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Adds the score to all columns of ``docs``."""
     names = [c for c in docs.columns if c != "score"]
+    kernel.small_batches(docs.sparkSession)
     kept = docs.sparkSession.sparkContext.broadcast((model, *weights))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

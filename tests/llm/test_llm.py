@@ -132,6 +132,18 @@ def test_op2_packs_the_tokenizers_ids(spark):
     assert len(bins) <= 1.05 * -(-sum(r.length for r in got) // 2048) + 1
 
 
+def test_op2_special_tokens(spark):
+    """Strings of added tokens in a text are the tokenizer's own ids."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    texts = ["a <|endoftext|> b", "<|ENDOFTEXT|>", "x<|startoftext|>y don't", "plain words, (here)", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids_crc32 for r in packing.best_fit_pack(docs).collect()}
+    assert got == {k: zlib.crc32(np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes()) for k, t in enumerate(texts)}
+    assert {r.doc_id: r.n_tokens for r in tokencount.count_tokens(docs).collect()}[4] == 0
+
+
 def test_sum_of_squares_rule():
     """Against the rule written out: the bin whose choice makes the sum of squares smallest."""
     rng = np.random.default_rng(5)
@@ -192,6 +204,22 @@ def test_restored_words(spark):
     assert [toxicity.restored(w, model) for w in ("1d10t", "idiooot", "cl0wn")] == ["idiot", "idiot", "clown"]
 
 
+def test_restored_runs_and_long_words(spark):
+    """Runs of letters become words, whatever their length; nothing is cut off."""
+    said = ["you idiot and clown", "the idiot said to the clown", "a moron is no clown", "such an idiot and such a moron"]
+    model = toxicity.character_model(spark.createDataFrame([(" ".join(said * 60),)], "text string"))
+    for raw, word in (("n o c l o w n " * 30 + "i d i o t", "idiot"), ("i d 1 0 t c l o w n", "idiot clown"), ("a m o r o n", "moron"), ("i.d.i.o.t", "idiot"), ("c-l-0-w-n", "clown")):
+        whole = set()
+        for _, _, f in toxicity.word_features(__import__("pyarrow").array([raw]), model):
+            whole |= set(f.tolist())
+        for w in word.split():
+            data = np.frombuffer(w.encode(), np.uint8)
+            assert int(kernel.words(data, np.array([0, len(data)]))[2][0]) in whole, (raw, w)
+    long = "clown" * 2000 + "1d10t"
+    assert len(toxicity.restored(long, model)) == len(long) and toxicity.restored(long, model).endswith("idiot")
+    assert toxicity.plain_words("i." * 500 + "d", model).replace(" ", "").endswith("d")
+
+
 def test_non_negative_risk_separates():
     rng = np.random.default_rng(1)
     p, n = rng.normal(2, 1, (300, 2)), rng.normal(-2, 1, (300, 2))
@@ -342,9 +370,9 @@ def test_op10_counts_every_document(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.default_tokenizer())
-    want = sorted(len(tok.encode(r["text"] or "", add_special_tokens=False).ids) for r in rows("documents", SMALL))
+    want = {r["doc_id"]: len(tok.encode(r["text"] or "", add_special_tokens=False).ids) for r in rows("documents", SMALL)}
     got = Q["op10_token_counts"](spark, SMALL).collect()
-    assert sorted(r.n_tokens for r in got) == want and all(r.closed for r in got)
+    assert {r.doc_id: r.n_tokens for r in got} == want and len(got) == len(want) and all(r.closed for r in got)
 
 
 def test_op1_round_trip(spark):
