@@ -1,19 +1,25 @@
 """Approximate nearest neighbours over balanced posting lists (operator 6).
 
-Centroids come from a bounded sample: it is halved again and again by two-means with equal halves, until clusters are
-small, so lists are balanced. A vector goes to its nearest centroid, and also to others almost as near (a boundary
-vector is found from either side). Centroids are searched by an in-memory graph of their neighbours. A query reads the
-lists whose centroids lie within a distance ratio of its nearest; a list that grew too long is read in several parts.
-Every vector is indexed; distances are exact on the original vectors, so only the choice of lists is approximate.
-
-Vectors that are null, zero, of another dimension than most, or hold null or non-finite components take no part.
-Ties go to the smaller id. Repeated ids count once. Tables with fewer candidates than asked for return all of them.
+Centroids come from a bounded sample: it is halved again and again by two-means with equal halves, so lists are
+balanced; the more vectors there are, the more lists. A vector goes to its nearest centroid and, if it lies at a
+boundary, to others: those within a distance ratio of the nearest that no chosen centroid is closer to than the vector
+is. Centroids are searched by an in-memory graph of their neighbours. A query reads the lists whose centroids lie within
+a distance ratio of its nearest. That ratio is measured, not guessed: for sampled vectors and their true neighbours in
+the sample it is the least that finds the share ``recall`` of them. So clustered vectors read few lists, and vectors
+without structure as many as they need; no cap decides. A list that grew too long is read in several parts. Every
+vector is indexed; distances are exact on the original vectors, so only the choice of lists is approximate.
+
+Vectors that are null, zero, or hold null or non-finite components take no part. Vectors of one dimension are searched
+among themselves. Null ids take no part; of a repeated id the smallest vector counts. Ties go to the smaller id.
+Distances beyond the range of doubles are infinite and rank last. Tables with fewer candidates than asked for return
+all that share the dimension. Extra columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,6 +28,8 @@ from pyspark.sql import functions as F
 
 from metricmart.llm.kernel import stored
 
+OUT = "query_id long, rank int, vec_id long, score double"
+
 
 def usable(vector: Column) -> Column:
     """Not null, not zero, and all components finite."""
@@ -49,16 +57,32 @@ def balanced_centroids(x: np.ndarray, per_list: int, seed: int = 7) -> np.ndarra
     return np.array(out)
 
 
+def _squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.maximum((x**2).sum(1)[:, None] - 2 * x @ y.T + (y**2).sum(1), 0)
+
+
+def needed_ratio(x: np.ndarray, centroids: np.ndarray, k: int, recall: float, asked: int = 256, seed: int = 5) -> float:
+    """The least ratio to the nearest centroid's distance within which lie the lists of the share ``recall`` of the k
+    nearest sample vectors of ``asked`` sample vectors. The sample is sparser than the table, so this errs upwards."""
+    if len(centroids) < 2 or len(x) < 3:
+        return 1.0
+    q = np.random.default_rng(seed).permutation(len(x))[:asked]
+    home = np.concatenate([_squared(x[lo : lo + 2048], centroids).argmin(1) for lo in range(0, len(x), 2048)])
+    to_centroid, need = np.sqrt(_squared(x[q], centroids)), []
+    for row, i in enumerate(q.tolist()):
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        near = np.argpartition(d, min(k, len(d) - 1) - 1)[: min(k, len(d) - 1)]
+        need.append(to_centroid[row, home[near]] / max(to_centroid[row].min(), 1e-12))
+    return float(np.quantile(np.concatenate(need), recall))
+
+
 class CentroidGraph:
     """Each centroid linked with its nearest ones; searched best first from an entry point."""
 
     def __init__(self, centroids: np.ndarray, degree: int = 24):
         self.x = centroids
-        sq = (centroids**2).sum(1)
-        links = []
-        for lo in range(0, len(centroids), 1024):
-            d = sq[lo : lo + 1024, None] - 2 * centroids[lo : lo + 1024] @ centroids.T + sq
-            links.append(np.argsort(d, axis=1, kind="stable")[:, 1 : degree + 1])
+        links = [np.argsort(_squared(centroids[lo : lo + 1024], centroids), axis=1, kind="stable")[:, 1 : degree + 1] for lo in range(0, len(centroids), 1024)]
         near = np.concatenate(links) if links else np.zeros((0, 0), np.int64)
         rng = np.random.default_rng(3)  # some far links keep the graph connected
         far = rng.integers(0, max(len(centroids), 1), (len(centroids), 4))
@@ -91,48 +115,74 @@ class CentroidGraph:
         out = sorted((-d, i) for d, i in best)
         return np.array([i for _, i in out]), np.array([d for d, _ in out])
 
+    def within(self, q: np.ndarray, ratio: float, breadth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Centroids within ``ratio`` of the nearest distance; the search widens until one lies beyond."""
+        while True:
+            at, d = self.search(q, breadth)
+            if d[-1] > ratio * d[0] or breadth >= len(self.x):
+                keep = d <= ratio * d[0] + 1e-12
+                return at[keep], d[keep]
+            breadth *= 4
+
+    def boundary(self, v: np.ndarray, ratio: float) -> np.ndarray:
+        """The nearest centroid, and those within ``ratio`` that lie nearer to the vector than to any chosen one."""
+        at, d = self.within(v, ratio, 16)
+        keep = [0]
+        for j in range(1, len(at)):
+            if (((self.x[at[keep]] - self.x[at[j]]) ** 2).sum(1) > d[j] ** 2).all():
+                keep.append(j)
+        return at[keep]
+
 
-def _assigner(graph, ratio: float, most: int, breadth: int, least: int = 1):
-    """mapInPandas function: rows (id, v) to (list, id, v) for centroids within ``ratio`` of the nearest distance, and the ``least`` nearest."""
+def _assigner(graph, lists_of):
+    """mapInPandas function: rows (id, v) to (list, id, v) for each list of a vector."""
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g = graph.value
         for pdf in batches:
-            ids, lists, rows = pdf["id"].to_numpy(), [], []
-            for k, v in enumerate(pdf["v"]):
-                at, d = g.search(np.asarray(v, np.float64), breadth)
-                keep = at[(d <= ratio * d[0] + 1e-12) | (np.arange(len(d)) < least)][:most]
-                lists.append(keep)
-                rows.append(np.full(len(keep), k))
+            lists = [lists_of(g, np.asarray(v, np.float64)) for v in pdf["v"]]
             if lists:
-                r = np.concatenate(rows)
-                yield pd.DataFrame({"list": np.concatenate(lists), "id": ids[r], "v": pdf["v"].to_numpy()[r]})
+                r = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+                yield pd.DataFrame({"list": np.concatenate(lists), "id": pdf["id"].to_numpy()[r], "v": pdf["v"].to_numpy()[r]})
 
     return assign
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = 20_000, per_list: int = 64, replicas: int = 4, boundary: float = 1.1, lists: int = 128, least: int = 48, pruning: float = 1.35, part: int = 4096) -> DataFrame:
-    """query_id, rank, vec_id, score. ``vectors``, ``queries``: id, v (array<double>); a query's own id is no candidate."""
-    spark = vectors.sparkSession
-    n = vectors.count()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not n:
-        return spark.createDataFrame([], schema)
-    dim = vectors.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first().d
-    vectors, queries = vectors.where(F.size("v") == dim), queries.where(F.size("v") == dim)
+def _distances(v: np.ndarray, one: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        diff = v - one
+        d = np.sqrt((diff**2).sum(1))
+        far = ~np.isfinite(d)
+        if far.any():  # squares beyond the range of doubles
+            top = np.abs(diff[far]).max(1, keepdims=True)
+            d[far] = np.where(np.isfinite(top[:, 0]), top[:, 0] * np.sqrt(((diff[far] / np.where(np.isfinite(top), top, 1)) ** 2).sum(1)), np.inf)
+    return d
+
+
+def postings(vectors: DataFrame, queries: DataFrame, n: int, k: int, sample: int, per_list: int, boundary: float, recall: float) -> tuple[DataFrame, DataFrame, int]:
+    """(list, id, v) of all vectors and of the queries, and the number of lists."""
+    spark, dim = vectors.sparkSession, len(vectors.first().v)
     picked = vectors.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) / float(1 << 20) < sample / n).limit(2 * sample)
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.unique(np.stack(pdf["v"]).astype(np.float64), axis=0)  # copies count once
-        return pd.DataFrame({"c": list(balanced_centroids(x, per_list))})
+        with np.errstate(over="ignore", invalid="ignore"):
+            c = balanced_centroids(x, max(8, int(np.ceil(len(x) * per_list / n))))
+            ratio = needed_ratio(x, c, k, recall)
+        return pd.DataFrame({"c": list(c), "ratio": ratio})
 
-    found = picked.groupBy(F.lit("all")).applyInPandas(cluster, "c array<double>").toPandas()  # 2 * sample / per_list rows at most
+    found = picked.groupBy(F.lit("all")).applyInPandas(cluster, "c array<double>, ratio double").toPandas()  # sample / 4 rows at most
     centroids = np.stack(found["c"]) if len(found) else np.zeros((1, dim))
-    centroids = centroids[np.lexsort(centroids.T[::-1])]
-    graph = spark.sparkContext.broadcast(CentroidGraph(centroids))
+    ratio = float(found["ratio"].iloc[0]) if len(found) and np.isfinite(found["ratio"].iloc[0]) else np.inf
+    graph = spark.sparkContext.broadcast(CentroidGraph(centroids[np.lexsort(centroids.T[::-1])]))
     out = "list int, id long, v array<double>"
-    posted = stored(vectors.dropDuplicates(["id"]).mapInPandas(_assigner(graph, boundary, replicas, 16), out))
-    asked = queries.dropDuplicates(["id"]).mapInPandas(_assigner(graph, pruning, lists, lists, least), out)
+    posted = vectors.mapInPandas(_assigner(graph, lambda g, v: g.boundary(v, boundary)), out)
+    asked = queries.mapInPandas(_assigner(graph, lambda g, v: g.within(v, ratio, 64)[0]), out)
+    return stored(posted), stored(asked), len(centroids)
+
+
+def _nearest(vectors: DataFrame, queries: DataFrame, n: int, k: int, sample: int, per_list: int, boundary: float, recall: float, part: int) -> DataFrame:
+    posted, asked, _ = postings(vectors, queries, n, k, sample, per_list, boundary, recall)
     parts = posted.groupBy("list").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
     posted = posted.join(parts, "list").select("list", "id", "v", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
     asked = asked.join(parts.toDF("list", "of"), "list").select("list", "id", "v", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("part"))
@@ -143,13 +193,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = 2
         x = x.sort_values("id", ignore_index=True)
         v, ids, res = np.stack(x["v"]), x["id"].to_numpy(), []
         for i, one in zip(q["id"].to_numpy(), q["v"]):
-            d = np.sqrt(((v - one) ** 2).sum(1))
-            d[ids == i] = np.inf
+            d = _distances(v, one)
             at = np.argsort(d, kind="stable")[: k + 1]
-            at = at[np.isfinite(d[at])][:k]
-            res.append(pd.DataFrame({"query_id": np.full(len(at), i), "vec_id": ids[at], "score": d[at]}))
-        return pd.concat(res)
+            at = at[ids[at] != i][:k]
+            res.append((np.full(len(at), i), ids[at], d[at]))
+        a, b, c = map(np.concatenate, zip(*res))
+        return pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
 
     pairs = asked.groupBy("list", "part").cogroup(posted.groupBy("list", "part")).applyInPandas(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return pairs.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    best = pairs.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = 20_000, per_list: int = 250, boundary: float = 1.1, recall: float = 0.99, part: int = 4096) -> DataFrame:
+    """query_id, rank, vec_id, score. ``vectors``, ``queries``: id, v (array<double>); a query's own id is no candidate.
+
+    ``sample``: vectors that centroids and the pruning ratio are fitted on; ``per_list``: vectors a list is to hold
+    (more, where the sample is too small for so many lists)."""
+    one = lambda df: df.where("id is not null").where(usable(F.col("v"))).groupBy("id").agg(F.min("v").alias("v"))
+    vectors, queries = one(vectors.select("id", "v")), one(queries.select("id", "v"))
+    dims = vectors.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()
+    found = [_nearest(vectors.where(F.size("v") == r.d), queries.where(F.size("v") == r.d), r["count"], k, sample, per_list, boundary, recall, part) for r in dims]
+    return reduce(DataFrame.union, found) if found else vectors.sparkSession.createDataFrame([], OUT)

@@ -67,7 +67,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings").where("vec_id is not null").where(ann.usable(F.col("embedding")))
+    vectors = table(spark, sf_dir, "embeddings").where("vec_id is not null")
     vectors = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     return ann.nearest(vectors, vectors.where("id % 100 = 0"))
 

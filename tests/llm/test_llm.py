@@ -294,6 +294,49 @@ def test_op6_recall_and_scores(spark):
     assert hit / total >= 0.9
 
 
+def _recall_and_share(spark, x, asked):
+    """Recall at 10 against all rows, and the share of lists that a query reads."""
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>").cache()
+    q = table.where(F.col("id").isin([int(k) for k in asked]))
+    got = {}
+    for r in ann.nearest(table, q, sample=5000).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    _, read, lists = ann.postings(table, q, len(x), 10, 5000, 250, 1.1, 0.99)
+    hit = 0
+    for k in asked:
+        d = ((x - x[k]) ** 2).sum(1)
+        d[k] = np.inf
+        hit += len(got[k] & set(np.argsort(d, kind="stable")[:10].tolist()))
+    return hit / (10 * len(asked)), read.count() / len(asked) / lists, lists
+
+
+def test_op6_ratios_decide(spark):
+    """Clustered vectors: few lists are read and the share falls with size; without structure recall still holds."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(0, 1, (400, 16))
+    shares = []
+    for n in (4000, 16000):
+        x = centres[rng.integers(0, 400, n)] + rng.normal(0, 0.15, (n, 16))
+        recall, share, lists = _recall_and_share(spark, x, list(range(0, n, n // 40)))
+        assert recall >= 0.9 and lists >= 16
+        shares.append(share)
+    assert shares[1] < 0.1 and shares[1] < shares[0]
+    recall, share, _ = _recall_and_share(spark, rng.normal(0, 1, (4000, 32)), list(range(0, 4000, 100)))
+    assert recall >= 0.9
+
+
+def test_op6_odd_vectors(spark):
+    """Null and repeated ids, other dimensions, distances beyond the range of squares, extra columns."""
+    big = 1e200
+    table = [(1, [0.0, 1.0]), (1, [9.0, 9.0]), (2, [0.0, 2.0]), (None, [0.0, 1.0]), (3, [big, 1.0]), (4, [-big, 1.0]), (5, [1.0, 2.0, 3.0]), (6, [1.0, 2.0, 4.0]), (7, [0.0, 0.0]), (8, None)]
+    df = spark.createDataFrame(table, "id long, v array<double>").withColumn("list", F.lit("x"))
+    got = {}
+    for r in ann.nearest(df, df).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert [v for v, _ in got[1]] == [2, 3, 4] and got[1][0][1] == 1.0 and got[3][-1] == (4, 2 * big)
+    assert got[5] == [(6, 1.0)] and set(got) == {1, 2, 3, 4, 5, 6}
+
+
 def test_op8_keeps_types_and_coreference(spark):
     text = "Mail jo.doe@corp.example or call +44 20 7946 0958; card 4111 1111 1111 1111, Mr. John Smith, 10.1.2.3"
     docs = spark.createDataFrame([(1, text), (2, "again jo.doe@corp.example and John Smith"), (3, None), (4, ""), (5, "nothing here"), (1, text)], "doc_id long, text string")
