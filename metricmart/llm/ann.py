@@ -61,7 +61,7 @@ def _squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x**2).sum(1)[:, None] - 2 * x @ y.T + (y**2).sum(1), 0)
 
 
-def needed_ratio(x: np.ndarray, centroids: np.ndarray, k: int, recall: float, asked: int = 256, seed: int = 5) -> float:
+def needed_ratio(x: np.ndarray, centroids: np.ndarray, k: int, recall: float, asked: int = 512, seed: int = 5) -> float:
     """The least ratio to the nearest centroid's distance within which lie the lists of the share ``recall`` of the k
     nearest sample vectors of ``asked`` sample vectors. The sample is sparser than the table, so this errs upwards."""
     if len(centroids) < 2 or len(x) < 3:
@@ -206,7 +206,7 @@ def _nearest(vectors: DataFrame, queries: DataFrame, n: int, k: int, sample: int
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = 20_000, per_list: int = 250, boundary: float = 1.1, recall: float = 0.99, part: int = 4096) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = 20_000, per_list: int = 250, boundary: float = 1.1, recall: float = 0.997, part: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score. ``vectors``, ``queries``: id, v (array<double>); a query's own id is no candidate.
 
     ``sample``: vectors that centroids and the pruning ratio are fitted on; ``per_list``: vectors a list is to hold
