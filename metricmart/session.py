@@ -26,15 +26,20 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Writes a stage's table to the shared folder (spark.checkpoint.dir; of this machine only where unset) and reads it
-    again, so that what follows may use it many times."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """A new folder's path in the shared folder (spark.checkpoint.dir). Only a local session without one makes its own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="metricmart-"))
         at = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    path = f"{at.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    return f"{at.rstrip('/')}/stage-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Writes a stage's table to the shared folder and reads it again, so that what follows may use it many times."""
+    path = folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

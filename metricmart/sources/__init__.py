@@ -1 +1 @@
-
+"""Readers and writers of files and run partitions."""
