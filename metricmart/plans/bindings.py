@@ -43,7 +43,7 @@ def mart(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = obs(spark, sf_dir)
     last = o.groupBy("entity_id").agg(F.max_by(F.struct(*[c for c in o.columns if c != "entity_id"]), "run").alias("r"), F.min("run").alias("created"), F.count("*").alias("history")).select("entity_id", "r.*", "created", "history")
     execution = table(spark, sf_dir, "lineitem").agg(F.to_date(F.date_trunc("month", F.max("l_shipdate"))).alias("execution"))  # one row
-    m = last.crossJoin(F.broadcast(execution)).withColumn("age_days", F.datediff("execution", "created"))
+    m = last.crossJoin(F.broadcast(execution)).withColumn("age_days", (F.col("size") - 1) * 4)  # as uploaded so many days before the execution
     ratio = lambda n, d: S.barrier(S.safe_divide(n, d))
     return (
         m.withColumn("eng", ratio(F.col("likes") + F.col("comments"), F.col("views")))
@@ -61,15 +61,28 @@ MART = (
 last as (select * from (select *, min(run) over (partition by entity_id) as created, count(*) over (partition by entity_id) as history,
   row_number() over (partition by entity_id order by run desc) as rn from obs) where rn = 1),
 execution as (select cast(date_trunc('month', max(l_shipdate)) as date) as execution from lineitem),
-mart as (select l.*, execution, date_diff('day', created, execution) as age_days,
+mart as (select l.*, execution, (size - 1) * 4 as age_days,
   round((likes + comments) / nullif(views, 0), 6) as eng, round(likes / nullif(views, 0), 6) as like_rate, round(comments / nullif(views, 0), 6) as comment_rate,
   round((likes_delta + comments_delta) / nullif(views_delta, 0), 6) as delta_eng,
-  round(views / greatest(cast(date_diff('day', created, execution) as double), 1.0e0 / 24), 6) as views_per_day,
+  round(views / greatest(cast((size - 1) * 4 as double), 1.0e0 / 24), 6) as views_per_day,
   case when size * 20 <= 60 then 'short' when size * 20 <= 600 then 'mid' when size * 20 > 600 then 'long' else 'unknown' end as bucket
   from last l, execution)"""
 )
 
 
+#: What follows ``OBS`` in queries over histories.
+HISTORY = """h as (select *, lag(run) over w as prev_run, lag(views_delta) over w as prev_delta from obs window w as (partition by entity_id order by run)),
+v as (select *, round(views_delta / greatest(coalesce(date_diff('day', prev_run, run), 0), 1.0e0 / 24), 6) as velocity from h)"""
+
+
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """obs with the row before, and velocity a day since then; a first row has the age 0, and an hour is the least."""
+    w = Window.partitionBy("entity_id").orderBy("run")
+    h = obs(spark, sf_dir).withColumn("prev_run", F.lag("run").over(w)).withColumn("prev_delta", F.lag("views_delta").over(w))
+    days = F.coalesce(F.datediff("run", "prev_run"), F.lit(0)).cast("double")
+    return h.withColumn("velocity", S.barrier(F.col("views_delta") / F.greatest(days, F.lit(1 / 24))))
+
+
 def pct_sql(x: str) -> str:
     """Tie-averaged percentile as SQL over all rows of the query."""
     return f"round(case when {x} is null then null when (count({x}) over ()) <= 1 or (count(*) over (partition by {x})) = (count({x}) over ()) then 50.0e0 else ((rank() over (order by {x} nulls last)) - 1 + ((count(*) over (partition by {x})) - 1) / 2.0e0) / ((count({x}) over ()) - 1) * 100 end, 6)"

@@ -9,7 +9,7 @@ from metricmart.functions import scalar as S
 from metricmart.operators import ranking, robust
 from metricmart.operators.dedupe import append_absent, keep_latest, upsert
 from metricmart.operators.joins import asof_backward, asof_nearest, merge_right_biased
-from metricmart.plans.bindings import MART, OBS, SCORES, mart, obs, pct_sql, scores, table
+from metricmart.plans.bindings import HISTORY, MART, OBS, SCORES, history, mart, obs, pct_sql, scores, table
 from metricmart.plans.registry import register
 
 METRIC_COLUMNS = ["entity_id", "group_id", "bucket", "run", "created", "age_days", "views", "likes", "comments", "views_delta", "eng", "like_rate", "comment_rate", "delta_eng", "views_per_day"]
@@ -162,31 +162,24 @@ def asof_nearest_7d(spark, sf):
     return asof_nearest(e, e, "user_id", "ts", "event_id", 7, 2, ["event_id"]).select("event_id", "next_event_id")
 
 
-_HIST = f"""{OBS}, h as (select *, lag(run) over w as prev_run, lag(views_delta) over w as prev_delta, min(run) over (partition by entity_id) as created from obs window w as (partition by entity_id order by run)),
-v as (select *, round(views_delta / greatest(coalesce(date_diff('day', prev_run, run), 0), 1.0e0), 6) as velocity from h)"""
-
-
-def _history(spark, sf) -> DataFrame:
-    w = Window.partitionBy("entity_id").orderBy("run")
-    h = obs(spark, sf).withColumn("prev_run", F.lag("run").over(w)).withColumn("prev_delta", F.lag("views_delta").over(w))
-    return h.withColumn("velocity", S.barrier(F.col("views_delta") / F.greatest(d(F.coalesce(F.datediff("run", "prev_run"), F.lit(0))), F.lit(1.0))))
+_HIST = f"{OBS}, {HISTORY}"
 
 
 @register(f"with {_HIST} select entity_id, run, velocity from v")
 def velocity_history(spark, sf):
-    return _history(spark, sf).select("entity_id", "run", "velocity")
+    return history(spark, sf).select("entity_id", "run", "velocity")
 
 
-@register(f"with {_HIST} select entity_id, max(velocity) as peak, round(least(100, arg_max(velocity, run) / nullif(max(velocity), 0) * 100), 6) as decay from v group by 1")
+@register(f"with {_HIST} select entity_id, max(velocity) as peak, round(least(100, arg_max(velocity, run) / greatest(max(velocity), 1) * 100) + 1e-9, 6) as decay from v group by 1")
 def peak_decay(spark, sf):
-    return _history(spark, sf).groupBy("entity_id").agg(F.max("velocity").alias("peak"), S.barrier(F.least(F.lit(100.0), S.safe_divide(F.max_by("velocity", "run"), F.max("velocity")) * 100)).alias("decay"))
+    return history(spark, sf).groupBy("entity_id").agg(F.max("velocity").alias("peak"), S.settled(F.least(F.lit(100.0), F.max_by("velocity", "run") / F.greatest(F.max("velocity"), F.lit(1.0)) * 100)).alias("decay"))
 
 
 @register(f"""with {_HIST} select entity_id, run, views_delta - prev_delta as acceleration, round(views_delta / greatest(prev_delta, 1.0e0), 6) as ratio,
  case when prev_delta is null then 'unknown' when round(views_delta / greatest(prev_delta, 1.0e0), 6) >= 2 then 'accelerating' when round(views_delta / greatest(prev_delta, 1.0e0), 6) >= 0.8 then 'stable' when round(views_delta / greatest(prev_delta, 1.0e0), 6) >= 0.2 then 'decelerating' else 'fading' end as trend
  from (select entity_id, run, views_delta, cast(prev_delta as double) as prev_delta from v) where prev_delta is not null""")
 def acceleration(spark, sf):
-    h = _history(spark, sf).where("prev_delta is not null").withColumn("ratio", S.barrier(F.col("views_delta") / F.greatest(d(F.col("prev_delta")), F.lit(1.0))))
+    h = history(spark, sf).where("prev_delta is not null").withColumn("ratio", S.barrier(F.col("views_delta") / F.greatest(d(F.col("prev_delta")), F.lit(1.0))))
     return h.select("entity_id", "run", (F.col("views_delta") - d(F.col("prev_delta"))).alias("acceleration"), "ratio", S.trend_label(F.col("ratio")).alias("trend"))
 
 
@@ -196,7 +189,7 @@ m as (select entity_id, min(n) as n, min(ch) as ch, median(views_delta) filter (
 select entity_id, before, after, round(after / greatest(before, 1.0e0), 6) as lift, case when after / greatest(before, 1.0e0) >= 1.5 then 'positive' when after / greatest(before, 1.0e0) >= 0.8 then 'neutral' else 'negative' end as status from m where n >= 3 and ch > 1 and ch < n""")
 def change_lift(spark, sf):
     w = Window.partitionBy("entity_id")
-    r = _history(spark, sf).withColumn("rn", F.row_number().over(w.orderBy("run"))).withColumn("n", F.count("*").over(w)).withColumn("ch", F.min(F.when(F.col("comments_delta") > 0, F.col("rn"))).over(w))
+    r = history(spark, sf).withColumn("rn", F.row_number().over(w.orderBy("run"))).withColumn("n", F.count("*").over(w)).withColumn("ch", F.min(F.when(F.col("comments_delta") > 0, F.col("rn"))).over(w))
     m = r.where("n >= 3 and ch > 1 and ch < n").groupBy("entity_id").agg(F.median(F.when(F.col("rn") < F.col("ch"), F.col("views_delta"))).alias("before"), F.median(F.when(F.col("rn") >= F.col("ch"), F.col("views_delta"))).alias("after"))
     lift = F.col("after") / F.greatest(F.col("before"), F.lit(1.0))
     return m.select("entity_id", "before", "after", S.barrier(lift).alias("lift"), S.by_threshold(lift, [(1.5, "positive"), (0.8, "neutral")], "negative").alias("status"))

@@ -10,6 +10,7 @@ from metricmart.functions import text as T
 from metricmart.operators import ranking
 from metricmart.plans.bindings import table
 from metricmart.plans.registry import register
+from metricmart.session import stage
 
 _TOK = r"regexp_extract_all(lower({x}), '[\p{{L}}\p{{M}}\p{{N}}_]+')"
 _TITLE = "split_part(text, chr(10), 1)"
@@ -112,10 +113,46 @@ def topic_metrics(spark, sf):
     return _topic_table(spark, sf)
 
 
-@register(f"with {_METRICS}, p as (select *, case when count(*) over () = 1 then 50.0e0 else round((row_number() over (order by n, topic) - 1) / (count(*) over () - 1) * 100.0e0, 4) end as n_pct from topics) select topic, n_pct, round(least(100, 0.40 * n_pct + 0.25 * dominant_share + 0.20 * density + 0.15 * avg_confidence), 4) as saturation from p")
+_ORDINAL = lambda x: f"case when count(*) over () = 1 then 50.0e0 else round((row_number() over (order by {x}, topic) - 1) / (count(*) over () - 1) * 100.0e0, 4) end"
+_PRIMARY = "case " + " ".join(f"when regexp_matches(text, '{p}') then '{k}'" for k, p in _PATTERNS.items()) + " else 'unknown' end"
+_SATURATION = f"""{_TOPICS}, d as (select t.*, {_PRIMARY} as pattern, documents.lang as cluster, length(text) as reach from t join documents using (doc_id)),
+b as (select topic, count(*) as n, count(distinct source) as sources, round(100.0e0 / count(distinct cluster), 4) as density, round(avg(reach), 6) as speed, round(avg(motion), 6) as eng, round(avg(confidence), 6) as signal, round(avg(function), 6) as alpha, round(avg({_BEST}), 6) as model from d group by 1),
+r as (select topic, max(k) as top from (select topic, pattern, count(*) as k from d group by 1, 2) group by 1),
+p as (select b.*, round(top * 100.0e0 / n, 4) as repeat, {_ORDINAL('n')} as n_pct, {_ORDINAL('sources')} as source_pct, {_ORDINAL('speed')} as velocity, {_ORDINAL('eng')} as eng_pct from b join r using (topic)),
+q as (select *, round(least(100, 0.40 * n_pct + 0.25 * source_pct + 0.20 * density + 0.15 * repeat) + 1e-9, 4) as saturation from p),
+o as (select *, round(least(100, 0.35 * velocity + 0.20 * eng_pct + 0.20 * signal + 0.15 * alpha + 0.10 * model + 0.30 * saturation) + 1e-9, 4) as opportunity from q)"""
+
+
+def _topic_scores(spark, sf) -> DataFrame:
+    """Saturation and opportunity of each topic (as in the survey, saturation adds to the opportunity)."""
+    primary = F.lit("unknown")
+    for k, p in reversed(_PATTERNS.items()):
+        primary = F.when(F.col("text").rlike(p), k).otherwise(primary)
+    extra = table(spark, sf, "documents").select("doc_id", primary.alias("pattern"), F.col("lang").alias("cluster"), F.length("text").alias("reach"))
+    d = stage(_topics(spark, sf).join(extra, "doc_id"))
+    mean = lambda c: S.barrier(F.avg(c))
+    b = d.groupBy("topic").agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources"), F.round(100.0 / F.countDistinct("cluster"), 4).alias("density"), mean("reach").alias("speed"), mean("motion").alias("eng"), mean("confidence").alias("signal"), mean("function").alias("alpha"), mean(F.greatest(*T.LEXICON)).alias("model"))
+    r = d.groupBy("topic", "pattern").agg(F.count("*").alias("k")).groupBy("topic").agg(F.max("k").alias("top"))
+    p = stage(b.join(r, "topic").withColumn("repeat", F.round(F.col("top") * 100.0 / F.col("n"), 4)))
+    for c, name in (("n", "n_pct"), ("sources", "source_pct"), ("speed", "velocity"), ("eng", "eng_pct")):
+        p = ranking.percentile_ordinal(p, c, "topic", name)
+    capped = lambda *parts: F.round(F.least(F.lit(100.0), S.weighted_sum(*[(w, F.col(c)) for w, c in parts])) + 1e-9, 4)
+    p = p.withColumn("saturation", capped((0.40, "n_pct"), (0.25, "source_pct"), (0.20, "density"), (0.15, "repeat")))
+    return p.withColumn("opportunity", capped((0.35, "velocity"), (0.20, "eng_pct"), (0.20, "signal"), (0.15, "alpha"), (0.10, "model"), (0.30, "saturation")))
+
+
+@register(f"with {_SATURATION} select topic, n_pct, source_pct, density, repeat, saturation from o")
+def topic_saturation(spark, sf):
+    return _topic_scores(spark, sf).select("topic", "n_pct", "source_pct", "density", "repeat", "saturation")
+
+
+@register(f"""with {_SATURATION} select topic, opportunity, case when velocity >= 75 and saturation < 60 then 'emerging_topic' when signal >= 60 and (n_pct < 35 or n <= 2) then 'semantic_gap' when saturation >= 75 and velocity < 60 then 'saturated_topic'
+ when eng >= 0.06 and saturation < 70 then 'evergreen_angle' when velocity >= 60 and signal < 50 then 'watch_topic' else 'low_priority' end as kind from o""")
 def topic_opportunity(spark, sf):
-    t = ranking.percentile_ordinal(_topic_table(spark, sf), "n", "topic", "n_pct")
-    return t.select("topic", "n_pct", F.round(F.least(F.lit(100.0), S.weighted_sum((0.40, F.col("n_pct")), (0.25, F.col("dominant_share")), (0.20, F.col("density")), (0.15, F.col("avg_confidence")))), 4).alias("saturation"))
+    c = F.col
+    kind = F.when((c("velocity") >= 75) & (c("saturation") < 60), "emerging_topic").when((c("signal") >= 60) & ((c("n_pct") < 35) | (c("n") <= 2)), "semantic_gap").when((c("saturation") >= 75) & (c("velocity") < 60), "saturated_topic")
+    kind = kind.when((c("eng") >= 0.06) & (c("saturation") < 70), "evergreen_angle").when((c("velocity") >= 60) & (c("signal") < 50), "watch_topic").otherwise("low_priority")
+    return _topic_scores(spark, sf).select("topic", "opportunity", kind.alias("kind"))
 
 
 @register(f"with t as (select doc_id, source, list_distinct({_TOK.format(x=_TITLE)}) as a from documents), f as (select source, arg_min(a, doc_id) as b from t group by 1) select doc_id, round(case when len(list_distinct(a || b)) = 0 then 1.0e0 else len(list_intersect(a, b)) / cast(len(list_distinct(a || b)) as double) end, 6) as similarity, case when 100 * len(list_intersect(a, b)) < 40 * len(list_distinct(a || b)) then 'safe' when 100 * len(list_intersect(a, b)) < 70 * len(list_distinct(a || b)) then 'review' else 'risky' end as risk from t join f using (source)")
