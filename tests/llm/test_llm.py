@@ -299,9 +299,9 @@ def _recall_and_share(spark, x, asked):
     table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>").cache()
     q = table.where(F.col("id").isin([int(k) for k in asked]))
     got = {}
-    for r in ann.nearest(table, q, sample=5000, per_list=64).collect():
+    for r in ann.nearest(table, q, sample=5000, per_list=64, recall=0.99).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
-    _, read, lists = ann.postings(table, q, len(x), 10, 5000, 64, 1.1, 0.997)
+    _, read, lists = ann.postings(table, q, len(x), 10, 5000, 64, 1.1, 0.99)
     hit = 0
     for k in asked:
         d = ((x - x[k]) ** 2).sum(1)
