@@ -75,9 +75,11 @@ def fit(labelled: DataFrame, clusters: int = 4, per_language: int = 400, rounds:
     rows = labelled.where("text is not null and lang is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     idf = _document_frequencies(rows)
     draw = F.xxhash64("text")
-    counts = rows.select("lang", draw.alias("h")).distinct().groupBy("lang").count()  # copies count once
-    share = counts.select("lang", F.least(F.lit(1.0), per_language / F.col("count")).alias("share"))
-    picked = rows.join(share, "lang").where(F.pmod(draw, F.lit(1 << 20)) < F.col("share") * (1 << 20)).groupBy("lang", draw.alias("h")).agg(F.min("text").alias("text")).select("lang", "text")
+    counts = rows.select("lang", draw.alias("h")).distinct().groupBy("lang").count().collect()  # copies count once; one row a language, as the model has
+    if not counts:
+        return LanguageModel([], np.zeros((0, WIDTH)), np.zeros(0), idf)
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, per_language / r["count"]))])
+    picked = rows.where(F.pmod(draw, F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).groupBy("lang", draw.alias("h")).agg(F.min("text").alias("text")).select("lang", "text")
 
     def centre(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("text").drop_duplicates("text").head(2 * per_language)
