@@ -10,6 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def fresh_name(taken: list[str], name: str) -> str:
+    """``name``, or with underscores before it if it is taken."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
 def _range_of(df: DataFrame, value: str, buckets: int) -> Column:
     cuts = sorted(set(df.approxQuantile(value, [k / buckets for k in range(1, buckets)], 0.01))) if buckets > 1 else []
     return F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>"), lambda c: c <= F.col(value)))

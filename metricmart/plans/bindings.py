@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from metricmart.functions import scalar as S
 from metricmart.operators.ranking import percentiles_tied
-from metricmart.operators.robust import robust_z, with_mad
+from metricmart.operators.robust import joined, medians, robust_z, with_mad
 from metricmart.session import stage
 
 
@@ -91,8 +91,8 @@ def pct_sql(x: str) -> str:
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Growth, alpha, opportunity and anomaly scores of each entity."""
     m = mart(spark, sf_dir).withColumn("log_delta", F.log1p(F.greatest(F.col("views_delta"), F.lit(0)).cast("double")))
-    median = m.groupBy("group_id").agg(F.median("views_delta").alias("group_median"))
-    m = m.join(median, "group_id").withColumn("relative", S.barrier(F.col("views_delta") / F.greatest(S.zero(F.col("group_median")), F.lit(1.0))))
+    m = stage(m)
+    m = joined(m, medians(m, "views_delta", ["group_id"], "group_median"), ["group_id"]).withColumn("relative", S.barrier(F.col("views_delta") / F.greatest(S.zero(F.col("group_median")), F.lit(1.0))))
     m = stage(percentiles_tied(stage(m), {"views_delta": "growth_pct", "relative": "relative_pct", "eng": "eng_pct"}))
     m = with_mad(m, "log_delta", [])
     fresh, meta = S.barrier(100 * F.exp(-F.col("age_days") / 7)), F.when(F.col("size") % 2 == 0, 100.0).otherwise(0.0)

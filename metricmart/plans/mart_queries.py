@@ -11,6 +11,7 @@ from metricmart.operators.dedupe import append_absent, keep_latest, upsert
 from metricmart.operators.joins import asof_backward, asof_nearest, merge_right_biased
 from metricmart.plans.bindings import HISTORY, MART, OBS, SCORES, history, mart, obs, pct_sql, scores, table
 from metricmart.plans.registry import register
+from metricmart.session import stage
 
 METRIC_COLUMNS = ["entity_id", "group_id", "bucket", "run", "created", "age_days", "views", "likes", "comments", "views_delta", "eng", "like_rate", "comment_rate", "delta_eng", "views_per_day"]
 
@@ -57,17 +58,24 @@ def growth_rank_all(spark, sf):
 @register(f"""with {MART} select group_id, count(*) as n, count(*) filter (where bucket = 'mid') as n_mid, cast(sum(views) as bigint) as views, cast(sum(views_delta) as bigint) as views_delta,
  round(avg(eng), 4) as avg_eng, median(views_delta) as median_delta, arg_max(entity_id, views_delta * 1000000 - entity_id) as top_entity, count(*) filter (where views_delta >= 100) as n_big from mart group by 1""")
 def group_metrics(spark, sf):
-    return mart(spark, sf).groupBy("group_id").agg(F.count("*").alias("n"), F.count_if(F.col("bucket") == "mid").alias("n_mid"), F.sum("views").alias("views"), F.sum("views_delta").alias("views_delta"), F.round(F.avg("eng"), 4).alias("avg_eng"), F.median("views_delta").alias("median_delta"), F.max_by("entity_id", F.struct("views_delta", -F.col("entity_id"))).alias("top_entity"), F.count_if(F.col("views_delta") >= 100).alias("n_big"))
+    m = stage(mart(spark, sf).select("entity_id", "group_id", "bucket", "views", "views_delta", "eng"))
+    g = m.groupBy("group_id").agg(F.count("*").alias("n"), F.count_if(F.col("bucket") == "mid").alias("n_mid"), F.sum("views").alias("views"), F.sum("views_delta").alias("views_delta"), F.round(F.avg("eng"), 4).alias("avg_eng"), F.max_by("entity_id", F.struct("views_delta", -F.col("entity_id"))).alias("top_entity"), F.count_if(F.col("views_delta") >= 100).alias("n_big"))
+    return robust.joined(g, robust.medians(m, "views_delta", ["group_id"], "median_delta"), ["group_id"])
 
 
 @register(f"with {MART} select group_id, median(views_delta) as median_delta, round(avg(views_delta), 6) as avg_delta, median(eng) as median_eng, median(views_per_day) as median_vpd, round(median(views_delta) / nullif(avg(views_delta), 0), 6) as ratio from mart group by 1")
 def group_baselines(spark, sf):
-    return mart(spark, sf).groupBy("group_id").agg(F.median("views_delta").alias("median_delta"), S.barrier(F.avg("views_delta")).alias("avg_delta"), F.median("eng").alias("median_eng"), F.median("views_per_day").alias("median_vpd"), S.barrier(S.safe_divide(F.median("views_delta"), F.avg("views_delta"))).alias("ratio"))
+    m = stage(mart(spark, sf).select("group_id", "views_delta", "eng", "views_per_day"))
+    g = m.groupBy("group_id").agg(F.avg("views_delta").alias("avg"))
+    for x, out in (("views_delta", "median_delta"), ("eng", "median_eng"), ("views_per_day", "median_vpd")):
+        g = robust.joined(g, robust.medians(m, x, ["group_id"], out), ["group_id"])
+    return g.select("group_id", "median_delta", S.barrier(F.col("avg")).alias("avg_delta"), "median_eng", "median_vpd", S.barrier(S.safe_divide(F.col("median_delta"), F.col("avg"))).alias("ratio"))
 
 
 @register(f"with {MART} select bucket, median(views_delta) as median_delta, count(*) as n from mart group by 1")
 def bucket_median(spark, sf):
-    return mart(spark, sf).groupBy("bucket").agg(F.median("views_delta").alias("median_delta"), F.count("*").alias("n"))
+    m = stage(mart(spark, sf).select("bucket", "views_delta"))  # a bucket may hold a third of all rows
+    return robust.joined(m.groupBy("bucket").agg(F.count("*").alias("n")), robust.medians(m, "views_delta", ["bucket"], "median_delta"), ["bucket"]).select("bucket", "median_delta", "n")
 
 
 @register(f"with {MART} select count(*) as entities, count(distinct group_id) as groups, cast(sum(views) as bigint) as views, cast(sum(views_delta) as bigint) as views_delta, max(run) as last_run from mart")
@@ -102,19 +110,22 @@ def percentile_desc(spark, sf):
 
 @register(f"with {MART}, a as (select *, median(views_delta) over (partition by group_id) as med from mart), b as (select *, median(abs(views_delta - med)) over (partition by group_id) as mad from a) select entity_id, round(case when mad = 0 then 0 else 0.6745 * (views_delta - med) / mad end, 10) as z from b")
 def robust_z(spark, sf):
-    m = robust.with_mad(mart(spark, sf).select("entity_id", "group_id", "views_delta"), "views_delta", ["group_id"])
+    m = robust.with_mad(stage(mart(spark, sf).select("entity_id", "group_id", "views_delta")), "views_delta", ["group_id"])
     return m.select("entity_id", F.round(robust.robust_z(F.col("views_delta"), F.col("median"), F.col("mad")), 10).alias("z"))
 
 
 @register(f"with {MART}, a as (select *, median(views_delta) over (partition by group_id) as med from mart) select group_id, min(med) as med, median(abs(views_delta - med)) as mad from a group by 1")
 def mad_by_group(spark, sf):
-    return robust.with_mad(mart(spark, sf).select("group_id", "views_delta"), "views_delta", ["group_id"]).groupBy("group_id").agg(F.min("median").alias("med"), F.min("mad").alias("mad"))
+    return robust.with_mad(stage(mart(spark, sf).select("group_id", "views_delta")), "views_delta", ["group_id"]).groupBy("group_id").agg(F.min("median").alias("med"), F.min("mad").alias("mad"))
 
 
 @register(f"""with {MART}, g as (select group_id, list_sort(list(views_delta)) as a from mart group by 1) select group_id, case when len(a) >= 2 then a[cast(floor(0.75 * (len(a) - 1)) as int) + 1] - a[cast(floor(0.25 * (len(a) - 1)) as int) + 1] end as iqr,
  a[len(a) // 2 + 1] as upper, a[cast(ceil(0.8 * len(a)) as int)] as q80 from g""")
 def iqr_floor_by_group(spark, sf):
-    return mart(spark, sf).groupBy("group_id").agg(robust.iqr_floor("views_delta").alias("iqr"), robust.upper_median("views_delta").alias("upper"), robust.quantile_disc("views_delta", 0.8).cast("bigint").alias("q80"))
+    m = stage(mart(spark, sf).select("group_id", "views_delta"))
+    q = robust.order_statistics(m, "views_delta", ["group_id"], {"q1": robust.floor_quantile(0.25), "q3": robust.floor_quantile(0.75), "upper": robust.UPPER_MIDDLE, "q80": robust.disc_quantile(0.8)})
+    n = robust.joined(m.groupBy("group_id").agg(F.count("views_delta").alias("n")), q, ["group_id"])
+    return n.select("group_id", F.when(F.col("n") >= 2, F.col("q3") - F.col("q1")).alias("iqr"), "upper", F.col("q80").cast("bigint").alias("q80"))
 
 
 @register(f"with {SCORES} select entity_id, growth_pct, relative, relative_pct, eng_pct, freshness, alpha, opportunity, anomaly from scores")
@@ -217,7 +228,8 @@ def momentum(spark, sf):
 @register(f"""with {OBS}, g as (select group_id, list_sort(list(views_delta)) as a, median(views_delta) as med from obs group by 1), v as (select group_id, round((a[cast(floor(0.75 * (len(a) - 1)) as int) + 1] - a[cast(floor(0.25 * (len(a) - 1)) as int) + 1]) / greatest(med, 1.0e0), 6) as volatility from g)
  select group_id, volatility, 100 - coalesce({pct_sql('volatility')}, 0) as consistency from v""")
 def consistency(spark, sf):
-    g = obs(spark, sf).groupBy("group_id").agg(robust.iqr_floor("views_delta").alias("iqr"), F.median("views_delta").alias("med")).select("group_id", S.barrier(F.col("iqr") / F.greatest(F.col("med"), F.lit(1.0))).alias("volatility"))
+    q = robust.order_statistics(stage(obs(spark, sf).select("group_id", "views_delta")), "views_delta", ["group_id"], {"q1": robust.floor_quantile(0.25), "q3": robust.floor_quantile(0.75), "lo": robust.LOWER_MIDDLE, "hi": robust.UPPER_MIDDLE})
+    g = q.select("group_id", S.barrier((F.col("q3") - F.col("q1")) / F.greatest((F.col("lo") + F.col("hi")) / 2, F.lit(1.0))).alias("volatility"))
     return ranking.percentile_tied(g, "volatility", "p").select("group_id", "volatility", (100 - S.zero(F.col("p"))).alias("consistency"))
 
 

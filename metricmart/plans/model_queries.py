@@ -27,9 +27,9 @@ sup as (select entity_id, n.group_id, n.run, views_delta, next_delta, round(ln(1
 
 def supervised(spark, sf) -> DataFrame:
     n = stage(examples(spark, sf))
-    top = n.agg(robust.quantile_disc("next_delta", 0.8).alias("top"))  # one row
-    mid = n.groupBy("group_id", "run").agg(robust.upper_median("next_delta").alias("mid"))
-    return n.join(mid, ["group_id", "run"]).crossJoin(F.broadcast(top)).select("entity_id", "group_id", "run", "views_delta", "next_delta", S.barrier(F.log1p(F.col("next_delta").cast("double"))).alias("log_next"), (F.col("next_delta") >= F.col("top")).alias("is_top"), (F.col("next_delta") > F.col("mid")).alias("beats_group"))
+    top = robust.order_statistics(n, "next_delta", [], {"top": robust.disc_quantile(0.8)})  # one row
+    mid = robust.order_statistics(n, "next_delta", ["group_id", "run"], {"mid": robust.UPPER_MIDDLE})
+    return robust.joined(robust.joined(n, mid, ["group_id", "run"]), top, []).select("entity_id", "group_id", "run", "views_delta", "next_delta", S.barrier(F.log1p(F.col("next_delta").cast("double"))).alias("log_next"), (F.col("next_delta") >= F.col("top")).alias("is_top"), (F.col("next_delta") > F.col("mid")).alias("beats_group"))
 
 
 @register(f"with {_SUP} select * from sup")

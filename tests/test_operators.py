@@ -1,5 +1,6 @@
 """Operators on small tables: ties, nulls, repeats and empty inputs."""
 
+import math
 import statistics
 
 from hypothesis import HealthCheck, given, settings
@@ -41,6 +42,30 @@ def test_robust(spark):
     assert (rows["b"].d, rows["b"].q) == (0.0, None)
 
 
+def test_order_statistics_meet_sorting(spark):
+    """Groups of any sign and size, ties, a NULL group, a group without values, an empty table."""
+    import random
+
+    draw = random.Random(5)
+    data = [(g, None if draw.random() < 0.1 else float(draw.choice([0, -1, 7, draw.gauss(0, 1e3), draw.random() * 1e-9]))) for g in ("a", "b", None) for _ in range({"a": 200, "b": 7, None: 12}[g])] + [("none", None), ("inf", float("inf")), ("inf", float("-inf"))]
+    df = spark.createDataFrame(data, "value string, band double")  # names that clash with the operator's own
+    picks = {"q1": robust.floor_quantile(0.25), "n": robust.disc_quantile(0.8), "up": robust.UPPER_MIDDLE}
+    got = {r.value: (r.q1, r.n, r.up) for r in robust.order_statistics(df, "band", ["value"], picks).collect()}
+    known = {}
+    for g, v in data:
+        known.setdefault(g, []).append(v)
+    want = {}
+    for g, v in known.items():
+        v = sorted(x for x in v if x is not None)
+        if v:
+            want[g] = (v[int(0.25 * (len(v) - 1))], v[math.ceil(0.8 * len(v)) - 1], v[len(v) // 2])
+    assert got == want
+    flat = sorted(v for _, v in data if v is not None and abs(v) < math.inf)
+    whole = robust.medians(df.where("abs(band) < double('infinity')"), "band", []).first()
+    assert whole.median == statistics.median(flat)
+    assert robust.medians(df.limit(0), "band", []).first().median is None and robust.medians(df.limit(0), "band", ["value"]).count() == 0
+
+
 def test_asof_joins(spark):
     left = spark.createDataFrame([(1, 1, 10), (2, 1, 5), (3, 2, 9)], "id long, k long, t long")
     right = spark.createDataFrame([(1, 5, "a"), (1, 9, "b")], "k long, t long, x string")
