@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metricmart.functions import scalar as S
-from metricmart.operators import ranking
+from metricmart.operators import ranking, robust
 from metricmart.plans import mart_queries  # noqa: F401  registers momentum and consistency
 from metricmart.plans.bindings import HISTORY, MART, SCORES, history, mart, obs, pct_sql, scores, table
 from metricmart.plans.registry import ORACLE_SQL, QUERIES, register
@@ -32,9 +32,9 @@ def advanced(spark, sf) -> DataFrame:
     """Percentiles, horizon scores (NULL outside their ages), burst, evergreen, packaging, confidence and trend of each entity."""
     last = history(spark, sf).groupBy("entity_id").agg(F.max_by("velocity", "run").alias("velocity"), F.max("velocity").alias("peak"), F.max_by("prev_delta", "run").alias("prev_delta"))
     log = lambda x: F.log1p(F.greatest(x.cast("double"), F.lit(0.0)))
-    s = scores(spark, sf)
-    medians = s.groupBy("group_id").agg(F.count("*").alias("group_n"), F.median("eng").alias("group_eng"))
-    s = s.join(last, "entity_id").join(medians, "group_id")
+    s = stage(scores(spark, sf))
+    sizes = robust.joined(s.groupBy("group_id").agg(F.count("*").alias("group_n")), robust.medians(s, "eng", ["group_id"], "group_eng"), ["group_id"])
+    s = s.join(last, "entity_id").join(sizes, "group_id")
     s = s.withColumn("log_velocity", S.barrier(log(F.col("velocity")))).withColumn("log_rel", S.barrier(log(F.col("views_delta")) - log(S.zero(F.col("group_median")))))
     s = s.withColumn("log_acc", F.when(F.col("prev_delta").isNotNull(), S.barrier(log(F.col("views_delta") - F.col("prev_delta"))))).withColumn("rel_eng", S.barrier(S.safe_divide(F.col("eng"), F.col("group_eng"))))
     s = s.withColumn("decay", S.settled(F.least(F.col("velocity") / F.greatest(F.col("peak"), F.lit(1.0)), F.lit(1.0)) * 100))
@@ -98,7 +98,9 @@ def advanced_entity(spark, sf):
 
 @register(f"with {ADVANCED} select group_id, count(*) as n, round(avg(overall), 3) as avg_overall, median(packaging) as median_packaging, arg_max(entity_id, (opportunity, -entity_id)) as best from advanced group by 1")
 def advanced_group(spark, sf):
-    return advanced(spark, sf).groupBy("group_id").agg(F.count("*").alias("n"), F.round(F.avg("overall"), 3).alias("avg_overall"), F.median("packaging").alias("median_packaging"), F.max_by("entity_id", F.struct("opportunity", -F.col("entity_id"))).alias("best"))
+    a = stage(advanced(spark, sf).select("entity_id", "group_id", "overall", "packaging", "opportunity"))
+    g = a.groupBy("group_id").agg(F.count("*").alias("n"), F.round(F.avg("overall"), 3).alias("avg_overall"), F.max_by("entity_id", F.struct("opportunity", -F.col("entity_id"))).alias("best"))
+    return robust.joined(g, robust.medians(a, "packaging", ["group_id"], "median_packaging"), ["group_id"])
 
 
 @register(f"with {ADVANCED} select entity_id, confidence, case when confidence >= 70 then 'high' when confidence >= 40 then 'medium' else 'low' end as level from advanced")
@@ -136,7 +138,9 @@ gs as (select group_id, momentum_pct, consistency, {pct_sql("growth")} as growth
 
 def group_table(spark, sf) -> DataFrame:
     """Momentum, consistency, growth percentile and confidence of each group."""
-    g = mart(spark, sf).groupBy("group_id").agg(F.count("*").alias("n"), F.sum("views_delta").alias("growth"), F.avg("eng").alias("eng"), F.median("views_delta").alias("med"))
+    m = stage(mart(spark, sf).select("group_id", "views_delta", "eng"))
+    g = m.groupBy("group_id").agg(F.count("*").alias("n"), F.sum("views_delta").alias("growth"), F.avg("eng").alias("eng"))
+    g = robust.joined(g, robust.medians(m, "views_delta", ["group_id"], "med"), ["group_id"])
     runs = obs(spark, sf).groupBy("group_id").agg(F.countDistinct("run").alias("runs"))
     g = ranking.percentile_tied(stage(g.join(runs, "group_id")), "growth", "growth_pct")
     complete = sum((F.col(c).isNotNull().cast("int") for c in ("n", "growth", "eng", "med")), F.lit(0)) * 25.0

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from metricmart.functions import scalar as S
 from metricmart.functions import text as T
-from metricmart.operators import ranking
+from metricmart.operators import ranking, robust
 from metricmart.plans.bindings import table
 from metricmart.plans.registry import register
 from metricmart.session import stage
@@ -61,7 +61,8 @@ def _patterns(x: Column) -> Column:
 @register("with p as (select source, n_chars, unnest(string_split(coalesce(nullif(concat_ws('|', " + ", ".join(f"case when regexp_matches(text, '{p}') then '{k}' end" for k, p in _PATTERNS.items()) + "), ''), 'unknown'), '|')) as pattern from documents) select pattern, count(*) as n, count(distinct source) as sources, median(n_chars) as median_chars from p group by 1")
 def pattern_metrics(spark, sf):
     p = table(spark, sf, "documents").select("source", "n_chars", F.explode(F.split(_patterns(F.col("text")), r"\|")).alias("pattern"))
-    return p.groupBy("pattern").agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources"), F.median("n_chars").alias("median_chars"))
+    p = stage(p)  # a pattern may hold most rows
+    return robust.joined(p.groupBy("pattern").agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources")), robust.medians(p, "n_chars", ["pattern"], "median_chars"), ["pattern"])
 
 
 @register("select doc_id, coalesce(round(length(regexp_replace(text, '[^A-Z]', '', 'g')) / nullif(length(regexp_replace(text, '[^A-Za-z]', '', 'g')), 0), 6), 0) as ratio from documents")
