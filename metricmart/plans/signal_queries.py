@@ -202,7 +202,7 @@ def action_candidates(spark, sf):
 @register(f"with {ACTIONS}, domain as (select unnest({_ACTION_TYPES!r}) as action) select d.action, count(a.action) as n, coalesce(round(avg(decision), 3), 0) as avg_decision from domain d left join actions a on a.action = d.action group by 1")
 def opportunity_matrix(spark, sf):
     domain = spark.createDataFrame([(a,) for a in _ACTION_TYPES], "action string")
-    totals = actions(spark, sf).groupBy("action").agg(F.count("*").alias("n"), F.round(F.avg("decision"), 3).alias("avg_decision"))
+    totals = actions(spark, sf).groupBy("action").agg(F.count("*").alias("n"), F.round(F.avg(F.col("decision").cast("decimal(12,4)")), 3).cast("double").alias("avg_decision"))  # exact: no order of additions decides a tie
     return domain.join(totals, "action", "left").select("action", F.coalesce("n", F.lit(0)).alias("n"), S.zero(F.col("avg_decision")).alias("avg_decision"))
 
 
