@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricmart.llm import ann, chat, decontam, jaccard, langid, packing, pii, quality, tokencount, toxicity
+from metricmart.llm import ann, chat, decontam, filteraudit, hardneg, jaccard, langid, packing, pii, quality, secrets, tokencount, toxicity
 from metricmart.llm.folds import held_out
 
 
@@ -92,5 +92,71 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_best_fit_packing, op3_language_id, op4_quality_classifier, op5_decontamination, op6_nearest_neighbours, op7_toxicity, op8_pii_surrogates, op9_jaccard_join, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL}
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), label.cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
+    return hardneg.mine(rows, F.col("id") % 50 == 0)
+
+
+OP12_SQL = """
+with q as (
+  select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (
+  select a.id as anchor_id, b.id, a.label = b.label as same, cast(list_inner_product(a.v, b.v) as bigint) as score
+  from q a join q b on a.id % 50 = 0 and a.id <> b.id),
+positives as (
+  select anchor_id, id as positive_id, score as positive_score from pairs where same
+  qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select p.anchor_id, p.positive_id, cast(row_number() over (partition by p.anchor_id, p.positive_id order by n.score desc, n.id) as integer) as rank,
+  n.id as negative_id, p.positive_score, n.score as negative_score
+from positives p join pairs n on n.anchor_id = p.anchor_id and not n.same and 50 * p.positive_score <= 100 * n.score and 100 * n.score <= 95 * p.positive_score
+qualify rank <= 3
+"""
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = """
+with texts as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents),
+words as (select *, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w, min(doc_id) over (partition by t) as least from texts),
+fails as (
+  select doc_id, part, len(w) < 100 as a, 100 * len(list_distinct(w)) < 80 * len(w) as b,
+    100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) as c, regexp_matches(t, '[#$%&*|]') as d, coalesce(least < doc_id, false) as e from words),
+marks as (select doc_id, max(quality) = 1 as good, max(toxic) = 1 as toxic from labels group by 1),
+sets as (
+  select part, a::int + 2 * b::int + 4 * c::int + 8 * d::int + 16 * e::int as bits, count(*) as n,
+    count(*) filter (where good) as good, count(*) filter (where toxic) as toxic
+  from fails left join marks using (doc_id) group by 1, 2),
+letter as (select * from (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) as x(f, bit)),
+orders as (
+  select v.f || w.f || x.f || y.f || z.f as filter_order, [v.bit, w.bit, x.bit, y.bit, z.bit] as bits
+  from letter v, letter w, letter x, letter y, letter z where v.bit | w.bit | x.bit | y.bit | z.bit = 31),
+steps as (
+  select filter_order, s as step, bits[s] as bit, list_sum(bits[1:s]) - bits[s] as earlier from orders, (select unnest(range(1, 6)) as s)),
+audit as (
+  select part, filter_order, cast(step as integer) as step, bit,
+    sum(case when sets.bits & (bit | earlier::bigint) = 0 then n else 0 end) as kept,
+    sum(case when sets.bits & bit > 0 and sets.bits & earlier::bigint = 0 then n else 0 end) as removed,
+    sum(case when sets.bits & bit > 0 and sets.bits & earlier::bigint > 0 then n else 0 end) as redundant,
+    sum(case when sets.bits = bit then n else 0 end) as unique_fails,
+    sum(case when sets.bits & bit > 0 and sets.bits & earlier::bigint = 0 then good else 0 end) as good_lost,
+    sum(case when sets.bits & bit > 0 and sets.bits & earlier::bigint = 0 then toxic else 0 end) as toxic_lost
+  from sets, steps group by 1, 2, 3, 4)
+select part, filter_order, step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails,
+  good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost, sum(removed) over (partition by part, bit)::bigint as shapley
+from audit
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_best_fit_packing, op3_language_id, op4_quality_classifier, op5_decontamination, op6_nearest_neighbours, op7_toxicity, op8_pii_surrogates, op9_jaccard_join, op10_token_counts, op11_secret_scan, op12_hard_negatives, op13_filter_audit)}
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op12_hard_negatives": OP12_SQL, "op13_filter_audit": OP13_SQL}
