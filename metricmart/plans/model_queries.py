@@ -129,19 +129,6 @@ def kmeans_clusters(spark, sf):
     return KMeans(k=k, seed=42).fit(e).transform(e).select("vec_id", F.col("prediction").alias("cluster"))
 
 
-@register()
-def lsa_vectors(spark, sf):
-    """Word TF-IDF of whole texts reduced to 20 dimensions."""
-    from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer
-    from pyspark.ml.functions import vector_to_array
-
-    d = table(spark, sf, "documents").where("text is not null").select("doc_id", "text")
-    words = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\W+").transform(d)
-    tf = HashingTF(inputCol="words", outputCol="tf", numFeatures=512).transform(words)
-    unit = Normalizer(inputCol="w", outputCol="unit").transform(IDF(inputCol="tf", outputCol="w").fit(tf).transform(tf))
-    return PCA(k=20, inputCol="unit", outputCol="lsa").fit(unit).transform(unit).select("doc_id", vector_to_array("lsa").alias("lsa"))
-
-
 def _suite(spark, sf):
     from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 
