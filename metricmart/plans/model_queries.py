@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from metricmart.functions import scalar as S
-from metricmart.operators import ranking, robust
+from metricmart.operators import evaluation, modeling, ranking, robust
 from metricmart.operators.joins import asof_nearest
-from metricmart.plans.bindings import OBS, obs, table
+from metricmart.plans.bindings import OBS, obs, scores, table
 from metricmart.plans.registry import register
 from metricmart.session import stage
 
@@ -112,12 +112,6 @@ def direction_bins(spark, sf):
 # models: rows only
 
 
-def _features(df: DataFrame, columns: list[str]) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-
-    return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip").transform(df)
-
-
 @register()
 def kmeans_clusters(spark, sf):
     """Clusters of the embeddings; k is the root of the row count, from 2 to 8."""
@@ -129,37 +123,113 @@ def kmeans_clusters(spark, sf):
     return KMeans(k=k, seed=42).fit(e).transform(e).select("vec_id", F.col("prediction").alias("cluster"))
 
 
-def _suite(spark, sf):
-    from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
+#: What the suite learns from: the row's own figures and its place in time.
+FEATURES = ["views_delta", "likes_delta", "comments_delta", "log_views", "log_now", "eng", "size", "history", "month"]
+TARGETS = {"is_top": "classification", "beats_group": "classification", "log_next": "regression"}
+BASELINES = {"alpha": "alpha", "views_delta": "views_delta", "decision": "decision"}
+DRIVER_TARGETS = {"relative": "regression", "engagement": "regression", "value": "regression"}
+
+
+def _rows(spark, sf) -> DataFrame:
+    """One row an example (entity and run) with features, targets of the run a month on, and the entity's alpha score
+    and, as the decision, its opportunity."""
+    o = obs(spark, sf)
+    o = o.withColumn("history", F.row_number().over(Window.partitionBy("entity_id").orderBy("run")))
+    now = o.select("entity_id", "run", "size", "likes_delta", "comments_delta", "history", F.log1p(F.col("views").cast("double")).alias("log_views"), S.barrier(S.safe_divide(F.col("likes") + F.col("comments"), F.col("views"))).alias("eng"))
+    s = supervised(spark, sf).join(now, ["entity_id", "run"])
+    marks = scores(spark, sf).select("entity_id", "alpha", F.col("opportunity").alias("decision"))
+    s = s.join(marks, "entity_id", "left").withColumn("log_now", F.log1p(F.col("views_delta").cast("double"))).withColumn("month", F.month("run"))
+    return stage(s.withColumn("id", F.concat_ws("|", F.lpad(F.col("entity_id").cast("string"), 12, "0"), F.col("run").cast("string"))))
+
 
-    s = supervised(spark, sf).withColumn("label", F.col("is_top").cast("double")).withColumn("log_now", F.log1p(F.col("views_delta").cast("double"))).withColumn("month", F.month("run").cast("double"))
-    cut = s.agg(F.percentile_approx(F.unix_date("run"), 0.75)).first()[0]
-    rows = stage(_features(s, ["log_now", "month"]).select("entity_id", "run", "label", "features", (F.unix_date("run") <= F.lit(cut)).alias("train")))
-    models = {"linear_regularized": LogisticRegression(regParam=0.01), "random_forest": RandomForestClassifier(numTrees=30, maxDepth=6, seed=42), "shallow_tree": DecisionTreeClassifier(maxDepth=4, seed=42)}
-    return rows, {k: m.fit(rows.where("train")) for k, m in models.items()}
+def _split(rows: DataFrame, share: float) -> DataFrame:
+    """Adds train: all but the last ``share`` of the rows in the order of time (rounded up)."""
+    r = evaluation.ordered(rows.withColumn("day", F.unix_date("run")).withColumn("all", F.lit(0)), ["all"], "day", "id", "at")
+    return r.withColumn("train", F.col("at") <= F.col("at_n") - F.ceil(F.col("at_n") * share)).drop("day", "all", "at", "at_n")
+
+
+def _suite(spark, sf, trees: int = 40):
+    rows = stage(_split(_rows(spark, sf), 0.25))
+    return (rows, *modeling.suite(rows, FEATURES, TARGETS, ["alpha", "views_delta", "decision"], trees=trees))
 
 
 @register()
 def model_suite_leaderboard(spark, sf):
-    from functools import reduce
+    """Three families for three targets against three baselines, on the last quarter of the rows."""
+    _, predicted, _ = _suite(spark, sf)
+    return modeling.leaderboard(predicted, TARGETS, BASELINES)
 
-    from pyspark.ml.functions import vector_to_array
 
-    rows, models = _suite(spark, sf)
-    each = [m.transform(rows.where("not train")).select(F.lit(k).alias("model"), "label", vector_to_array("probability")[1].alias("p")).groupBy("model").agg(F.count("*").alias("n"), F.avg((F.col("p") - F.col("label")) ** 2).alias("brier"), F.avg(((F.col("p") >= 0.5).cast("double") == F.col("label")).cast("int")).alias("accuracy")) for k, m in models.items()]
-    return reduce(DataFrame.unionByName, each)
+@register()
+def driver_leaderboard(spark, sf):
+    """The same for derived targets (growth by the group's upper median, engagement, value), on the last fifth."""
+    rows = _rows(spark, sf)
+    rows = robust.joined(rows, robust.order_statistics(rows, "next_delta", ["group_id"], {"base": robust.UPPER_MIDDLE}), ["group_id"])
+    rows = rows.withColumn("relative", S.barrier(F.col("next_delta") / F.when(F.col("base") == 0, 1).otherwise(F.col("base")))).withColumn("engagement", (F.col("likes_delta") + F.col("comments_delta")).cast("double"))
+    places = stage(rows.select("id", "relative", "engagement", F.col("comments_delta").cast("double").alias("comments"), F.lit(0).alias("all")))
+    for c in ("relative", "engagement", "comments"):
+        places = evaluation.ordered(places, ["all"], c, "id", f"p_{c}")
+    pct = lambda c: (F.col(f"p_{c}") - 1) / F.greatest(F.col(f"p_{c}_n") - 1, F.lit(1)) * 100.0
+    value = places.select("id", S.settled(S.weighted_renormalised((0.55, pct("relative")), (0.25, pct("engagement")), (0.15, pct("comments")))).alias("value"))
+    rows = stage(_split(rows.join(value, "id"), 0.2))
+    features = [f for f in FEATURES if f not in ("likes_delta", "comments_delta")]
+    predicted, _ = modeling.suite(rows, features, DRIVER_TARGETS, ["alpha", "views_delta", "decision"], trees=40, depth=8, min_leaf=2)
+    return modeling.leaderboard(predicted, DRIVER_TARGETS, BASELINES)
 
 
 @register()
 def predictions(spark, sf):
-    from pyspark.ml.functions import vector_to_array
-
-    rows, models = _suite(spark, sf)
-    p = models["random_forest"].transform(rows.where("not train")).select("entity_id", "run", vector_to_array("probability")[1].alias("score"))
-    return p.withColumn("rank", F.row_number().over(Window.partitionBy("run").orderBy(F.desc("score"), "entity_id")))
+    """The forest's scores of the last quarter, ranked over all its rows."""
+    rows = stage(_split(_rows(spark, sf), 0.25))
+    m = modeling.fitted(rows.where("train").select(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in FEATURES], F.col("is_top").cast("double").alias("is_top")), FEATURES, "is_top", "classification", "random_forest", trees=40)
+    valid = rows.where("not train").select("id", "entity_id", "run", *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in FEATURES])
+    p = stage(m.transform(valid).select("id", "entity_id", "run", modeling.score(m, valid, "classification").alias("score")))
+    return ranking.ordinal_rank(p, "score", "id", "rank").select("entity_id", "run", "score", "rank")
 
 
 @register()
 def feature_importance(spark, sf):
-    _, models = _suite(spark, sf)
-    return spark.createDataFrame([(name, float(v)) for name, v in zip(("log_now", "month"), models["random_forest"].featureImportances.toArray())], "feature string, importance double")
+    """Of the forest for the highest growth: impurity, and how far accuracy falls when a feature is dealt anew (3 times)."""
+    rows = stage(_split(_rows(spark, sf), 0.25).select("id", "train", *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in FEATURES], F.col("is_top").cast("double").alias("is_top")))
+    m = modeling.fitted(rows.where("train"), FEATURES, "is_top", "classification", "random_forest", trees=40)
+    falls = evaluation.permutation_importance(rows.where("not train"), "id", FEATURES, "is_top", m.transform, "accuracy")
+    impurity = spark.createDataFrame([(f, float(v)) for f, v in zip(FEATURES, m.stages[-1].featureImportances.toArray())], "feature string, importance double")
+    return impurity.join(falls, "feature")
+
+
+@register()
+def tree_rules(spark, sf):
+    """The shallow tree for the highest growth as conditions, with the training rows that meet each."""
+    rows = stage(_split(_rows(spark, sf), 0.25).where("train").select(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in FEATURES], F.col("is_top").cast("double").alias("is_top")))
+    return modeling.tree_rules(modeling.fitted(rows, FEATURES, "is_top", "classification", "shallow_tree"), FEATURES, rows)
+
+
+_LONG = {"balance": "c_acctbal", "nation": "cast(c_nationkey as double)", "spent": "spent", "orders": "cast(n as double)", "middle": "cast(abs(c_custkey % 100 - 50) as double)"}
+_CUSTOMERS = """f as (select c_custkey as id, c_acctbal, c_nationkey, c_custkey, coalesce(sum(o_totalprice), 0) as spent, count(o_orderkey) as n from customer left join orders on o_custkey = c_custkey group by 1, 2, 3, 4),
+p as (select *, round(1 / (1 + exp(-(c_acctbal - 4500) / 4000e0)) / 2 + (c_custkey % 100) / 400e0, 6) as prediction from f)"""
+
+
+def _customers(spark, sf) -> DataFrame:
+    o = table(spark, sf, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("spent"), F.count("*").alias("n"))
+    c = table(spark, sf, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
+    f = c.select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"), F.col("c_nationkey").cast("double").alias("nation"), F.coalesce("spent", F.lit(0.0)).alias("spent"), F.coalesce("n", F.lit(0)).cast("double").alias("orders"), F.abs(F.col("c_custkey") % 100 - 50).cast("double").alias("middle"))
+    return f.withColumn("prediction", S.barrier(1 / (1 + F.exp(-(F.col("balance") - 4500) / 4000.0)) / 2 + F.col("id") % 100 / 400.0))
+
+
+@register(f"""with {_CUSTOMERS}, l as ({" union all ".join(f"select '{k}' as feature, id, {x} as value, prediction from p" for k, x in _LONG.items())}),
+r as (select *, row_number() over (partition by feature order by value, id) as place, count(*) over (partition by feature) as n from l where value is not null),
+b as (select feature, avg(case when place <= greatest(n // 4, 1) then prediction end) as lo, avg(case when place > n - greatest(n // 4, 1) then prediction end) as hi, avg(case when place > greatest(n // 4, 1) and place <= n - greatest(n // 4, 1) then prediction end) as mid from r group by 1)
+select feature, case when (lo < mid and mid > hi) or (lo > mid and mid < hi) then 'mixed' when hi - lo > 0.02 then 'positive' when hi - lo < -0.02 then 'negative' else 'flat' end as direction, round(hi - lo, 6) as direction_score, round(lo, 6) as low_mean, round(hi, 6) as high_mean from b""")
+def feature_directions(spark, sf):
+    """How a score of customers moves from the lowest to the highest quarter of five features, in one pass."""
+    f = _customers(spark, sf)
+    return evaluation.directions(f.unpivot(["id", "prediction"], list(_LONG), "feature", "value"), ["feature"], "value", "prediction", "id")
+
+
+@register(f"""with {_CUSTOMERS}, l as (select feature, repeat, id, value from ({" union all ".join(f"select '{k}' as feature, id, {_LONG[k]} as value from p" for k in ("balance", "orders"))}), (select unnest([1, 2, 3]) as repeat)),
+a as (select feature, repeat, value, row_number() over (partition by feature, repeat order by md5('42|' || feature || '|' || repeat || '|' || id), id) as place from l),
+b as (select id, row_number() over (order by id) as place from f)
+select feature, repeat::integer as repeat, id, value from a join b using (place)""")
+def permuted_features(spark, sf):
+    """Two features of all customers dealt anew, three times each."""
+    return evaluation.permuted(_customers(spark, sf), "id", ["balance", "orders"])
