@@ -20,3 +20,13 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], order: list[str]) ->
 
 def append_absent(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return old.unionByName(new.join(old.select(*key), key, "left_anti").select(old.columns))
+
+
+def mode_first_seen(df: DataFrame, by: list[str], value: str, first: str, out: str = "mode") -> DataFrame:
+    """The most frequent value of each group; of equally frequent ones the one met first in the order of ``first``.
+
+    Counts come first, so a group's rows meet in no task, only its distinct values do, pre-aggregated. NULL values
+    count as values; a group column's NULL is a group."""
+    counts = df.groupBy(*by, value).agg(F.count("*").alias("_n"), F.min(first).alias("_f"))
+    best = F.min_by(F.struct(F.col(value), F.col("_n")), F.struct((-F.col("_n")).alias("n"), F.isnull("_f").alias("late"), F.col("_f")))
+    return counts.groupBy(*by).agg(best.alias("_b")).select(*by, F.col(f"_b.{value}").alias(out), F.col("_b._n").alias(f"{out}_count"))

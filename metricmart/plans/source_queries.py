@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from metricmart.plans.bindings import table
 from metricmart.plans.registry import register
 from metricmart.session import folder
-from metricmart.sources import files, runs
+from metricmart.sources import catalog, files, publish, runs
 
 
 @register("select cast(c_custkey as varchar) as c_custkey, c_name, nullif(c_mktsegment, 'BUILDING') as c_mktsegment, null::varchar as absent from customer")
@@ -141,3 +141,63 @@ def first_seen(spark, sf):
     halves = e.where("event_id % 2 = 0").unionByName(e.where("event_id % 2 = 1"))
     first = halves.withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).where("k = 1")
     return first.select("event_id", F.to_date("ts").alias("dt"))
+
+
+@register("""with o as (select o_custkey as entity_id, o_orderkey as k, case when o_orderstatus = 'P' then '' else o_orderstatus end as name, o_orderdate < timestamp '1998-01-01' as early from orders),
+g as (select entity_id, bool_or(early) as old, bool_or(not early) as again, coalesce(arg_max(name, k) filter (where not early and name <> ''), arg_max(name, k) filter (where early and name <> ''), '') as name from o group by 1),
+t as (select entity_id, name, case when old then date '1998-01-01' else date '1998-08-01' end as first_seen, case when again then date '1998-08-01' else date '1998-01-01' end as last_seen from g)
+select *, cast(first_seen + interval 183 days as date) as until, first_seen + interval 183 days >= date '1998-08-01' as active from t""")
+def tracking_catalog(spark, sf):
+    """A stored catalog after two runs, the second of them twice."""
+    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_custkey").alias("entity_id"), F.col("o_orderkey").alias("at"), F.when(F.col("o_orderstatus") == "P", "").otherwise(F.col("o_orderstatus")).alias("name"), (F.col("o_orderdate") < F.expr("timestamp_ntz '1998-01-01'")).alias("early"))
+    c = catalog.Catalog(spark, folder(spark), ["entity_id"], "entity_id long, name string, first_seen date, last_seen date, until date, active boolean", 16)
+    for early, day in ((True, "1998-01-01"), (False, "1998-08-01"), (False, "1998-08-01")):
+        c.merge(o.where(F.col("early") == early), catalog.tracking_rule("entity_id", ["name"], F.lit(day).cast("date")), everywhere=True)
+    return c.read()
+
+
+@register("""with o as (select o_custkey, arg_max(struct_pack(s := o_orderstatus, k := o_orderkey), (o_orderdate, o_orderkey)) as r from orders group by 1) select o_custkey, r.s as status, r.k as o_orderkey from o""")
+def stored_registry(spark, sf):
+    """A stored registry of each customer's last order, merged year by year in buckets."""
+    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey", F.col("o_orderstatus").alias("status"), "o_orderkey", "o_orderdate")
+    c = catalog.Catalog(spark, folder(spark), ["o_custkey"], "o_custkey long, status string, o_orderkey long, o_orderdate timestamp_ntz", 16)
+    cuts = [None, "1996-01-01", "1999-01-01", None]
+    for lo, hi in zip(cuts, cuts[1:]):
+        rows = o if lo is None else o.where(F.col("o_orderdate") >= F.expr(f"timestamp_ntz '{lo}'"))
+        c.merge(rows if hi is None else rows.where(F.col("o_orderdate") < F.expr(f"timestamp_ntz '{hi}'")), catalog.replace_rule(["o_custkey"], ["o_orderdate", "o_orderkey"]))
+    return c.read().drop("o_orderdate")
+
+
+_KIND = "case when trim({c}::varchar) = '' or {c} is null then null when trim({c}::varchar) in ('True', 'False') then 'bool' when regexp_full_match(trim({c}::varchar), '[+-]?[0-9]+') then 'int' when regexp_full_match(trim({c}::varchar), '[+-]?([0-9]+[.][0-9]*|[.][0-9]+)') then 'float' else 'string' end"
+_PUBLISHED = {"customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]}
+
+
+def _types_sql(table: str) -> str:
+    each = " union all ".join(f"select {i} as position, '{c}' as name, {_KIND.format(c=c)} as kind from {table}" for i, c in enumerate(_PUBLISHED[table], 1))
+    return f"""select '{table}' as table_name, name, position, case when count(kind) = 0 then 'string' when count(distinct kind) = 1 then min(kind) when bool_and(coalesce(kind, 'int') in ('int', 'float')) then 'float' else 'string' end as type,
+ count(*) as row_count, count(*) - count(kind) as nulls from ({each}) group by 1, 2, 3"""
+
+
+@register(" union all ".join(_types_sql(t) for t in _PUBLISHED))
+def published_types(spark, sf):
+    """Types of all columns of two CSV exports, each inferred in one pass over the whole table."""
+    out = []
+    for name, columns in _PUBLISHED.items():
+        at = folder(spark)
+        spark.read.parquet(f"{sf}/{name}.parquet").select(columns).write.option("header", True).csv(at)
+        text = spark.read.option("header", True).option("nullValue", "").csv(at)
+        out.append(publish.inferred(text).select(F.lit(name).alias("table_name"), "*"))
+    return out[0].unionByName(out[1])
+
+
+@register("select 'customer' as name, count(*) as row_count, round(sum(c_acctbal), 2) as total, sum(c_nationkey) as whole, count(distinct c_mktsegment) as texts from customer")
+def published_table(spark, sf):
+    """A CSV export published as a typed table and read back by its manifest."""
+    at, to = folder(spark), folder(spark)
+    spark.read.parquet(f"{sf}/customer.parquet").write.option("header", True).csv(at)
+    publish.publish(spark, {"customer": at, "absent": f"{at}-absent"}, to)
+    listed = spark.read.json(f"{to}/manifest").where("status = 'published'")
+    named = listed.first()
+    rows = spark.read.schema(", ".join(f"{c} {publish.SPARK_TYPES[t]}" for c, t in zip(named["columns"], named["types"]))).json(f"{to}/customer")
+    sums = rows.agg(F.round(F.sum("c_acctbal"), 2).alias("total"), F.sum("c_nationkey").alias("whole"), F.countDistinct("c_mktsegment").alias("texts"))
+    return listed.select("name", "row_count").crossJoin(F.broadcast(sums))  # one row each

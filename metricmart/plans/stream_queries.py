@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from metricmart.plans.bindings import table
 from metricmart.plans.registry import register
-from metricmart.streaming import tables
+from metricmart.streaming import state, tables
 
 _MARK = "(select date_trunc('milliseconds', max(ts)) - interval 1 hour from events)"
 
@@ -68,3 +69,31 @@ def stream_keyed_delta(spark, sf):
 def stream_content_skip(spark, sf):
     """Contents met for the first time; the state holds one digest for each."""
     return tables.appended(tables.read_table(spark, sf, "documents").select(F.sha2("text", 256).alias("text_sha")).dropDuplicates(["text_sha"]))
+
+
+def _in_runs(spark, sf, make, twice: bool = False) -> DataFrame:
+    """A keyed stream over the events in three runs from one checkpoint, each reading the files that came since the last."""
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    run = None
+    for stream in state.in_slices(e.unionByName(e) if twice else e, "ts", 3):
+        rows, schema = make(stream)
+        run = (run or state.Run.new(spark, schema)).go(rows)
+    return run.rows()
+
+
+@register("select user_id, event_id, value - lag(value) over (partition by user_id order by ts, event_id) as delta from events")
+def stream_state_delta(spark, sf):
+    """Differences from state by key."""
+    return _in_runs(spark, sf, lambda s: state.differences(s, "user_id", "ts", "event_id", "value"))
+
+
+@register(f"{_sessions_sql(48)} select user_id, last_seen, last_seen + interval 48 hours as expired_at, n from e")
+def stream_timer_expiry(spark, sf):
+    """Users unseen for two days, by event timers."""
+    return _in_runs(spark, sf, lambda s: state.expired(s, "user_id", "ts", "1 hour", 48))
+
+
+@register("select event_id, user_id, ts from events")
+def stream_exactly_once(spark, sf):
+    """Events that are each delivered twice, kept once with state for an hour only."""
+    return _in_runs(spark, sf, lambda s: (state.first_within(s.select("event_id", "user_id", "ts"), ["event_id"], "ts", "1 hour"), "event_id long, user_id long, ts timestamp"), twice=True)

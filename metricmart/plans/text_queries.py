@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from metricmart.functions import scalar as S
 from metricmart.functions import text as T
 from metricmart.operators import ranking, robust
+from metricmart.operators.dedupe import mode_first_seen
 from metricmart.plans.bindings import table
 from metricmart.plans.registry import register
 from metricmart.session import stage
@@ -229,3 +230,20 @@ def quota_estimate(spark, sf):
     g = table(spark, sf, "part").groupBy(F.col("p_brand").alias("group_id")).agg(F.count("*").alias("n"))
     units = F.lit(1) + 3 + F.ceil(F.col("n") / 50.0)
     return g.select("group_id", units.cast("long").alias("units"), F.when(units > 10, "warning").otherwise("ok").alias("level"))
+
+
+@register("""with c as (select lang, source, count(*) as n, min(doc_id) as f from documents group by 1, 2) select lang, arg_min(source, (-n, f)) as top_source, max(n) as top_source_count from c group by 1""")
+def source_modes(spark, sf):
+    """The most frequent source of each language, of equally frequent ones the first met."""
+    return mode_first_seen(table(spark, sf, "documents"), ["lang"], "source", "doc_id", "top_source")
+
+
+@register(f"""with {_TOPICS}, p as (select topic, {_PRIMARY} as pattern, doc_id from t join documents using (doc_id)), c as (select topic, pattern, count(*) as n, min(doc_id) as f from p group by 1, 2)
+ select topic, arg_min(pattern, (-n, f)) as top_pattern, max(n) as top_pattern_count from c group by 1""")
+def topic_modes(spark, sf):
+    """The most frequent first pattern of each topic's documents, ties to the one met first."""
+    d = _topics(spark, sf).select("doc_id", "topic").join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    first = F.lit("unknown")
+    for k, p in reversed(_PATTERNS.items()):
+        first = F.when(F.col("text").rlike(p), F.lit(k)).otherwise(first)
+    return mode_first_seen(d.select("topic", first.alias("pattern"), "doc_id"), ["topic"], "pattern", "doc_id", "top_pattern")
