@@ -41,11 +41,11 @@ def missing_files(spark, sf):
     return none[0].union(none[1]).union(none[2]).select(F.lit(0).alias("rows"))
 
 
-@register("select case when event_id % 7 = 0 then null else json_extract_string(props, '$.k') end as k, event_id % 7 <> 0 as valid from events where event_id < 100")
+@register("select case when event_id % 7 = 0 then null else json_extract_string(props, '$.k') end as k, event_id % 7 <> 0 as valid from events")
 def json_documents(spark, sf):
-    """A small set of documents, every seventh broken."""
+    """A document for each event, every seventh broken."""
     at = folder(spark)
-    some = table(spark, sf, "events").where("event_id < 100")
+    some = table(spark, sf, "events")
     some.select(F.when(F.col("event_id") % 7 == 0, "{broken").otherwise(F.to_json(F.struct(F.get_json_object("props", "$.k").alias("k")))).alias("value")).repartition(4, "value").write.text(at)
     lines = spark.read.text(at)  # one document a line here
     parsed = F.from_json("value", "k string, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})

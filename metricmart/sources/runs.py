@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from metricmart.sources.files import read_jsonl
+
 SNAPSHOT = "entity_id long, execution_date string, upload_date string, views long, likes long"
 
 
@@ -53,6 +55,19 @@ def typed(rows: DataFrame, dates: list[str]) -> tuple[DataFrame, DataFrame]:
     return marked.where("reject = ''").drop("reject").withColumns(parsed), marked.where("reject <> ''")
 
 
+#: Counts of deltas; text that is no whole number reads as NULL.
+DELTA_COUNTS = ("views_delta", "likes_delta", "comments_delta", "previous_views", "current_views", "previous_likes", "current_likes", "previous_comments", "current_comments")
+DELTA_FLAGS = ("is_new", "title_changed", "description_changed", "tags_changed")
+
+
+def read_deltas(spark: SparkSession, path: str) -> DataFrame:
+    """Deltas from JSON lines: the id, the instant, all counts and flags (unset ones are false). Rows whose date can't be
+    read are left out; fields that a line lacks are NULL."""
+    schema = ", ".join(["entity_id long", "execution_date string", *(f"{c} string" for c in DELTA_COUNTS), *(f"{c} boolean" for c in DELTA_FLAGS)])
+    kept, _ = typed(read_jsonl(spark, path, schema), ["execution_date"])
+    return kept.withColumns({c: F.trim(c).try_cast("bigint") for c in DELTA_COUNTS} | {c: F.coalesce(c, F.lit(False)) for c in DELTA_FLAGS})
+
+
 def growth_export(snapshots: DataFrame, deltas: DataFrame, status: str = "success") -> DataFrame:
     """Each snapshot with its delta, if it has one, greatest first and unknown as -1; nothing after a run that was aborted."""
     if status not in ("success", "success_with_warnings"):
