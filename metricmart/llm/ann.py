@@ -2,11 +2,12 @@
 
 Centroids come from a bounded sample: it is halved again and again by two-means with equal halves, so lists are
 balanced; the more vectors there are, the more lists. A vector goes to its nearest centroid and, if it lies at a
-boundary, to others: those within a distance ratio of the nearest that no chosen centroid is closer to than the vector
-is. Centroids are searched by an in-memory graph of their neighbours. A query reads the lists whose centroids lie within
-a distance ratio of its nearest. That ratio is measured, not guessed: for sampled vectors and their true neighbours in
-the sample it is the least that finds the share ``recall`` of them. So clustered vectors read few lists, and vectors
-without structure as many as they need; no cap decides. A list that grew too long is read in several parts. Every
+boundary, to all others within a distance ratio of the nearest. Centroids are searched by an in-memory graph of their
+neighbours, which blocks of vectors walk together. A query reads the lists whose centroids lie within a distance ratio
+of its nearest. Both ratios are measured, not guessed: the first is that at which sampled vectors lie in ``replicas``
+lists on average, the second the least at which sampled vectors find the share ``recall`` of their true neighbours in
+the sample in some list. So clustered vectors read few lists, and vectors without structure as many as they need; no
+cap decides. Neighbouring lists are read together, as a shard, and a shard that grew too long in several parts. Every
 vector is indexed; distances are exact on the original vectors, so only the choice of lists is approximate.
 
 Vectors that are null, zero, or hold null or non-finite components take no part. Vectors of one dimension are searched
@@ -17,12 +18,12 @@ all that share the dimension. Extra columns are not read. An empty table gives n
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,89 +62,104 @@ def _squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x**2).sum(1)[:, None] - 2 * x @ y.T + (y**2).sum(1), 0)
 
 
-def needed_ratio(x: np.ndarray, centroids: np.ndarray, k: int, recall: float, asked: int = 512, seed: int = 5) -> float:
-    """The least ratio to the nearest centroid's distance within which lie the lists of the share ``recall`` of the k
-    nearest sample vectors of ``asked`` sample vectors. The sample is sparser than the table, so this errs upwards."""
+def _ratios(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Distances to all centroids over that to the nearest."""
+    d = np.sqrt(_squared(x, centroids))
+    return d / np.maximum(d.min(1, keepdims=True), 1e-12)
+
+
+def measured_ratios(x: np.ndarray, centroids: np.ndarray, k: int, recall: float, replicas: float, asked: int = 512, seed: int = 5) -> tuple[float, float]:
+    """(boundary, pruning) ratios. Boundary: within it a sample vector has ``replicas`` centroids on average. Pruning:
+    the least within which a query meets one of the lists of each of its ``k`` nearest sample vectors, for the share
+    ``recall`` of them and ``asked`` sample vectors. The sample is sparser than the table, so this errs upwards."""
     if len(centroids) < 2 or len(x) < 3:
-        return 1.0
-    q = np.random.default_rng(seed).permutation(len(x))[:asked]
-    home = np.concatenate([_squared(x[lo : lo + 2048], centroids).argmin(1) for lo in range(0, len(x), 2048)])
-    to_centroid, need = np.sqrt(_squared(x[q], centroids)), []
-    for row, i in enumerate(q.tolist()):
+        return 1.0, 1.0
+    rng = np.random.default_rng(seed)
+    near_all = np.sort(_ratios(x[rng.permutation(len(x))[:2048]], centroids), axis=None)
+    boundary = float(near_all[min(len(near_all), max(1, int(min(len(x), 2048) * replicas))) - 1])
+    need = []
+    for i in rng.permutation(len(x))[:asked].tolist():
         d = ((x - x[i]) ** 2).sum(1)
         d[i] = np.inf
         near = np.argpartition(d, min(k, len(d) - 1) - 1)[: min(k, len(d) - 1)]
-        need.append(to_centroid[row, home[near]] / max(to_centroid[row].min(), 1e-12))
-    return float(np.quantile(np.concatenate(need), recall))
+        held = _ratios(x[near], centroids) <= boundary
+        need.append(np.where(held, _ratios(x[i : i + 1], centroids), np.inf).min(1))
+    return boundary, float(np.quantile(np.concatenate(need), recall))
 
 
 class CentroidGraph:
-    """Each centroid linked with its nearest ones; searched best first from an entry point."""
+    """Each centroid linked with its nearest ones and some far ones; blocks of vectors walk it together, best first."""
 
-    def __init__(self, centroids: np.ndarray, degree: int = 24):
-        self.x = centroids
-        links = [np.argsort(_squared(centroids[lo : lo + 1024], centroids), axis=1, kind="stable")[:, 1 : degree + 1] for lo in range(0, len(centroids), 1024)]
+    def __init__(self, centroids: np.ndarray, degree: int = 16):
+        self.x, n = centroids, len(centroids)
+        links = [np.argsort(_squared(centroids[lo : lo + 1024], centroids), axis=1, kind="stable")[:, 1 : degree + 1] for lo in range(0, n, 1024)]
         near = np.concatenate(links) if links else np.zeros((0, 0), np.int64)
-        rng = np.random.default_rng(3)  # some far links keep the graph connected
-        far = rng.integers(0, max(len(centroids), 1), (len(centroids), 4))
-        back: list[set[int]] = [set(a.tolist()) | set(b.tolist()) for a, b in zip(near, far)]
-        for i, js in enumerate(near.tolist()):
-            for j in js:
-                back[j].add(i)
-        self.links = [np.array(sorted(s - {i}), np.int64) for i, s in enumerate(back)]
-        self.entry = int(((centroids - centroids.mean(0)) ** 2).sum(1).argmin()) if len(centroids) else 0
+        far = np.random.default_rng(3).integers(0, max(n, 1), (n, 4))  # these keep the graph connected
+        pairs = np.unique(np.concatenate([np.stack([np.repeat(np.arange(n), m.shape[1]), m.ravel()], 1)[:, o] for m in (near, far) for o in ([0, 1], [1, 0])]), axis=0)
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        count = np.bincount(pairs[:, 0], minlength=n)
+        self.links = np.repeat(np.arange(n)[:, None], max(1, count.max(initial=0)), 1)  # padded by the centroid itself
+        self.links[pairs[:, 0], np.arange(len(pairs)) - np.repeat(np.cumsum(count) - count, count)] = pairs[:, 1]
+        self.hubs = np.unique(np.linspace(0, n - 1, min(n, 16)).astype(np.int64))  # spread, as the order is that of the splits
+
+    def _evaluate(self, q: np.ndarray, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+        out = np.empty(len(rows))
+        for lo in range(0, len(rows), 1 << 15):
+            part = slice(lo, lo + (1 << 15))
+            out[part] = ((q[rows[part]] - self.x[at[part]]) ** 2).sum(1)
+        return out
 
     def search(self, q: np.ndarray, breadth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Indices and distances of about the ``breadth`` nearest centroids, nearest first."""
-        dist = lambda at: np.sqrt(((self.x[at] - q) ** 2).sum(1))
-        d0 = float(dist(np.array([self.entry]))[0])
-        seen = np.zeros(len(self.x), bool)
-        seen[self.entry] = True
-        todo, best = [(d0, self.entry)], [(-d0, self.entry)]
-        while todo:
-            d, i = heapq.heappop(todo)
-            if len(best) >= breadth and d > -best[0][0]:
-                break
-            new = self.links[i][~seen[self.links[i]]]
-            seen[new] = True
-            for e, j in zip(dist(new).tolist(), new.tolist()):
-                if len(best) < breadth or e < -best[0][0]:
-                    heapq.heappush(todo, (e, j))
-                    heapq.heappush(best, (-e, j))
-                    if len(best) > breadth:
-                        heapq.heappop(best)
-        out = sorted((-d, i) for d, i in best)
-        return np.array([i for _, i in out]), np.array([d for d, _ in out])
-
-    def within(self, q: np.ndarray, ratio: float, breadth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Centroids within ``ratio`` of the nearest distance; the search widens until one lies beyond."""
-        while True:
-            at, d = self.search(q, breadth)
-            if d[-1] > ratio * d[0] or breadth >= len(self.x):
-                keep = d <= ratio * d[0] + 1e-12
-                return at[keep], d[keep]
-            breadth *= 4
-
-    def boundary(self, v: np.ndarray, ratio: float) -> np.ndarray:
-        """The nearest centroid, and those within ``ratio`` that lie nearer to the vector than to any chosen one."""
-        at, d = self.within(v, ratio, 16)
-        keep = [0]
-        for j in range(1, len(at)):
-            if (((self.x[at[keep]] - self.x[at[j]]) ** 2).sum(1) > d[j] ** 2).all():
-                keep.append(j)
-        return at[keep]
-
-
-def _assigner(graph, lists_of):
-    """mapInPandas function: rows (id, v) to (list, id, v) for each list of a vector."""
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """For each row of ``q`` the indices and distances of about the ``breadth`` nearest centroids, nearest first."""
+        n, many = len(self.x), len(q)
+        breadth = min(breadth, n)
+        found, opened = np.full((many, n), np.inf), np.zeros((many, n), bool)
+        found[:, self.hubs] = self._evaluate(q, np.repeat(np.arange(many), len(self.hubs)), np.tile(self.hubs, many)).reshape(many, -1)
+        active = np.arange(many)
+        while len(active):
+            best = np.argpartition(found[active], breadth - 1, axis=1)[:, :breadth] if breadth < n else np.repeat(np.arange(n)[None], len(active), 0)
+            todo = ~opened[active[:, None], best] & np.isfinite(found[active[:, None], best])
+            more = todo.any(1)
+            active, best, todo = active[more], best[more], todo[more]
+            r, c = np.nonzero(todo)
+            opened[active[r], best[r, c]] = True
+            to = self.links[best[r, c]]
+            pairs = np.unique((active[r][:, None] * n + to).ravel())
+            rows, at = pairs // n, pairs % n
+            unseen = ~np.isfinite(found[rows, at])
+            rows, at = rows[unseen], at[unseen]
+            found[rows, at] = self._evaluate(q, rows, at)
+        order = np.argsort(found, axis=1, kind="stable")[:, :breadth]
+        return order, np.sqrt(np.take_along_axis(found, order, 1))
+
+    def within(self, q: np.ndarray, ratio: float, breadth: int = 8) -> tuple[np.ndarray, np.ndarray]:
+        """(row of ``q``, centroid) for all centroids within ``ratio`` of the nearest; a row's search widens until one
+        lies beyond."""
+        rows, lists, left = [], [], np.arange(len(q))
+        while len(left):
+            at, d = self.search(q[left], breadth)
+            inside = d <= ratio * d[:, :1] + 1e-12
+            done = ~inside[:, -1] | (at.shape[1] >= len(self.x))
+            r, c = np.nonzero(inside & done[:, None])
+            rows.append(left[r])
+            lists.append(at[r, c])
+            left, breadth = left[~done], breadth * 4
+        return (np.concatenate(rows), np.concatenate(lists)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _assigner(graph, ratio: float, block: int = 512):
+    """mapInArrow function: rows (id, v) to (list, id, v) for each list of a vector."""
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = graph.value
-        for pdf in batches:
-            lists = [lists_of(g, np.asarray(v, np.float64)) for v in pdf["v"]]
-            if lists:
-                r = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-                yield pd.DataFrame({"list": np.concatenate(lists), "id": pdf["id"].to_numpy()[r], "v": pdf["v"].to_numpy()[r]})
+        for batch in batches:
+            for lo in range(0, len(batch), block):
+                part = batch.slice(lo, block)
+                q = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1).astype(np.float64)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    rows, lists = g.within(q, ratio)
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), part.column(0).take(at), part.column(1).take(at)], names=["list", "id", "v"])
 
     return assign
 
@@ -159,8 +175,8 @@ def _distances(v: np.ndarray, one: np.ndarray) -> np.ndarray:
     return d
 
 
-def postings(vectors: DataFrame, queries: DataFrame, n: int, k: int, sample: int, per_list: int, boundary: float, recall: float) -> tuple[DataFrame, DataFrame, int]:
-    """(list, id, v) of all vectors and of the queries, and the number of lists."""
+def postings(vectors: DataFrame, queries: DataFrame, n: int, k: int, sample: int, per_list: int, replicas: float, recall: float) -> tuple[DataFrame, DataFrame, int]:
+    """(list, id, v) of all vectors and of the queries, and the number of lists. Lists near each other have near numbers."""
     spark, dim = vectors.sparkSession, len(vectors.first().v)
     picked = vectors.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) / float(1 << 20) < sample / n).limit(2 * sample)
 
@@ -168,51 +184,97 @@ def postings(vectors: DataFrame, queries: DataFrame, n: int, k: int, sample: int
         x = np.unique(np.stack(pdf["v"]).astype(np.float64), axis=0)  # copies count once
         with np.errstate(over="ignore", invalid="ignore"):
             c = balanced_centroids(x, max(8, int(np.ceil(len(x) * per_list / n))))
-            ratio = needed_ratio(x, c, k, recall)
-        return pd.DataFrame({"c": list(c), "ratio": ratio})
+            boundary, ratio = measured_ratios(x, c, k, recall, replicas)
+        return pd.DataFrame({"c": list(c), "boundary": boundary, "ratio": ratio})
 
-    found = picked.groupBy(F.lit("all")).applyInPandas(cluster, "c array<double>, ratio double").toPandas()  # sample / 4 rows at most
+    found = picked.groupBy(F.lit("all")).applyInPandas(cluster, "c array<double>, boundary double, ratio double").toPandas()  # sample / 4 rows at most
     centroids = np.stack(found["c"]) if len(found) else np.zeros((1, dim))
-    ratio = float(found["ratio"].iloc[0]) if len(found) and np.isfinite(found["ratio"].iloc[0]) else np.inf
-    graph = spark.sparkContext.broadcast(CentroidGraph(centroids[np.lexsort(centroids.T[::-1])]))
+    finite = lambda c, other: float(found[c].iloc[0]) if len(found) and np.isfinite(found[c].iloc[0]) else other
+    if not np.isfinite(centroids).all():
+        centroids = np.zeros((1, dim))
+    graph = spark.sparkContext.broadcast(CentroidGraph(centroids))
     out = "list int, id long, v array<double>"
-    posted = vectors.mapInPandas(_assigner(graph, lambda g, v: g.boundary(v, boundary)), out)
-    asked = queries.mapInPandas(_assigner(graph, lambda g, v: g.within(v, ratio, 64)[0]), out)
+    posted = vectors.mapInArrow(_assigner(graph, finite("boundary", 1.0)), out)
+    asked = queries.mapInArrow(_assigner(graph, finite("ratio", np.inf)), out)
     return stored(posted), stored(asked), len(centroids)
 
 
-def _nearest(vectors: DataFrame, queries: DataFrame, n: int, k: int, sample: int, per_list: int, boundary: float, recall: float, part: int) -> DataFrame:
-    posted, asked, _ = postings(vectors, queries, n, k, sample, per_list, boundary, recall)
-    parts = posted.groupBy("list").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
-    posted = posted.join(parts, "list").select("list", "id", "v", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
-    asked = asked.join(parts.toDF("list", "of"), "list").select("list", "id", "v", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("part"))
-
-    def search(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(x):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        x = x.sort_values("id", ignore_index=True)
-        v, ids, res = np.stack(x["v"]), x["id"].to_numpy(), []
-        for i, one in zip(q["id"].to_numpy(), q["v"]):
-            d = _distances(v, one)
-            at = np.argsort(d, kind="stable")[: k + 1]
-            at = at[ids[at] != i][:k]
-            res.append((np.full(len(at), i), ids[at], d[at]))
-        a, b, c = map(np.concatenate, zip(*res))
-        return pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
-
-    pairs = asked.groupBy("list", "part").cogroup(posted.groupBy("list", "part")).applyInPandas(search, "query_id long, vec_id long, score double")
+def _search(k: int, dim: int, cells: int = 1 << 21):
+    """Cogrouped function: the ``k`` nearest vectors of a shard for each query, over the lists it asks for."""
+
+    def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((t.column("id").to_numpy(), t.column("list").to_numpy()))
+        v = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+        return t.column("list").to_numpy()[order], t.column("id").to_numpy()[order], v[order]
+
+    def search(asked: pa.Table, posted: pa.Table) -> pa.Table:
+        query, near, far = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if asked.num_rows and posted.num_rows:
+            ql, qi, q = matrix(asked)
+            xl, xi, x = matrix(posted)
+            with np.errstate(over="ignore", invalid="ignore"):
+                qq, xx = (q**2).sum(1), (x**2).sum(1)
+                for one in np.unique(ql).tolist():
+                    lo, hi = np.searchsorted(xl, [one, one + 1])
+                    a, b = np.searchsorted(ql, [one, one + 1])
+                    step = max(1, cells // max(hi - lo, 1))
+                    for s in range(a, b if hi > lo else a, step):
+                        r = slice(s, min(b, s + step))
+                        d = qq[r, None] - 2 * q[r] @ x[lo:hi].T + xx[None, lo:hi]
+                        slack = 1e-9 * (qq[r] + xx[lo:hi].max())  # far more than the products' rounding
+                        if np.isfinite(d).all() and hi - lo > k + 1:
+                            keep = d <= (np.partition(d, k, axis=1)[:, k] + slack)[:, None]  # k and the query itself
+                        else:
+                            keep = np.ones(d.shape, bool)
+                        row, col = np.nonzero(keep)
+                        for at in range(0, len(row), cells // 16):
+                            part = slice(at, at + cells // 16)
+                            query.append(qi[r][row[part]])
+                            near.append(xi[lo:hi][col[part]])
+                            far.append(_distances(q[r][row[part]], x[lo:hi][col[part]]))
+        query, near, far = np.concatenate(query), np.concatenate(near), np.concatenate(far)
+        other = query != near
+        query, near, far = query[other], near[other], far[other]
+        order = np.lexsort((near, far, query))
+        query, near, far = query[order], near[order], far[order]
+        once = np.r_[True, (query[1:] != query[:-1]) | (near[1:] != near[:-1])] if len(query) else np.zeros(0, bool)  # a vector of several lists
+        query, near, far = query[once], near[once], far[once]
+        best = np.arange(len(query)) - np.searchsorted(query, query) < k
+        return pa.table({"query_id": query[best], "vec_id": near[best], "score": far[best]})
+
+    return search
+
+
+def _nearest(vectors: DataFrame, queries: DataFrame, n: int, k: int, sample: int, per_list: int, replicas: float, recall: float, part: int) -> DataFrame:
+    posted, asked, lists = postings(vectors, queries, n, k, sample, per_list, replicas, recall)
+    shards = max(1, min(lists, -(-int(n * replicas) // part)))  # neighbouring lists together, so a query meets few
+    shard = F.floor(F.col("list").cast("long") * shards / lists).cast("int")
+    sizes = posted.groupBy(shard.alias("shard")).agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    posted = posted.withColumn("shard", shard).join(sizes, "shard").select("shard", "list", "id", "v", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    asked = asked.withColumn("shard", shard).join(sizes, "shard").select("shard", "list", "id", "v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dim = len(vectors.first().v)
+    pairs = asked.groupBy("shard", "part").cogroup(posted.groupBy("shard", "part")).applyInArrow(_search(k, dim), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     best = pairs.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = 20_000, per_list: int = 250, boundary: float = 1.1, recall: float = 0.997, part: int = 4096) -> DataFrame:
+def _usable_once(df: DataFrame) -> DataFrame:
+    """Usable vectors with an id, stored; of a repeated id the smallest. Only repeated ids are shuffled with their vectors."""
+    df = df.where("id is not null").where(usable(F.col("v"))).select("id", "v")
+    twice = stored(df.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+    if not twice.isEmpty():
+        least = df.join(twice, "id", "left_semi").groupBy("id").agg(F.min("v").alias("v"))
+        df = df.join(twice, "id", "left_anti").unionByName(least)
+    return stored(df)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = 20_000, per_list: int = 250, replicas: float = 4.0, recall: float = 0.95, part: int = 16_384) -> DataFrame:
     """query_id, rank, vec_id, score. ``vectors``, ``queries``: id, v (array<double>); a query's own id is no candidate.
 
-    ``sample``: vectors that centroids and the pruning ratio are fitted on; ``per_list``: vectors a list is to hold
-    (more, where the sample is too small for so many lists)."""
-    one = lambda df: df.where("id is not null").where(usable(F.col("v"))).groupBy("id").agg(F.min("v").alias("v"))
-    vectors, queries = one(vectors.select("id", "v")), one(queries.select("id", "v"))
+    ``sample``: vectors that centroids and ratios are fitted on; ``per_list``: vectors a list is to hold before replicas
+    (more, where the sample is too small for so many lists); ``replicas``: lists a vector lies in on average."""
+    vectors, queries = _usable_once(vectors), _usable_once(queries)
     dims = vectors.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()
-    found = [_nearest(vectors.where(F.size("v") == r.d), queries.where(F.size("v") == r.d), r["count"], k, sample, per_list, boundary, recall, part) for r in dims]
+    found = [_nearest(vectors.where(F.size("v") == r.d), queries.where(F.size("v") == r.d), r["count"], k, sample, per_list, replicas, recall, part) for r in dims]
     return reduce(DataFrame.union, found) if found else vectors.sparkSession.createDataFrame([], OUT)

@@ -301,7 +301,7 @@ def _recall_and_share(spark, x, asked):
     got = {}
     for r in ann.nearest(table, q, sample=5000, per_list=64, recall=0.99).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
-    _, read, lists = ann.postings(table, q, len(x), 10, 5000, 64, 1.1, 0.99)
+    _, read, lists = ann.postings(table, q, len(x), 10, 5000, 64, 4.0, 0.99)
     hit = 0
     for k in asked:
         d = ((x - x[k]) ** 2).sum(1)
@@ -325,6 +325,44 @@ def test_op6_ratios_decide(spark):
     assert recall >= 0.9
 
 
+def test_op6_replicas_spare_lists(spark):
+    """Vectors without structure: boundary vectors lie in several lists, and so queries read fewer at the same recall."""
+    x = np.random.default_rng(12).normal(0, 1, (4000, 32))
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>").cache()
+    q = table.where("id % 100 = 0")
+    share, held = {}, {}
+    for replicas in (1.0, 4.0):
+        posted, read, lists = ann.postings(table, q, len(x), 10, 4000, 64, replicas, 0.95)
+        share[replicas], held[replicas] = read.count() / 40 / lists, posted.count() / len(x)
+        assert posted.select("id").distinct().count() == len(x)
+    assert held[1.0] < 1.01 and 3.5 < held[4.0] < 4.5 and share[4.0] < 0.75 * share[1.0]
+
+
+def test_op6_graph_finds_nearest_centroids():
+    rng = np.random.default_rng(4)
+    g = ann.CentroidGraph(rng.normal(size=(700, 16)))
+    q = rng.normal(size=(300, 16))
+    d = np.sqrt(((q[:, None] - g.x[None]) ** 2).sum(2))
+    at, near = g.search(q, 8)
+    assert np.allclose(near, np.take_along_axis(d, at, 1)) and (np.diff(near, axis=1) >= 0).all()
+    assert np.mean([len(set(a) & set(b)) for a, b in zip(at.tolist(), np.argsort(d, 1)[:, :8].tolist())]) > 7.2
+    rows, lists = g.within(q, 1.2)
+    true = {(i, j) for i in range(300) for j in np.flatnonzero(d[i] <= 1.2 * d[i].min()).tolist()}
+    found = set(zip(rows.tolist(), lists.tolist()))
+    assert len(found & true) > 0.97 * len(true) and len(found) == len(rows)
+
+
+def test_op6_hot_vector(spark):
+    """A third of all rows hold one vector: parts of a shard, all ties by id."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(600, 8)), np.repeat(rng.normal(size=(1, 8)), 300, 0)])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>")
+    got = {}
+    for r in ann.nearest(df, df.where("id % 100 = 0"), part=64).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got[600] == [(k, 0.0) for k in range(601, 611)] and got[700] == [(k, 0.0) for k in range(600, 610)] and all(len(v) == 10 for v in got.values())
+
+
 def test_op6_odd_vectors(spark):
     """Null and repeated ids, other dimensions, distances beyond the range of squares, extra columns."""
     big = 1e200
