@@ -1,12 +1,17 @@
-"""Benchmark decontamination by seeds and local alignment (operator 5).
+"""Benchmark decontamination by rare seeds and local alignment (operator 5).
 
-Seeds are 3-word sequences of test items; all count, however often documents or items hold them, so what is found in a
-document doesn't depend on the others. Documents are joined to items by their seeds (a lookup by hash), a window is cut
-around the hits of each document and item, and aligned with the item by Smith-Waterman over word hashes; edited and
-paraphrased copies lose only what was changed. Common seeds are paid for by two bounds that no pair within reach of the
-threshold fails: on the item's words in the document, and on the item's words within any stretch an alignment can span.
-Items come in blocks of bounded number and size by hash, each broadcast and one scan of the documents, so what a task
-holds is bounded whatever the benchmark's size.
+A seed is an ordered pair of an item's words, neighbours or with one word between; in a document the two may lie up to
+three words apart. One pass counts the documents that hold each pair, and of an item's words the rarest (by the pairs
+they start) keep their pairs: (1 - threshold) of its length and one more. That loses nothing: between two matches of an
+alignment whose pair is no seed lie two edits at least, which take a match; so an alignment that reaches the threshold
+has a seed at ``threshold`` times the item's length less one of its words, and all but that many are kept. Documents are
+joined to items by their seeds (a broadcast hash join, block by block of items), a window as wide as any such alignment
+is cut around the hits of each document and item, and aligned with the item by Smith-Waterman over word hashes. Two
+bounds that no pair within reach of the threshold fails come first: on the item's words in the document, and within any
+stretch an alignment can span.
+
+Items come in blocks of bounded number and size by hash, each counted, broadcast and searched in a scan of its own, one
+after another, so what a task holds is bounded whatever the benchmark's size.
 
 Words are lower-cased runs without ASCII punctuation. Items of fewer than three words have no seed and match nothing.
 Null and empty texts match nothing. Null ids stay null, and null item ids are items as others are; equal rows of
@@ -26,7 +31,8 @@ from pyspark.sql import functions as F
 
 from metricmart.llm import kernel
 
-SEED = 3
+#: Words between a seed's first and second word: of an item, of a document.
+OF_ITEMS, OF_TEXTS = (1, 2), (1, 2, 3)
 _EDGE = kernel.SPACES.copy()
 _EDGE[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
@@ -34,18 +40,11 @@ _EDGE[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 class Seeds:
     """Hashes ascending, and for each of its places the item and the word it starts at."""
 
-    def __init__(self, items: list[np.ndarray]):
-        h, item, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k, words in enumerate(items):
-            g, p = kernel.ngrams(words, np.array([0, len(words)]), SEED)
-            h.append(g)
-            item.append(np.full(len(g), k))
-            at.append(p)
-        h, item, at = map(np.concatenate, (h, item, at))
-        order = np.argsort(h, kind="stable")
+    def __init__(self, h: np.ndarray, item: np.ndarray, at: np.ndarray, items: int):
+        order = np.lexsort((at, item, h))
         h, self.item, self.at = h[order], item[order], at[order]
         self.unique, first = np.unique(h, return_index=True)
-        self.items = max(len(items), 1)
+        self.items = max(items, 1)
         self.key = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h)))) * self.items + self.item  # ascending
         self.table = np.zeros(1 << 22, bool)
         self.table[(self.unique >> np.uint64(42)).astype(np.int64)] = True
@@ -76,6 +75,14 @@ class Seeds:
                 yield np.repeat(np.arange(a, b), n), np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
+def pairs(h: np.ndarray, by_row: np.ndarray, gaps: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each gap the hashes of all ordered pairs of words of a row so far apart, and the first word's index."""
+    row = np.repeat(np.arange(len(by_row) - 1), np.diff(by_row))
+    for g in gaps:
+        at = np.flatnonzero(row[:-g] == row[g:]) if len(h) > g else np.zeros(0, np.int64)
+        yield kernel.mix(h[at] * np.uint64(0xD6E8FEB86659FD93) + h[at + g]), at
+
+
 def _words(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     for row, _, data, offsets in kernel.blocks(texts):
         _, _, h, by_row = kernel.words(data, offsets, spaces=_EDGE)
@@ -130,48 +137,95 @@ def _items(benchmark: DataFrame, block: int, chars: int) -> list[DataFrame]:
     return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) for b in range(blocks)]
 
 
+def item_pairs(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, item and place of all pairs of items of three words or more."""
+    by_item = np.concatenate([[0], np.cumsum([len(w) if len(w) >= 3 else 0 for w in words])]).astype(np.int64)
+    flat = np.concatenate([np.zeros(0, np.uint64), *[w for w in words if len(w) >= 3]])
+    h, at = map(np.concatenate, zip(*pairs(flat, by_item, OF_ITEMS)))
+    item = np.searchsorted(by_item, at, "right") - 1
+    return h, item, at - by_item[item]
+
+
+def _documents_with(hashes: np.ndarray, texts: DataFrame) -> np.ndarray:
+    """How many documents hold each of the pairs (hashes ascending, at most those of a block of items)."""
+    spark, none = texts.sparkSession, np.zeros(0, np.int64)
+    sought = spark.sparkContext.broadcast(Seeds(hashes, np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64), 1))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(sought.value.unique), np.int64)
+        for batch in batches:
+            for _, h, by_row in _words(batch.column(0)):
+                hits = [(np.searchsorted(by_row, at[found], "right") - 1, of) for grams, at in pairs(h, by_row, OF_TEXTS) for found, of in [sought.value.find(grams)]]
+                doc, of = map(np.concatenate, zip(*hits)) if hits else (none, none)
+                n += np.bincount(np.unique(doc * len(n) + of) % len(n), minlength=len(n)) if len(doc) else 0
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["at", "n"])
+
+    held = texts.select("text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # a row a pair of the block
+    out = np.zeros(len(hashes), np.int64)
+    out[held["at"].to_numpy(np.int64)] = held["n"].to_numpy(np.int64)
+    sought.destroy()
+    return out
+
+
 class _Searcher:
-    """One block of items, made ready on the driver and broadcast."""
+    """One block of items with the rarest of their seeds, made ready on the driver and broadcast. ``texts``: the documents'
+    column ``text``, in which pairs are counted."""
 
-    def __init__(self, items: DataFrame, threshold: float):
+    def __init__(self, items: DataFrame, texts: DataFrame, threshold: float):
         rows = items.orderBy("item_id", "text").collect()  # one block
         self.words = [np.zeros(0, np.uint64)] * len(rows)
         for row, h, by_row in _words(pa.array([r.text for r in rows], pa.string())):
             for k in range(len(by_row) - 1):
                 self.words[row + k] = h[by_row[k] : by_row[k + 1]]
         self.ids = pa.array([r.item_id for r in rows], pa.int64())
-        self.lengths, self.seeds, self.threshold = np.array([len(w) for w in self.words], np.int64), Seeds(self.words), threshold
+        self.lengths, self.threshold = np.array([len(w) for w in self.words], np.int64), threshold
+        h, item, at = item_pairs(self.words)
+        sought = np.unique(h)
+        held = _documents_with(sought, texts)[np.searchsorted(sought, h)]
+        most = int(self.lengths.max(initial=0)) + 1
+        place, of = np.unique(item * most + at, return_inverse=True)  # an item's words that start pairs
+        common = np.bincount(of, held, len(place))
+        order = np.lexsort((place, common, place // most))
+        rank = np.empty(len(place), np.int64)
+        rank[order] = np.arange(len(order)) - np.searchsorted(place[order] // most, place[order] // most)
+        kept = (rank <= (1 - threshold) * self.lengths[place // most] + 1e-9)[of]
+        self.seeds = Seeds(h[kept], item[kept], at[kept], len(rows))
 
     def search(self, texts: pa.Array) -> Iterator[tuple[int, int, float, int]]:
         """(row, item, score of the best window, its first word) for pairs that reach the threshold."""
         seeds, words, lengths, threshold = self.seeds, self.words, self.lengths, self.threshold
         for row, h, by_row in _words(texts):
-            grams, at = kernel.ngrams(h, by_row, SEED)
-            hit, u = seeds.find(grams)
+            hits = []
+            for grams, at in pairs(h, by_row, OF_TEXTS):
+                found, of = seeds.find(grams)
+                hits.append((at[found], of))
+            hit, u = map(np.concatenate, zip(*hits))
             if not len(hit):
                 continue
+            order = np.argsort(hit, kind="stable")
+            hit, u = hit[order], u[order]
             best: dict[tuple[int, int], tuple[float, int]] = {}
-            hit_doc = np.searchsorted(by_row, at[hit], "right") - 1
+            hit_doc = np.searchsorted(by_row, hit, "right") - 1
             for at_hit, place in seeds.places(u, hit_doc):
-                pos, item, item_at, doc = at[hit[at_hit]], seeds.item[place], seeds.at[place], hit_doc[at_hit]
+                pos, item, item_at, doc = hit[at_hit], seeds.item[place], seeds.at[place], hit_doc[at_hit]
                 order = np.lexsort((pos, item, doc))
                 pos, item, item_at, doc = pos[order], item[order], item_at[order], doc[order]
                 start = pos - item_at
-                # hits farther apart than an item's length belong to different windows
+                # hits farther apart than any alignment spans belong to different windows
                 new = np.ones(len(pos), bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (pos[1:] - pos[:-1] > lengths[item[1:]])
+                new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (pos[1:] - pos[:-1] > 3 * lengths[item[1:]])
                 lo = np.flatnonzero(new)
-                hi = np.append(lo[1:], len(pos))
                 low, high = np.minimum.reduceat(start, lo), np.maximum.reduceat(start, lo)
-                ok = hi - lo >= np.minimum(2, lengths[item[lo]] // 12 + 1)
-                d_of, k_of, low, high = doc[lo][ok], item[lo][ok], low[ok], high[ok]
+                d_of, k_of = doc[lo], item[lo]
                 for d in np.unique(d_of).tolist():
                     a, b = np.searchsorted(d_of, [d, d + 1])
                     begin, end = int(by_row[d]), int(by_row[d + 1])
                     for j in (a + np.flatnonzero(_held([words[k] for k in k_of[a:b]], h[begin:end], threshold))).tolist():
                         k = int(k_of[j])
                         length, w = int(lengths[k]), words[k]
-                        first, last = max(begin, int(low[j]) - length // 4), min(end, int(high[j]) + length + length // 4)
+                        more = int(2 * max(1 - threshold, 0) * length) + 3  # words that gaps can add on either side
+                        first, last = max(begin, int(low[j]) - more), min(end, int(high[j]) + length + more)
                         for x, y in _stretches(w, h[first:last], threshold):
                             text = h[first + x : first + y]
                             if np.isin(w, text).mean() < threshold:  # no alignment can reach it
@@ -183,13 +237,13 @@ class _Searcher:
                 yield row + d, k, value, first
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, block: int = 20_000, chars: int = 1 << 25) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, block: int = 20_000, chars: int = 1 << 23) -> DataFrame:
     """doc_id, item_id, score (of the best window), start_word, for pairs that reach ``threshold``; one row a pair and document row."""
     kernel.small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def one(items: DataFrame) -> DataFrame:
-        ready = docs.sparkSession.sparkContext.broadcast(_Searcher(items, threshold))
+        ready = docs.sparkSession.sparkContext.broadcast(_Searcher(items, texts, threshold))
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -200,14 +254,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
 
         return texts.mapInArrow(search, "doc_id long, item_id long, score double, start_word long")
 
-    return reduce(DataFrame.union, [one(items) for items in _items(benchmark, block, chars)])
+    blocks = _items(benchmark, block, chars)
+    if len(blocks) == 1:
+        return one(blocks[0])
+    return reduce(DataFrame.union, [kernel.stored(one(items)) for items in blocks])
 
 
-def without_items(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, block: int = 20_000, chars: int = 1 << 25) -> DataFrame:
+def without_items(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, block: int = 20_000, chars: int = 1 << 23) -> DataFrame:
     """The rows of ``docs`` (all columns) in whose text no test item is found; decided where the row lies, without a join."""
     kernel.small_batches(docs.sparkSession)
-    for items in _items(benchmark, block, chars):
-        ready = docs.sparkSession.sparkContext.broadcast(_Searcher(items, threshold))
+    blocks = _items(benchmark, block, chars)
+    for k, items in enumerate(blocks):
+        ready = docs.sparkSession.sparkContext.broadcast(_Searcher(items, docs.select(F.col("text").cast("string").alias("text")), threshold))
 
         def clean(batches: Iterator[pa.RecordBatch], ready=ready) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -216,4 +274,6 @@ def without_items(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(clean, docs.schema)
+        if k + 1 < len(blocks):  # one block in a task at a time
+            docs = kernel.stored(docs)
     return docs

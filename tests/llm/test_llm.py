@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -251,7 +252,7 @@ def test_op5_common_seeds():
     """Parts of hits lose no place, and the stretches of a long window hold its alignment."""
     rng = np.random.default_rng(4)
     items = [kernel.mix(np.concatenate([np.arange(3), rng.integers(3, 10**6, 20)]).astype(np.uint64)) for _ in range(50)]
-    seeds = decontam.Seeds(items)
+    seeds = decontam.Seeds(*decontam.item_pairs(items), len(items))
     doc = np.repeat(np.arange(4), [1, 30, 2, 0])
     u = np.resize(np.arange(len(seeds.unique)), len(doc))
     whole, parts = ({(int(h), int(p)) for x, y in seeds.places(u, doc, most) for h, p in zip(x, y)} for most in (1 << 20, 7))
@@ -276,6 +277,48 @@ def test_alignment():
         assert abs(decontam.align(a, b) - h.max() / 12) < 1e-9
 
 
+def test_op5_is_every_pair_aligned(spark):
+    """Random insertions, deletions and replacements, at all scores: what reaches the threshold when every document is
+    aligned with every item is what the join finds."""
+    rng = np.random.default_rng(21)
+    common, names = [f"c{k}" for k in range(30)], [f"n{k}" for k in range(3000)]
+    word = lambda: common[int(rng.integers(30))] if rng.random() < 0.5 else names[int(rng.integers(3000))]
+    items = [(k, " ".join(word() for _ in range(int(n)))) for k, n in enumerate(rng.integers(3, 60, 25))]
+    docs = []
+    for k in range(240):
+        words, rate = items[k % 25][1].split(), 0.02 * (k // 25 + 1) * 2
+        out = []
+        for w in words:
+            kind = rng.random()
+            if kind < rate / 3:
+                out += [w, word()]
+            elif kind < 2 * rate / 3:
+                out.append(word())
+            elif kind >= rate:
+                out.append(w)
+        docs.append((k, " ".join([*(word() for _ in range(40)), *out, *(word() for _ in range(40))])))
+    forty = items[1][1].split()[:2] + [f"u{k}" for k in range(38)]
+    items.append((100, " ".join(forty)))
+    for every in (1, 2, 3):  # a word inserted after every such word
+        docs.append((1000 + every, " ".join(x for k, w in enumerate(forty) for x in ([w, f"z{k}"] if k % every == every - 1 else [w]))))
+    docs.append((1010, " ".join(f"z{k}" if k % 3 == 2 else w for k, w in enumerate(forty))))  # every third replaced
+    docs.append((1011, " ".join(w for k, w in enumerate(forty) if k % 3 != 2)))  # every third deleted
+    hashed = lambda t: next(decontam._words(pa.array([t])))[1]
+    want = {}
+    for i, t in items:
+        for d, u in docs:
+            value = decontam.align(hashed(t), hashed(u))
+            if value >= 0.5:
+                want[d, i] = value
+    assert {d for d, i in want if i == 100} == {1001, 1002, 1003, 1010, 1011}
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got.keys() == want.keys() and len(want) > 100 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    parts = {(r.doc_id, r.item_id) for r in decontam.contaminated(frame, spark.createDataFrame(items, "item_id long, text string"), block=7).collect()}
+    left = {r.doc_id for r in decontam.without_items(frame, spark.createDataFrame(items, "item_id long, text string"), block=7).collect()}
+    assert parts == want.keys() and left == {d for d, _ in docs} - {d for d, _ in want}
+
+
 def test_op6_recall_and_scores(spark):
     table = rows("embeddings")
     ids = np.array([r["vec_id"] for r in table])
