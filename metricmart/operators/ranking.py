@@ -18,8 +18,14 @@ def fresh_name(taken: list[str], name: str) -> str:
     return name
 
 
-def _range_of(df: DataFrame, value: str, buckets: int) -> Column:
-    cuts = sorted(set(df.approxQuantile(value, [k / buckets for k in range(1, buckets)], 0.01))) if buckets > 1 else []
+def _cuts(df: DataFrame, values: list[str], buckets: int) -> dict[str, list[float]]:
+    """Cuts of all columns from one job."""
+    found = df.approxQuantile(values, [k / buckets for k in range(1, buckets)], 0.01) if buckets > 1 else [[]] * len(values)
+    return {v: sorted(set(c)) for v, c in zip(values, found)}
+
+
+def _range_of(df: DataFrame, value: str, buckets: int, cuts: list[float] | None = None) -> Column:
+    cuts = _cuts(df, [value], buckets)[value] if cuts is None else cuts
     return F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>"), lambda c: c <= F.col(value)))
 
 
@@ -42,9 +48,9 @@ def ordinal_rank(df: DataFrame, value: str, tie: str, out: str = "rank", descend
     return ranked.unionByName(df.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("long")).withColumn(f"{out}_n", F.lit(None).cast("long")))
 
 
-def _by_value(df: DataFrame, value: str, buckets: int) -> DataFrame:
+def _by_value(df: DataFrame, value: str, buckets: int, cuts: list[float] | None = None) -> DataFrame:
     """value, n, less (rows below it) and total of each distinct value."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value)).agg(F.count("*").alias("n")).withColumn("range", _range_of(df, value, buckets))
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value)).agg(F.count("*").alias("n")).withColumn("range", _range_of(df, value, buckets, cuts))
     before = _before(counts.groupBy("range").agg(F.sum("n").alias("n")))
     inside = F.sum("n").over(Window.partitionBy("range").orderBy(value)) - F.col("n")
     return counts.withColumn("inside", inside).join(F.broadcast(before), "range").select(value, "n", (F.col("before") + F.col("inside")).alias("less"), "total")
@@ -55,9 +61,9 @@ def percentiles_tied(df: DataFrame, outs: dict[str, str], buckets: int = 64) ->
 
     All come from ``df`` itself, so the plan grows with the number of columns and not with its power.
     """
-    out = df
+    out, cuts = df, _cuts(df, list(outs), buckets)
     for value, name in outs.items():
-        v = _by_value(df, value, buckets)
+        v = _by_value(df, value, buckets, cuts[value])
         pct = F.when((F.col("total") <= 1) | (F.col("n") == F.col("total")), 50.0).otherwise((F.col("less") + (F.col("n") + 1) / 2.0 - 1) / (F.col("total") - 1) * 100)
         v = v.select(F.col(value).alias(f"_{name}"), F.round(pct, 6).alias(name))
         out = out.join(v, F.col(value) == F.col(f"_{name}"), "left").drop(f"_{name}")

@@ -43,7 +43,7 @@ def ordered_title_patterns(spark, sf):
  round(least(0.35 * avg(motion) + 0.25 * avg(function) + 0.20 * avg(legal) + 0.20 * avg(insult), 100) + 1e-9, 4) as title_pattern_success_score, arg_min(doc_id, doc_id) as first_example from p group by 1""")
 def exploded_pattern_success(spark, sf):
     """Metrics and success of each pattern over all documents that have it."""
-    p = _titled(spark, sf).select("doc_id", "n_chars", *T.LEXICON, F.explode("patterns").alias("title_pattern"))
+    p = stage(_titled(spark, sf).drop("text")).select("doc_id", "n_chars", *T.LEXICON, F.explode("patterns").alias("title_pattern"))
     mean = lambda c: F.avg(c)
     return p.groupBy("title_pattern").agg(
         F.count("*").alias("video_count"), F.sum("n_chars").alias("total_views_delta"), F.round(mean("motion") + 1e-9, 4).alias("avg_hybrid"), F.round(mean("function") + 1e-9, 4).alias("avg_decision"),
@@ -63,12 +63,13 @@ select doc_id, candidate as title_candidate, risk as copy_risk_score, round(grea
 @register(_STRENGTHS)
 def title_strengths(spark, sf):
     """A candidate title for each document: what it copies from the title, and its strength (0.6 pattern, 0.4 originality)."""
-    t = _titled(spark, sf).withColumn("pattern", F.col("patterns")[0])
+    title = F.split_part("text", F.lit("\n"), F.lit(1))
+    t = stage(_titled(spark, sf).select("doc_id", "source", title.alias("title"), "patterns")).withColumn("pattern", F.col("patterns")[0])  # rules once
     share = t.groupBy("pattern").agg(F.count("*").alias("n"))  # a row a pattern
     total = t.agg(F.count("*").alias("all"))
     c = t.join(F.broadcast(share), "pattern").crossJoin(F.broadcast(total))
-    title, candidate = F.split_part("text", F.lit("\n"), F.lit(1)), F.concat(F.lit("all about "), F.lower("source"), F.lit(" in "), F.size("patterns").cast("string"))
-    c = c.select("doc_id", candidate.alias("title_candidate"), F.array_distinct(T.tokens(title)).alias("a"), F.array_distinct(T.tokens(candidate)).alias("b"), F.round(F.col("n") * 100.0 / F.col("all"), 4).alias("score"))
+    candidate = F.concat(F.lit("all about "), F.lower("source"), F.lit(" in "), F.size("patterns").cast("string"))
+    c = c.select("doc_id", candidate.alias("title_candidate"), F.array_distinct(T.tokens(F.col("title"))).alias("a"), F.array_distinct(T.tokens(candidate)).alias("b"), F.round(F.col("n") * 100.0 / F.col("all"), 4).alias("score"))
     c = c.withColumn("copy_risk_score", F.round(T.jaccard(F.col("a"), F.col("b")) * 100.0, 4))
     c = c.withColumn("originality_score", F.round(F.greatest(100 - F.col("copy_risk_score"), F.lit(0.0)), 4))
     return c.select("doc_id", "title_candidate", "copy_risk_score", "originality_score", N.originality_status(F.col("copy_risk_score")).alias("originality_status"), N.title_strength(F.col("score"), F.col("originality_score")).alias("estimated_strength"))

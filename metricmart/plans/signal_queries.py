@@ -82,10 +82,10 @@ _ROWS = " union all ".join(f"select entity_id, group_id, bucket, alpha, opportun
 SIGNALS = ADVANCED + f", signals as ({_ROWS})"
 
 
-def signals(spark, sf) -> DataFrame:
-    """One row an entity and triggered signal, in one pass: an array of candidates, exploded."""
+def signals(spark, sf, entities: DataFrame | None = None) -> DataFrame:
+    """One row an entity and triggered signal, in one pass: an array of candidates, exploded. ``entities``: ``advanced``, if made."""
     made = F.array_compact(F.array(*[F.when(F.expr(cond), F.struct(F.lit(k).alias("signal"), F.round(F.expr(score).cast("double"), 6).alias("score"))) for k, (cond, score) in _SIGNALS.items()]))
-    return advanced(spark, sf).select("entity_id", "group_id", "bucket", "alpha", "opportunity", "rel_success", "confidence", F.explode(made).alias("s")).select("*", "s.*").drop("s")
+    return (advanced(spark, sf) if entities is None else entities).select("entity_id", "group_id", "bucket", "alpha", "opportunity", "rel_success", "confidence", F.explode(made).alias("s")).select("*", "s.*").drop("s")
 
 
 _ADVANCED_COLUMNS = ["entity_id", "age_pct", "comment_pct", "rel_success", "accel_score", "decay", "trend", "short_score", "mid_score", "long_score", "overall", "burst", "evergreen", "packaging"]
@@ -185,9 +185,9 @@ actions as (select *, round(least(greatest(0.60 * (strategic * (case when confid
 )
 
 
-def actions(spark, sf) -> DataFrame:
+def actions(spark, sf, entities: DataFrame | None = None) -> DataFrame:
     rule = lambda i: F.create_map(*[F.lit(x) for k, v in _ACTIONS.items() for x in (k, v[i])])[F.col("signal")]
-    x = signals(spark, sf).withColumn("action", rule(0)).withColumn("effort", rule(1)).withColumn("urgency", rule(2))
+    x = signals(spark, sf, entities).withColumn("action", rule(0)).withColumn("effort", rule(1)).withColumn("urgency", rule(2))
     adjusted = S.adjusted(F.col("score"), F.col("confidence"))
     strategic = S.weighted_renormalised((0.35, adjusted), (0.25, F.col("opportunity")), (0.20, F.col("rel_success")), (0.20, F.col("confidence")))
     sure = F.when(F.col("confidence") >= 70, 1.0).when(F.col("confidence") >= 40, 0.8).otherwise(0.55)
@@ -218,8 +218,9 @@ def content_opportunities(spark, sf):
 
 @register(f"with {ACTIONS}, b as (select entity_id, max(decision) as decision from actions group by 1), m as (select entity_id, alpha from scores), n as (select entity_id, alpha, 100 - (row_number() over (order by alpha desc, entity_id) - 1) / (count(*) over () - 1) * 100.0e0 as p from m) select entity_id, round(p, 4) as model_pct, round(least(greatest(0.6 * round(p, 4) + 0.4 * coalesce(decision, 0), 0), 100), 4) as hybrid from n left join b using (entity_id)")
 def hybrid_scores(spark, sf):
-    model = ranking.percentile_ordinal(stage(scores(spark, sf).select("entity_id", "alpha")), "alpha", "entity_id", "model_pct", descending=True)
-    best = actions(spark, sf).groupBy("entity_id").agg(F.max("decision").alias("decision"))
+    entities = stage(advanced(spark, sf))  # made once for both
+    model = ranking.percentile_ordinal(entities.select("entity_id", "alpha"), "alpha", "entity_id", "model_pct", descending=True)
+    best = actions(spark, sf, entities).groupBy("entity_id").agg(F.max("decision").alias("decision"))
     return model.join(best, "entity_id", "full_outer").select("entity_id", "model_pct", F.round(S.clamp(S.weighted_sum((0.6, F.col("model_pct")), (0.4, F.col("decision")))), 4).alias("hybrid"))
 
 
