@@ -145,7 +145,8 @@ def _rows(spark, sf) -> DataFrame:
 def _split(rows: DataFrame, share: float) -> DataFrame:
     """Adds train: all but the last ``share`` of the rows in the order of time (rounded up)."""
     r = evaluation.ordered(rows.withColumn("day", F.unix_date("run")).withColumn("all", F.lit(0)), ["all"], "day", "id", "at")
-    return r.withColumn("train", F.col("at") <= F.col("at_n") - F.ceil(F.col("at_n") * share)).drop("day", "all", "at", "at_n")
+    r = r.withColumn("train", F.col("at") <= F.col("at_n") - F.ceil(F.col("at_n") * share)).drop("day", "all", "at", "at_n")
+    return r.repartition("id").sortWithinPartitions("id")  # whatever way rows came, models draw alike
 
 
 def _suite(spark, sf, trees: int = 40):
