@@ -1,10 +1,11 @@
 """Best-fit packing of documents into sequences of a fixed number of tokens (operator 2).
 
-Each document is its token ids and an end id; only a document longer than a sequence is cut. Pieces are spread by
-hash over shards of about ``per_shard`` rows, and each shard is packed by sum of squares: with N(g) the open bins
-of residual gap g, a piece goes where the sum of N(g)**2 gets smallest. Pieces of a shard come longest first, which
-keeps the rule (it sees one piece at a time) and leaves the short ones to fill gaps. A shard holds five numbers a
-piece, so memory is bounded whatever the number of documents, and wastes a few bins at most.
+Each document is its token ids and an end id; only a document longer than a sequence is cut. Pieces are written once,
+and spread by hash of their row in that table over shards of about ``per_shard`` rows; each shard is packed by sum of
+squares: with N(g) the open bins of residual gap g, a piece goes where the sum of N(g)**2 gets smallest. Pieces of a
+shard come longest first, which keeps the rule (it sees one piece at a time) and leaves the short ones to fill gaps. A
+shard holds five numbers a piece and wastes a few bins at most. As rows are dealt and not ids, any number of pieces
+without id, of one id or of one text spreads like all others, and memory is bounded whatever the documents are.
 
 Null or empty texts are the end id alone. Texts of any length are cut into as many pieces as they need; strings of
 added tokens (``<|endoftext|>``) are those tokens, as the tokenizer has it. Repeated rows, and rows without id, are
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricmart.llm.kernel import small_batches
+from metricmart.llm.kernel import fresh, small_batches, stored
 from metricmart.llm.tokens import ChunkEncoder, default_tokenizer
 
 CAPACITY = 2048
@@ -86,20 +87,22 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     return bins, offsets
 
 
-def pack(pieces: DataFrame, n_rows: int, capacity: int = CAPACITY, per_shard: int = 16_384) -> DataFrame:
-    """Adds sequence_id (distinct over all shards) and offset (gapless within a sequence) to the pieces."""
-    shards = max(1, -(-n_rows // per_shard))
+def pack(pieces: DataFrame, capacity: int = CAPACITY, per_shard: int = 16_384) -> DataFrame:
+    """Adds sequence_id (distinct over all shards) and offset (gapless within a sequence) to the pieces, which are read
+    twice: a stored table, whose rows keep their numbers when a task is run again."""
+    shards = max(1, -(-pieces.count() // per_shard))
+    shard = fresh(pieces, "shard")
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
         bins, offsets = sum_of_squares(pdf["length"].to_numpy(), capacity)
-        pdf["sequence_id"] = bins * shards + pdf["shard"].astype("int64")
+        pdf["sequence_id"] = bins * shards + pdf[shard].astype("int64")
         pdf["offset"] = offsets
-        return pdf.drop(columns="shard")
+        return pdf.drop(columns=shard)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards))).groupBy("shard").applyInPandas(packed, schema)
+    return pieces.withColumn(shard, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards))).groupBy(shard).applyInPandas(packed, schema)
 
 
 def best_fit_pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
-    return pack(tokenized_pieces(docs, capacity, tokenizer, end_id), docs.count(), capacity)
+    return pack(stored(tokenized_pieces(docs, capacity, tokenizer, end_id)), capacity)

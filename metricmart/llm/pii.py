@@ -1,15 +1,20 @@
 """Surrogates for personal data and secrets (operator 8), in DataFrame functions only.
 
-One pattern finds e-mail addresses, keys and passwords, telephone numbers, IPv4 addresses, card and similar numbers,
-US social security numbers, IBANs, and names (after an honorific or words like "my name is", or a known given name
-before a surname). Each gets a replacement of the same type and format from a keyed hash, so the same entity reads the
-same in every document:
-
-* digits stay digits and letters letters, with case; separators, country codes, issuer digits and prefixes stay;
+One pattern finds e-mail addresses, keys and passwords, telephone numbers, IPv4 and IPv6 addresses, card and similar
+numbers, US social security numbers, IBANs, and names (after an honorific or words like "my name is" or "dear", before
+an address in brackets, or a known given name before a surname). Each is brought to one canonical form, which is
+replaced by a keyed hash of its type; the replacement is then written the way the entity was. So the same entity reads
+the same in every document, whatever its spelling:
+
+* digits stay digits and letters letters; separators, country codes, issuer digits and prefixes stay;
+* a telephone number is its digits with the country code of the dialling plan (ten digits without one are of code 1;
+  a "(0)" after a code is no digit of it; a number with a trunk 0 and no code stays apart, as its country is unknown);
 * a card number that passes the Luhn check is replaced by one that passes it, and so is an IBAN with its check digits;
-* a name keeps its honorific and script, and a known given name its gender; each word of a name is an entity of its
-  own, so "Mr. Smith" and "John Smith" share their surname, however often it was drawn again;
-* an e-mail's domain is replaced by itself, so addresses of one domain still share it;
+  both without their separators, an address without its case (all capitals stay so);
+* a name keeps its honorific, script and case, and a known given name its gender; each word of a name is an entity of
+  its own, so "Mr. Smith" and "JOHN SMITH" share their surname, however often it was drawn again;
+* an e-mail's domain is an entity of its own, so addresses of one domain still share it; its replacement lies under
+  ``example.com``, ``.net``, ``.org`` or ``.example``, which nobody can own;
 * a secret runs to its closing quote in the line, else to the next blank or quote (less punctuation at its end),
   whatever its length; separators stay, letters of other alphabets become Latin ones, and other symbols change.
 
@@ -19,6 +24,9 @@ letters with further attempts, so that crowded short ones come apart too; format
 and after ``rounds`` without success the job fails rather than let two entities share a surrogate. Few entities need
 it; their attempts reach the documents by a join.
 
+The key is the argument, else ``spark.metricmart.pii.key``; without either, one drawn for the session, so that nobody
+who has the code can look surrogates up.
+
 Null texts stay null, empty ones empty, and what is no entity stays byte for byte. Equal texts give equal results,
 whatever their ids; null and repeated ids matter nothing. Texts are searched whole, whatever their length. Extra
 columns pass through, but for n_entities, which is replaced. An empty table gives no rows.
@@ -26,7 +34,9 @@ columns pass through, but for n_entities, which is replaced. An empty table give
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricmart.llm.kernel import fresh, stored
@@ -36,24 +46,33 @@ GIVEN = {
     "male": ("James", "John", "Robert", "Michael", "William", "David", "Richard", "Thomas", "Hans", "Jürgen", "Klaus", "Pierre", "Jacques", "Carlos", "Miguel", "Иван", "Сергей", "Νίκος"),
     "female": ("Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Susan", "Sarah", "Karen", "Anna", "Ursula", "Monika", "Marie", "Camille", "Carmen", "Lucía", "Мария", "Ольга", "Ελένη"),
 }
-_WORD = r"\p{Lu}\p{Ll}{1,30}"
-_LABEL = r"(?:token|password|passwd|secret|api_key|apikey|access_key) {0,3}[=:] {0,3}"
+_WORD = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}{1,30}(?:['’-]?\p{Lu}\p{Ll}{1,30})?"
+_CAPITALS = r"\p{Lu}(?:['’-]?\p{Lu}){1,30}(?!\p{L})"
+_LABEL = r"""(?:(?:token|password|passwd|secret|api_key|apikey|access_key) {0,3}[=:] {0,3}|(?:token|password|passwd|secret) is (?=[^\s"']*\d)|Bearer {1,3}(?=[^\s"']{16})(?=[^\s"']*\d))"""
+#: Words after "my name is" that begin no name.
+_NO_NAME = "(?!(?:a|an|the|not|on|in|of|my|your|very|also|still|just|now|so|too|never|spelled|spelt|pronounced|written|called|listed|missing|wrong|already|there|here|and|but|or|mentioned|given|known)\\b)"
 _QUOTED = r"(?=[^{0}\r\n]{{8}})(?=[^{0}\r\n\p{{L}}\p{{N}}]*+[\p{{L}}\p{{N}}])[^{0}\r\n]++(?={0})"
 _BARE = r"""(?=[^\s"']{8})(?=[^\s"'\p{L}\p{N}]*+[\p{L}\p{N}])(?:[.,;:!?)\]}>]*+[^\s"'.,;:!?)\]}>]++)++"""
 PATTERNS = {
     "email": r"(?<![\w.%+-])[\w.%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
     "secret": r"(?<![A-Za-z])" + _LABEL + r"(?:\"" + _QUOTED.format('"') + "|'" + _QUOTED.format("'") + r"|[\"']?" + _BARE + ")",
-    "access_key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
+    "access_key": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,255})(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d(.+-])(?:\(\d{3}\) ?|\d{3}[-.])\d{3}[-.]\d{4}(?![\d-])",
+    "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d(.+-])(?:\(\d{3}\) ?|\d{3}[-.])\d{3}[-.]\d{4}(?![\d-])"
+    + r"|(?<![\d(.+-])(?<!\d )(?:[2-9]\d{2} \d{3} \d{4}|0\d{2,4} \d{3,4} \d{4})(?![\d-]| \d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
-    "card": r"(?<![\d-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7})(?![\d-])",
-    "name": r"(?=[A-ZА-ЯΑ-Ω])(?<!\p{L})(?:(?<=(?i:my name is|name:|signed,|regards,) )" + _WORD + f"(?: {_WORD})?|(?:" + "|".join(x for v in HONORIFICS.values() for x in v) + r")\.? " + _WORD + f"(?: {_WORD})?|(?:" + "|".join(x for v in GIVEN.values() for x in v) + f") {_WORD})",
+    "ip6": r"(?<![\w:.])(?=[A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])",
+    "card": r"(?<![\d-])(?:\d{13,19}|\d{4}[ -]\d{6}[ -]\d{5}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7})(?![\d-])",
+    "name": r"(?=[A-ZА-ЯΑ-Ω])(?<!\p{L})(?:(?<=(?i:my name is|name:|signed,|regards,|dear) )" + _WORD + f"(?: {_WORD})?|(?<=(?i:attn|attn:|sincerely,|from:|author:|patient:|contact:|customer:) ){_WORD} {_WORD}|(?:" + "|".join(x for v in HONORIFICS.values() for x in v) + rf")\.? (?:{_WORD}(?: {_WORD})?|{_CAPITALS}(?: {_CAPITALS})?)|(?:" + "|".join(x for v in GIVEN.values() for x in v) + f") {_WORD}|(?:" + "|".join(x.upper() for v in GIVEN.values() for x in v) + rf") {_CAPITALS}|{_WORD} {_WORD}(?= ?[<(][\w.%+-]{{1,64}}@))"
+    + rf"|(?<=(?:my|My) name is ){_NO_NAME}\p{{Ll}}{{2,30}}(?: {_NO_NAME}\p{{Ll}}{{2,30}})?(?!\p{{L}})",
 }
 ENTITY = "|".join(PATTERNS.values())
 #: Texts without any of these can hold names only: every other pattern needs one of them.
-MARKS = r"[@=:\d]|AKIA"
+MARKS = r"[@=:\d]|AKIA|gh[pousr]_"
+#: Country codes of the dialling plan (fixed values): those of one and two digits, else three; or a trunk 0.
+DIALLED = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})|^0"
+KEY = "spark.metricmart.pii.key"
 _SYLLABLES = {"Latin": ("bdfgklmnprstvzhj", "aeio"), "Cyrillic": ("бвгдзклмнпрстфхж", "аеио"), "Greek": ("βγδζθκλμνπρστφχψ", "αειο")}
 _ENDINGS = {"Latin": {"male": "us", "female": "a"}, "Cyrillic": {"male": "ан", "female": "ия"}, "Greek": {"male": "ος", "female": "ία"}}
 
@@ -75,18 +94,28 @@ TITLE = "^(?:" + "|".join(x for v in HONORIFICS.values() for x in v) + r")\.? "
 
 
 def units(entity: Column, k: Column) -> Column:
-    """What is kept distinct, as an array: a secret without its label, the words of a name (with the gender of a given
-    name), else the entity. Each begins with its kind; ``k``: the entity's kind."""
+    """What is kept distinct, as an array of canonical forms: a secret without its label, the words of a name (with the
+    gender of a given name), an address and its domain, else the entity. Each begins with its kind; ``k``: the entity's."""
     secret = F.regexp_replace(entity, "^" + _LABEL + r"[\"']?", "")
-    named = lambda words: F.transform(words, lambda w, i: F.concat(F.lit("name:"), _gender(w, i, F.size(words), entity), F.lit(":"), w))
-    return F.when(k == "name", named(F.split(F.regexp_replace(entity, TITLE, ""), " "))).when(k == "secret", F.array(F.concat(F.lit("secret::"), secret))).otherwise(F.array(F.concat(k, F.lit("::"), entity)))
+    named = lambda words: F.transform(words, lambda w, i: F.concat(F.lit("name:"), _gender(F.lower(w), i, F.size(words), entity), F.lit(":"), F.lower(w)))
+    one = lambda kind, value: F.array(F.concat(F.lit(f"{kind}::"), value))
+    mail, digits = F.lower(entity), F.regexp_replace(F.regexp_replace(entity, r"\(0\)", ""), "[^0-9]", "")
+    phone = F.when(F.startswith(entity, F.lit("+")), F.concat(F.lit("+"), digits)).when((F.length(digits) == 10) & ~F.startswith(digits, F.lit("0")), F.concat(F.lit("+1"), digits)).otherwise(digits)
+    return (
+        F.when(k == "name", named(F.split(F.regexp_replace(entity, TITLE, ""), " ")))
+        .when(k == "secret", F.when(secret.rlike("^" + PATTERNS["access_key"] + "$"), one("access_key", secret)).otherwise(one("secret", secret)))
+        .when(k == "email", F.array(F.concat(F.lit("email::"), mail), F.concat(F.lit("domain::"), F.substring_index(mail, "@", -1))))
+        .when(k == "phone", one("phone", phone)).when(k == "card", one("card", digits)).when(k == "iban", one("iban", F.regexp_replace(entity, " ", ""))).when(k == "ip6", one("ip6", mail))
+        .otherwise(F.array(F.concat(k, F.lit("::"), entity)))
+    )
 
 
 def _gender(word: Column, i: Column, n: Column, entity: Column) -> Column:
     """Of a known given name its own, of the first of two words its honorific's; surnames have none."""
     called = lambda g: entity.rlike("^(?:" + "|".join(HONORIFICS[g]) + r")\.? ")
     first = (i == 0) & (n > 1)
-    return F.when(first & word.isin(*GIVEN["male"]), "male").when(first & word.isin(*GIVEN["female"]), "female").when(first & called("male"), "male").when(first & called("female"), "female").otherwise("any")
+    known = {g: [x.lower() for x in v] for g, v in GIVEN.items()}
+    return F.when(first & word.isin(*known["male"]), "male").when(first & word.isin(*known["female"]), "female").when(first & called("male"), "male").when(first & called("female"), "female").otherwise("any")
 
 
 def _number(h: Column, i: Column | int) -> Column:
@@ -132,21 +161,19 @@ def luhn_sum(digits: Column) -> Column:
 
 
 def _card(v: Column, h: Column) -> Column:
-    plain = lambda s: F.regexp_replace(s, "[ -]", "")
-
     def fixed(new: Column) -> Column:
-        open_sum = luhn_sum(F.concat(F.substring(plain(new), F.lit(1), F.length(plain(new)) - 1), F.lit("0")))
-        return F.when(luhn_sum(plain(v)) % 10 == 0, F.concat(F.substring(new, F.lit(1), F.length(new) - 1), ((10 - open_sum % 10) % 10).cast("string"))).otherwise(new)
+        open_sum = luhn_sum(F.concat(F.substring(new, F.lit(1), F.length(new) - 1), F.lit("0")))
+        return F.when(luhn_sum(v) % 10 == 0, F.concat(F.substring(new, F.lit(1), F.length(new) - 1), ((10 - open_sum % 10) % 10).cast("string"))).otherwise(new)
 
     return let(F.concat(F.substring(v, F.lit(1), F.lit(1)), _scrambled(F.substring(v, F.lit(2), F.length(v) - 1), h)), fixed)
 
 
 def _name_word(w: Column, h: Column, n: Column, gender: Column) -> Column:
-    """A made-up word of ``w``'s script; further attempts (``n``) make it longer."""
+    """A made-up word of ``w``'s script, in small letters; further attempts (``n``) make it longer."""
     out = None
     for s, (c, v) in _SYLLABLES.items():
         pick = lambda letters, i: F.substring(F.lit(letters), _number(h, i) % len(letters) + 1, F.lit(1))
-        first, rest = F.upper(pick(c, 0)), [pick(c if i % 2 == 0 else v, i) for i in range(1, 8)]
+        first, rest = pick(c, 0), [pick(c if i % 2 == 0 else v, i) for i in range(1, 8)]
         more = F.array_join(F.transform(F.sequence(F.lit(0), F.least(n, F.lit(8))), lambda i: F.when(i == 0, "").otherwise(F.concat(pick(c, 2 * i + 8), pick(v, 2 * i + 9)))), "")
         tail = F.when(gender == "male", F.lit(_ENDINGS[s]["male"])).when(gender == "female", F.lit(_ENDINGS[s]["female"])).otherwise(F.lit(""))
         made = F.concat(first, *rest, more, tail)
@@ -159,11 +186,17 @@ def _more(h: Column, n: Column, letters: str = "abcdefghijklmnopqrstuvwxyz012345
     return F.when(n < 4, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), n - 3), lambda i: F.substring(F.lit(letters), _number(h, i + 20) % len(letters) + 1, F.lit(1))), ""))
 
 
-def _email(entity: Column, h: Column, n: Column, key: str) -> Column:
-    local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
-    top = F.concat(F.lit("."), F.substring_index(domain, ".", -1))
-    under = F.substring(domain, F.lit(1), F.length(domain) - F.length(top))
-    return F.concat(_scrambled(local, h), _more(h, n), F.lit("@"), let(_hash(key, "domain", domain, F.lit(0)), lambda d: _scrambled(under, d)), top)
+def _email(v: Column, h: Column, n: Column) -> Column:
+    """A new local part at the old domain, which is a unit of its own."""
+    return F.concat(_scrambled(F.substring_index(v, "@", 1), h), _more(h, n), F.lit("@"), F.substring_index(v, "@", -1))
+
+
+def _domain(v: Column, h: Column, n: Column) -> Column:
+    """A name under a reserved domain, of the same top level where that has one."""
+    top = F.substring_index(v, ".", -1)
+    under = F.regexp_replace(v, r"(?:(?:^|\.)example)?\.[a-z]+$", "")
+    suffix = F.when(top.isin("com", "net", "org"), F.concat(F.lit(".example."), top)).otherwise(F.lit(".example"))
+    return F.concat(_scrambled(F.when(under == "", F.lit("site")).otherwise(under), h), _more(h, n), suffix)
 
 
 def _mod97(s: Column) -> Column:
@@ -178,12 +211,11 @@ def _mod97(s: Column) -> Column:
 
 
 def _iban(v: Column, h: Column) -> Column:
-    plain = lambda s: F.regexp_replace(s, " ", "")
     after = lambda s, k: F.substring(s, F.lit(k), F.length(s))
-    good = _mod97(F.concat(after(plain(v), 5), F.substring(plain(v), 1, 4))) == 1
+    good = _mod97(F.concat(after(v, 5), F.substring(v, 1, 4))) == 1
 
     def fixed(new: Column) -> Column:
-        check = 98 - _mod97(F.concat(after(plain(new), 5), F.substring(new, 1, 2), F.lit("00")))
+        check = 98 - _mod97(F.concat(after(new, 5), F.substring(new, 1, 2), F.lit("00")))
         return F.when(good, F.concat(F.substring(new, 1, 2), F.lpad(check.cast("string"), 2, "0"), after(new, 5))).otherwise(new)
 
     return let(F.concat(F.substring(v, 1, 2), _scrambled(after(v, 3), h)), fixed)
@@ -195,11 +227,12 @@ def unit_surrogate(u: Column, attempt: Column, key: str) -> Column:
     def of(k: Column, gender: Column, v: Column, n: Column, h: Column) -> Column:
         secret = F.concat(F.when(v.rlike("^[0-9a-f]+$"), _scrambled(v, h, True)).otherwise(_scrambled(v, h, all_letters=True)), _more(h, n, "0123456789abcdef"))
         base32 = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), _number(h, i) % 32 + 1, F.lit(1))), "")
-        country = F.regexp_extract(v, r"^\+\d{1,3}(?=[ .(-])|^\+\d", 0)
+        country = F.regexp_extract(v, DIALLED, 0)
+        prefixed = F.when(F.startswith(v, F.lit("AKIA")), F.concat(F.lit("AKIA"), base32)).otherwise(F.concat(F.substring(v, 1, 4), _scrambled(F.substring(v, F.lit(5), F.length(v)), h)))
         phone = F.concat(country, _scrambled(F.substring(v, F.length(country) + 1, F.length(v)), h))
         ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (1 + _number(h, i) % 254).cast("string")), ".")
         return (
-            F.when(k == "email", _email(v, h, n, key)).when(k == "secret", secret).when(k == "access_key", F.concat(F.lit("AKIA"), base32)).when(k == "iban", _iban(v, h))
+            F.when(k == "email", _email(v, h, n)).when(k == "domain", _domain(v, h, n)).when(k == "secret", secret).when(k == "access_key", prefixed).when(k == "ip6", _scrambled(v, h, True)).when(k == "iban", _iban(v, h))
             .when(k == "phone", phone).when(k == "ip", ip).when(k == "card", _card(v, h)).when(k == "ssn", _scrambled(v, h)).otherwise(_name_word(v, h, n, gender))
         )
 
@@ -208,12 +241,34 @@ def unit_surrogate(u: Column, attempt: Column, key: str) -> Column:
     return let(value, lambda v: let(F.coalesce(attempt, F.lit(0)), lambda n: let(_hash(key, "entity", v, n), lambda h: of(kind_, gender, v, n, h))))
 
 
+def _laid(entity: Column, made: Column, sign: str) -> Column:
+    """``entity`` with its signs replaced by the last ones of ``made``; what lies between them stays."""
+
+    def fill(gaps: Column, signs: Column) -> Column:
+        last = F.slice(signs, F.size(signs) - F.size(gaps) + 2, F.size(gaps) - 1)
+        return F.array_join(F.zip_with(gaps, last, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    return let(F.split(entity, sign, -1), lambda gaps: let(F.regexp_extract_all(made, F.lit(sign), F.lit(0)), lambda signs: fill(gaps, signs)))
+
+
+def written_like(e: Column, k: Column, bare: Column, made: Column) -> Column:
+    """The replacements of an entity's units the way the entity (without its title: ``bare``) is written."""
+    cased = lambda w, m: F.when(w == F.lower(w), m).when((w == F.upper(w)) & (F.length(w) > 1), F.upper(m)).otherwise(F.initcap(m))
+    mail = F.concat(F.substring_index(made[0], "@", 1), F.lit("@"), made[1])
+    capitals = lambda m: F.when(e == F.upper(e), F.upper(m)).otherwise(m)
+    return (
+        F.when(k == "name", F.array_join(F.zip_with(F.split(bare, " "), made, cased), " ")).when(k == "email", capitals(mail)).when(k == "ip6", capitals(made[0]))
+        .when(k.isin("phone", "card"), _laid(e, made[0], r"[1-9]|(?<!\()0|0(?!\))")).when(k == "iban", _laid(e, made[0], "[A-Z0-9]")).otherwise(made[0])
+    )
+
+
 def surrogate(entity: Column, attempt, key: str) -> Column:
     """Replacement of one entity; ``attempt`` gives, of a unit, a number that changes it."""
 
     def of(e: Column, k: Column, us: Column) -> Column:
         title = F.when(k == "name", F.regexp_extract(e, TITLE, 0)).when(k == "secret", F.regexp_extract(e, "^" + _LABEL + r"[\"']?", 0)).otherwise(F.lit(""))
-        return F.concat(title, F.array_join(F.transform(us, lambda u: unit_surrogate(u, attempt(u), key)), " "))
+        made = F.transform(us, lambda u: unit_surrogate(u, attempt(u), key))
+        return F.concat(title, let(made, lambda m: written_like(e, k, F.regexp_replace(e, TITLE, ""), m)))
 
     return let(entity, lambda e: let(kind(e), lambda k: let(units(e, k), lambda us: of(e, k, us))))
 
@@ -248,8 +303,16 @@ def between(text: Column, marked: Column) -> Column:
     return F.when(marked, F.split(text, ENTITY, -1)).otherwise(F.split(text, PATTERNS["name"], -1))
 
 
-def replace_entities(docs: DataFrame, key: str = "metricmart", rounds: int = 100) -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The configured key, else one drawn for this session."""
+    if not spark.conf.get(KEY, None):
+        spark.conf.set(KEY, secrets.token_hex(32))
+    return spark.conf.get(KEY)
+
+
+def replace_entities(docs: DataFrame, key: str | None = None, rounds: int = 100) -> DataFrame:
     """All columns of ``docs`` with entities in ``text`` replaced, and n_entities."""
+    key = key or session_key(docs.sparkSession)
     keys = lambda text: (F.xxhash64(text), F.xxhash64(F.lit(1), text))
     one, two = keys(F.col("text"))
     marked = F.col("text").rlike(MARKS)

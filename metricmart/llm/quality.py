@@ -2,11 +2,14 @@
 
 Trusted positives are texts labelled 1; every other training text counts as unlabelled, whatever its label. A linear
 model over shares of character classes, word statistics and hashed byte trigrams minimises the non-negative
-unbiased risk; the class prior comes from the score tails of a first model. The sample it is fitted on is bounded
-(``positives``, ``unlabelled``; by hash); every whole text is scored.
-
-Null and empty texts have all features 0 but the constant and get that score. Repeated rows score alike. Without
-positives in training every score is 0.5.
+unbiased risk; the class prior comes from the score tails of a first model. The sample it is fitted on is bounded: up
+to twice ``positives`` and ``unlabelled`` distinct texts, drawn by hash of the text. Features are taken where the rows
+lie, and only those of the drawn texts (some 600 bytes each) meet in one task. Every whole text is scored.
+
+Null and empty texts have all features 0 but the constant and get that score. Repeated rows and ties score alike; rows
+without id, or with one that others have too, are drawn and scored like all others, but no positive lacks an id. Very
+long texts are blocks of their own. Extra columns pass through, but for the score's, which is replaced. An empty table
+gives no rows. Without positives in training every score is 0.5.
 """
 
 from __future__ import annotations
@@ -90,16 +93,30 @@ def estimated_prior(p: np.ndarray, u: np.ndarray) -> float:
 
 def fit(train: DataFrame, positive_ids: DataFrame, positives: int = 3000, unlabelled: int = 6000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Mean and scale of the features and the weights. ``train``: doc_id, text; ``positive_ids``: doc_id."""
-    train = train.select("doc_id", "text")
-    n_positive, n_all = positive_ids.count(), train.count()
-    hashed = lambda c, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(1 << 20)) / float(1 << 20)
+    kernel.small_batches(train.sparkSession)
+    train = train.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
+    hashed = lambda salt, *c: F.pmod(F.xxhash64(*c, F.lit(salt)), F.lit(1 << 20)) / float(1 << 20)
+    n_positive, n_all = positive_ids.count(), train.agg(F.approx_count_distinct("k1").alias("n")).first().n
     # at most 2 * positives ids, so that they may be broadcast
-    some = positive_ids.where(hashed("doc_id", 1) < positives / max(n_positive, 1)).select("doc_id", F.lit(1).alias("_p")).limit(2 * positives)
-    drawn = train.where("text is not null").join(F.broadcast(some), "doc_id", "left").withColumn("_u", hashed("doc_id", 2) < unlabelled / max(n_all, 1)).where("_p = 1 or _u").select("text", F.coalesce("_p", F.lit(0)).alias("p"), F.col("_u").alias("u"))
+    some = positive_ids.where(hashed(1, "doc_id") < positives / max(n_positive, 1)).select("doc_id", F.lit(1).alias("p")).distinct().limit(2 * positives)
+    drawn = train.join(F.broadcast(some), "doc_id", "left").withColumn("u", hashed(2, "k1", "k2") < unlabelled / max(n_all, 1)).where("p = 1 or u")
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, x in features(batch.column(0)):
+                part = batch.slice(row, len(x))
+                ends = pa.array(np.arange(len(x) + 1) * WIDTH, pa.int32())
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], names=["k1", "k2", "p", "u", "x"])
+
+    rows = drawn.select("text", "k1", "k2", F.coalesce("p", F.lit(0)).alias("p"), "u").mapInArrow(extract, "k1 long, k2 long, p int, u boolean, x array<float>")
+    rows = kernel.stored(rows.groupBy("k1", "k2").agg(F.max("p").alias("p"), F.max("u").alias("u"), F.first("x").alias("x")))
+    # an id may have any number of texts: as many of either kind as are bounded above
+    few = lambda where, n: rows.where(where).orderBy(F.xxhash64("k1", F.lit(3)), "k1", "k2").limit(n)
+    sample = few("p = 1", 2 * positives).withColumn("u", F.lit(False)).unionByName(few("u", 2 * unlabelled).withColumn("p", F.lit(0)))
 
     def train_one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("text", kind="stable")
-        x = np.vstack([f for _, f in features(pa.array(pdf["text"], pa.string()))]).astype(np.float64)
+        pdf = pdf.sort_values(["k1", "k2", "p"], kind="stable")
+        x = np.stack(pdf["x"].to_numpy()).astype(np.float64)
         p, u = x[pdf["p"].to_numpy() == 1], x[pdf["u"].to_numpy()]
         mean, scale, w = x.mean(0), x.std(0) + 1e-3, np.zeros(WIDTH + 1)
         if len(p) and len(u):
@@ -110,7 +127,7 @@ def fit(train: DataFrame, positive_ids: DataFrame, positives: int = 3000, unlabe
             w = fit_nn_pu(p, u, estimated_prior(seen(p), seen(u)))
         return pd.DataFrame({"model": [np.concatenate([mean, scale, w]).tolist()]})
 
-    model = drawn.groupBy(F.lit("all")).applyInPandas(train_one, "model array<double>").collect()
+    model = sample.groupBy(F.lit("all")).applyInPandas(train_one, "model array<double>").collect()
     flat = np.array(model[0].model) if model else np.concatenate([np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH + 1)])
     return flat[:WIDTH], flat[WIDTH : 2 * WIDTH], flat[2 * WIDTH :]
 
@@ -118,6 +135,7 @@ def fit(train: DataFrame, positive_ids: DataFrame, positives: int = 3000, unlabe
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], name: str = "score") -> DataFrame:
     """Adds the score to all columns of ``docs``."""
     names = [c for c in docs.columns if c != name]
+    kernel.small_batches(docs.sparkSession)
     kept = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ letters, becomes a lattice: an arc for each letter that a sign may stand for, fo
 and between the letters of a run one that goes on with the word and one that begins another. Viterbi finds the path
 that a character language model, and a price for each change, make likeliest, over words and runs of any length. The
 model counts character 4-grams over all texts. The restored text is then scored by a linear model over whole words and
-word beginnings, learned from a bounded sample of labelled rows; its features are drawn and counted in parallel.
+word beginnings, learned from up to 2 * ``most`` distinct texts of either label; their features are counted in parallel.
 
 Null and empty texts get the score of a text without features. Repeated rows and ties score alike; rows without id are
 scored like others and never trained on. Texts are read whole. Extra columns pass through, but for score, which is
@@ -185,7 +185,7 @@ def fit(train: DataFrame, labels: DataFrame, model: np.ndarray, most: int = 3000
         return np.zeros(0, np.uint64), np.array([-30.0])
     share = F.when(F.col("y") == 1, min(1.0, most / counts[1])).otherwise(min(1.0, most / max(counts.get(0, 0), 1)))
     some = labels.where("y in (0, 1)").where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) / float(1 << 20) < share).select("doc_id", "y").limit(4 * most)  # few enough to broadcast
-    drawn = train.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id").select("text", F.col("y").cast("int").alias("y"))
+    drawn = train.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id").select("text", F.col("y").cast("int").alias("y"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
     kept = train.sparkSession.sparkContext.broadcast(model)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,9 +196,12 @@ def fit(train: DataFrame, labels: DataFrame, model: np.ndarray, most: int = 3000
                 feats.append(f)
             pair = np.unique(np.stack([np.concatenate(rows).astype(np.uint64), np.concatenate(feats)], 1), axis=0)
             at = np.searchsorted(pair[:, 0], np.arange(len(batch) + 1))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(pair[:, 1].view(np.int64)))], names=["y", "features"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(pair[:, 1].view(np.int64)))], names=["y", "k1", "k2", "features"])
 
-    rows = kernel.stored(drawn.mapInArrow(extract, "y int, features array<long>"))
+    # an id may have any number of texts or copies: each text once, and of either label as many as are bounded
+    each = kernel.stored(drawn.mapInArrow(extract, "y int, k1 long, k2 long, features array<long>").groupBy("y", "k1", "k2").agg(F.first("features").alias("features")))
+    few = lambda y: each.where(F.col("y") == y).select("y", "k1", "k2").orderBy(F.xxhash64("k1", F.lit(3)), "k1", "k2").limit(2 * most)
+    rows = kernel.stored(each.join(F.broadcast(few(1).unionByName(few(0))), ["y", "k1", "k2"], "left_semi").select("y", "features"))
     total = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
     if not total.get(1):
         return np.zeros(0, np.uint64), np.array([-30.0])
@@ -214,7 +217,7 @@ def fit(train: DataFrame, labels: DataFrame, model: np.ndarray, most: int = 3000
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["y", "at"])
 
     def train_one(pdf: pd.DataFrame) -> pd.DataFrame:
-        """``pdf``: at most 4 * most rows of at most ``width`` kept features."""
+        """``pdf``: at most 4 * most texts of at most ``width`` kept features each."""
         pdf = pdf.assign(s=[",".join(map(str, x)) for x in pdf["at"]]).sort_values(["s", "y"], kind="stable")
         y = pdf["y"].to_numpy(float)
         ats = [np.append(np.asarray(x, np.int64), len(known)) for x in pdf["at"]]  # the constant last

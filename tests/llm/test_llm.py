@@ -475,6 +475,79 @@ def test_op8_crowded_formats_stay_distinct(spark):
     assert out[100].split()[-1] == out[101].split()[-1] != "Smith"
 
 
+def test_op8_one_surrogate_for_all_spellings(spark):
+    texts = [
+        "call +44 20 7946 0958 now", "call +442079460958 now", "call +44-20-7946-0958 now", "call +44 (0)20 7946 0958 now", "pay 4111111111111111 now", "pay 4111 1111 1111 1111 now",
+        "iban DE89370400440532013000 now", "iban DE89 3704 0044 0532 0130 00 now", "to Jo.Doe@Corp.com now", "to jo.doe@corp.com now", "Seen JOHN SMITH now", "Seen John Smith now",
+        "call (555) 123-4567 now", "call +1 555.123.4567 now", "token = ghp_abcdefghij0123456789KLMNOPQRSTUVWXYZ now", "key ghp_abcdefghij0123456789KLMNOPQRSTUVWXYZ now",
+    ]
+    by = {r.doc_id: r.text for r in pii.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
+    bare = lambda k: re.sub(r"^\w+ |^Seen | now$|token = |key |\(0\)|[ ().-]", "", by[k])
+    assert bare(0) == bare(1) == bare(2) == bare(3) != "+442079460958" and by[0].startswith("call +44 ") and "(0)" in by[3]
+    assert bare(4) == bare(5) != "4111111111111111" and bare(6) == bare(7) and bare(6)[:2] == "DE"
+    assert by[8] == by[9] and by[9].endswith(".example.com now") and by[10].lower() == by[11].lower() and by[10][5:-4].isupper()
+    assert bare(13) == "+1" + bare(12) and "ghp_" in by[14] and by[14].split()[-2] == by[15].split()[-2] != "ghp_abcdefghij0123456789KLMNOPQRSTUVWXYZ"
+
+
+def test_op8_finds_by_shape_and_context(spark):
+    marked = ["Dr. {O'Brien} came", "{JOHN SMITH} came", "my name is {alice cooper}.", "Dear {Priya Raman}, hello", "{Priya Raman} <{priya@site.org}> wrote", "ring {020 7946 0958} today", "ring {555 123 4567} today", "card {3782 822463 10005} ok", "host {2001:db8::1} up", "password is {hunter22} ok", "Authorization: Bearer {eyJhbGciOi1.eyJzdWIiOi2.SflKxwRJSM} ok", "key {ghp_abcdefghij0123456789KLMNOPQRSTUVWXYZ} ok"]
+    docs = spark.createDataFrame([(k, re.sub("[{}]", "", x)) for k, x in enumerate(marked)], "k long, text string")
+    for r in pii.replace_entities(docs, "k").collect():
+        raw, inside = marked[r.k], re.findall(r"\{(.*?)\}", marked[r.k])
+        parts = re.fullmatch(re.sub(r"\\\{.*?\\\}", "(.+?)", re.escape(raw)), r.text)
+        assert parts and all(new != old and len(new.split()) == len(old.split()) for new, old in zip(parts.groups(), inside)), r
+
+
+def test_op8_leaves_plain_prose(spark):
+    texts = ["my name is not on the list", "Bearer certificates were sold", "the token is lost", "std::vector a::b 12:30:45 1.2.3", "rows 100 200 3000 4000 5000", "password is needed", "New York and Los Angeles"]
+    got = pii.replace_entities(spark.createDataFrame(list(enumerate(texts)), "k long, text string"), "k").orderBy("k").collect()
+    assert [r.text for r in got] == texts and not any(r.n_entities for r in got)
+
+
+def test_op8_domains_stay_apart_and_reserved(spark):
+    domains = [f"{c}.com" for c in "abcdefghijklmnopqrstuvwxyz"] + ["example.com", "mail.example.com", "x.de"]
+    docs = spark.createDataFrame([(k, f"to me@{d} now") for k, d in enumerate(domains)], "k long, text string")
+    made = [r.text.split()[1].split("@")[1] for r in pii.replace_entities(docs, "k").collect()]
+    assert len(set(made)) == len(domains) and not set(made) & set(domains)
+    assert all(re.search(r"\.example(\.(com|net|org))?$", d) for d in made)
+
+
+def test_op8_key_of_the_session(spark):
+    docs = spark.createDataFrame([("mail jo@corp.example",)], "text string")
+    before = spark.conf.get(pii.KEY, None)
+    try:
+        spark.conf.set(pii.KEY, "one")
+        assert pii.session_key(spark) == "one"
+        one = pii.replace_entities(docs).first().text
+        spark.conf.unset(pii.KEY)
+        assert pii.replace_entities(docs).first().text != one and pii.session_key(spark) == pii.session_key(spark) != "one"
+    finally:
+        spark.conf.set(pii.KEY, before) if before else spark.conf.unset(pii.KEY)
+
+
+def test_op2_rows_without_id_spread(spark):
+    """The largest shard of very many equal pieces without id, and of one id, stays near its share."""
+    n = 100_000
+    for doc_id in ("cast(null as long)", "7L"):
+        pieces = kernel.stored(spark.range(n).selectExpr(f"{doc_id} as doc_id", "0 as piece", "0L as start", "cast(1 + id % 700 as long) as length", "5L as ids_crc32"))
+        out = packing.pack(pieces, per_shard=5000).withColumn("shard", F.col("sequence_id") % 20)
+        sizes = [r["count"] for r in out.groupBy("shard").count().collect()]
+        assert sum(sizes) == n and len(sizes) == 20 and max(sizes) < 6000
+        bins = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
+        assert bins.where("n <> end or n > 2048").isEmpty() and bins.count() < 1.01 * -(-sum(1 + k % 700 for k in range(n)) // 2048) + 20
+
+
+@pytest.mark.parametrize("doc_id", ["cast(null as long)", "7L"])
+def test_fits_stay_bounded_for_repeated_ids(spark, doc_id):
+    """Very many rows of one id or of none: the tasks that fit hold no more than the stated number of texts."""
+    texts = spark.range(100_000).selectExpr(f"{doc_id} as doc_id", "case when id % 2 = 0 then 'same words again and again' else concat('words of number ', id) end as text")
+    ids = spark.createDataFrame([(7, 1)], "doc_id long, y int")
+    mean, _, w = quality.fit(texts, ids.select("doc_id"), positives=50, unlabelled=80)
+    assert len(w) == quality.WIDTH + 1 and np.isfinite(w).all()
+    known, weights = toxicity.fit(texts, ids, toxicity.character_model(texts), most=50)
+    assert len(known) + 1 == len(weights) and np.isfinite(weights).all()
+
+
 @pytest.mark.parametrize("block,span", [(7, 2), (1, 3), (1 << 20, 1024)])
 def test_op10_scan_across_blocks(spark, tmp_path, block, span):
     rng = np.random.default_rng(3)
