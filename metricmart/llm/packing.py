@@ -30,13 +30,14 @@ CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = 0, with_ids: bool = False) -> DataFrame:
-    """One row for each piece of each document: its place in the document, length and checksum, and its ids if asked for."""
+def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = 0, with_ids: bool = False, keep: int = 600_000) -> DataFrame:
+    """One row for each piece of each document: its place in the document, length and checksum, and its ids if asked for.
+    ``keep``: words whose ids a worker remembers (some 200 bytes each)."""
     path = tokenizer or default_tokenizer()
     small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(path)
+        encoder = ChunkEncoder(path, keep)
         for batch in batches:
             doc_id = batch.column(0).to_numpy(zero_copy_only=False)
             null = np.asarray(batch.column(0).is_null())
