@@ -14,9 +14,9 @@ from metricmart.session import folder
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table as a stream; further files of that name pattern would be further micro-batches."""
+    """A table as a stream, whether it is one file or a folder of files; files added to a folder are further micro-batches."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")  # as a pattern, since a path alone would have to be a folder
 
 
 def appended(stream: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+import metricmart.plans.stream_queries  # noqa: F401  registers
+from metricmart.plans.registry import QUERIES
 from metricmart.streaming import tables
 
 
@@ -40,3 +42,16 @@ def test_first_contents_once(spark, tmp_path):
     stream = _stream(spark, f"file://{tmp_path}/in", [[("a", 1, 1), ("b", 1, 1)], [("a", 2, 2), ("c", 3, 3)]], "k string, t long, v long")
     once = tables.appended(stream.select(F.sha2("k", 256).alias("h")).dropDuplicates(["h"]))
     assert once.count() == once.distinct().count() == 3
+
+
+def test_tables_of_one_file_and_of_many(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None)], "doc_id long, text string").repartition(3)
+    at = f"file://{tmp_path}"
+    rows.write.parquet(f"{at}/many/documents.parquet")
+    rows.coalesce(1).write.parquet(f"{at}/one")
+    (tmp_path / "single").mkdir()
+    next((tmp_path / "one").glob("*.parquet")).rename(tmp_path / "single" / "documents.parquet")
+    rows.write.parquet(f"{at}/single/labels.parquet")  # another table beside it
+    for folder in ("many", "single"):
+        assert tables.appended(tables.read_table(spark, f"{at}/{folder}", "documents")).count() == 4
+        assert QUERIES["stream_content_skip"](spark, f"{at}/{folder}").count() == 3
