@@ -82,7 +82,8 @@ def expired(stream: DataFrame, key: str, time: str, delay: str, hours: int) -> t
                     last, n = None, 0
                 last, n = t if last is None else max(last, t), n + 1
             state.update((last, n))
-            state.setTimeoutTimestamp(max((last + gap) // 1000, state.getCurrentWatermarkMs() + 1))
+            # timers fire once the watermark is beyond them, and a key is due when the watermark reaches last + gap
+            state.setTimeoutTimestamp(max((last + gap - 1) // 1000, state.getCurrentWatermarkMs() + 1))
         if done:
             yield pd.DataFrame(done, columns=[key, "last_seen", "expired_at", "n"])
 

@@ -126,3 +126,11 @@ def test_bounded_dedupe_counts_late_rows(spark, tmp_path):
     assert sorted(r.id for r in run.rows().collect()) == [1, 2, 3, 5, 6]
     assert run.late == 1  # (4, 1:00) came when the watermark stood at 4:00
     assert kept[-1] == 1 < 5  # state of the others is gone
+
+
+def test_timer_due_at_the_watermark(spark, tmp_path):
+    rows = [("a", T(0)), ("b", T(0) + dt.timedelta(milliseconds=1)), ("c", T(0) + dt.timedelta(microseconds=1)), ("z", T(11))]
+    for stream in _files(spark, f"file://{tmp_path}/in", [rows], "k string, t timestamp"):
+        made, s = state.expired(stream, "k", "t", "1 hour", 10)
+        gone = state.Run.new(spark, s).go(made)
+    assert {(r.k, r.expired_at) for r in gone.rows().collect()} == {("a", T(10))}  # the watermark stands at 10:00
