@@ -23,9 +23,10 @@ def uppercase_ratio(x: Column) -> Column:
     return F.coalesce(F.round(F.try_divide(upper.cast("double"), letters.cast("double")), 6), F.lit(0.0))
 
 
-def lexicon_score(x: Column, terms: tuple[str, ...]) -> Column:
-    """Share of terms that stand in the text, times 100."""
-    hits = sum((F.when(F.contains(F.lower(x), F.lit(t)), 1).otherwise(0) for t in terms), F.lit(0))
+def lexicon_score(x: Column, terms: tuple[str, ...], low: Column | None = None) -> Column:
+    """Share of terms that stand in the text, times 100. ``low``: the text in lower case, where a column has it already."""
+    low = F.lower(x) if low is None else low
+    hits = sum((F.when(F.contains(low, F.lit(t)), 1).otherwise(0) for t in terms), F.lit(0))
     return F.round(hits * 100.0 / len(terms), 4)
 
 

@@ -21,9 +21,10 @@ TITLE_WORDS = {
 }
 
 
-def title_patterns(title: Column, has_number: Column, has_question: Column, hook: Column, ai: Column, finance: Column) -> Column:
-    """All patterns of a title in their order; ``unknown`` alone if there is none. NULL inputs hold nothing."""
-    low = F.lower(title)
+def title_patterns(title: Column, has_number: Column, has_question: Column, hook: Column, ai: Column, finance: Column, low: Column | None = None) -> Column:
+    """All patterns of a title in their order; ``unknown`` alone if there is none. NULL inputs hold nothing. ``low``: the
+    title in lower case, where a column has it already."""
+    low = F.lower(title) if low is None else low
     rules = [("numbered_list", has_number), ("question", has_question), ("warning", hook == "warning")]
     for name, words in TITLE_WORDS.items():
         held = F.lit(False)

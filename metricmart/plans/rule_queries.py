@@ -24,12 +24,12 @@ patterns as (select *, case when len(found) = 0 then ['unknown'] else found end
 
 
 def _titled(spark, sf):
-    d = table(spark, sf, "documents")
-    x = F.col("text")
-    lex = {k: T.lexicon_score(x, v) for k, v in T.LEXICON.items()}
-    d = d.select("doc_id", "source", "n_chars", "text", *[v.alias(k) for k, v in lex.items()])
+    d = table(spark, sf, "documents").select("doc_id", "source", "n_chars", "text", F.lower("text").alias("low"))  # once a text
+    x, low = F.col("text"), F.col("low")
+    lex = {k: T.lexicon_score(x, v, low) for k, v in T.LEXICON.items()}
+    d = d.select("doc_id", "source", "n_chars", "text", "low", *[v.alias(k) for k, v in lex.items()])
     hook = F.when(T.arg_max({k: F.col(k) for k in T.LEXICON}) == "legal", "warning")
-    return d.withColumn("patterns", N.title_patterns(x, x.rlike("[0-9]"), F.contains(x, F.lit("?")), hook, F.col("motion"), F.col("insult")))
+    return d.withColumn("patterns", N.title_patterns(x, x.rlike("[0-9]"), F.contains(x, F.lit("?")), hook, F.col("motion"), F.col("insult"), low)).drop("low")
 
 
 @register(f"with {_PATTERN_LIST} select doc_id, patterns[1] as title_pattern_primary, array_to_string(patterns, '|') as title_patterns from patterns")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from metricmart.plans import rule_queries
 from metricmart.functions import titles as N
 from metricmart.sources import runs
 
@@ -49,3 +50,11 @@ def test_deltas_with_missing_fields(spark, tmp_path):
     got = {r.entity_id: r for r in runs.read_deltas(spark, f"file://{tmp_path}/d.jsonl").collect()}
     assert set(got) == {1, 3} and (got[1].views_delta, got[1].likes_delta, got[1].is_new, got[1].tags_changed) == (5, None, True, False) and got[3].views_delta is None
     assert runs.read_deltas(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_texts_are_lowered_once(spark, tmp_path):
+    """Rules on the same text share its lower case, so that the work per text doesn't grow with their number."""
+    spark.createDataFrame([(1, "A nuevo ERROR", "s", 13)], "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    d = rule_queries._titled(spark, str(tmp_path))
+    assert d._jdf.queryExecution().optimizedPlan().toString().lower().count("lower(text") == 1
+    assert d.first().patterns == ["mistake", "new_tool", "semantic_ai_tool"]
