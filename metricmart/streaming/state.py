@@ -1,7 +1,7 @@
 """Keyed state in Spark's state store: differences, expiry by event timers, exactly-once contents.
 
-State is kept by key where the stream runs, so a micro-batch touches only the keys that came, and what a restart reads is
-the checkpoint. Sinks are files in append mode.
+State is kept by key (differences: by bucket of keys) where the stream runs, so a micro-batch touches only the keys or
+buckets that came, and what a restart reads is the checkpoint. Sinks are files in append mode.
 """
 
 from __future__ import annotations
@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -46,22 +47,62 @@ class Run:
         return self.spark.read.schema(self.schema).parquet(self.sink)
 
 
-def differences(stream: DataFrame, key: str, time: str, id_: str, value: str) -> tuple[DataFrame, str]:
-    """(key, id, delta) of each row: its value less that of the key's row before (by time, then id), NULL for the first
-    or where either is NULL. The state of a key is its last value. A key's rows of one micro-batch are sorted in one
-    task, so the stream's trigger (maxFilesPerTrigger) bounds them. Rows come in order of time from batch to batch."""
-    types = dict(stream.dtypes)
+def _typed(values: np.ndarray, none: np.ndarray):
+    """Numbers as pandas arrays that keep whole numbers whole and NULL apart from NaN; other values hold their own NULLs."""
+    array = {"i": pd.arrays.IntegerArray, "f": pd.arrays.FloatingArray}.get(values.dtype.kind)
+    return array(values, none) if array else values
 
-    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(parts)).sort_values([time, id_], kind="stable")
-        values = [None if pd.isna(x) else float(x) for x in pdf[value]]
-        before = [state.get[0] if state.exists else None, *values[:-1]]
-        delta = [None if a is None or b is None else b - a for a, b in zip(before, values)]
-        state.update((values[-1],))
-        yield pd.DataFrame({key: [k[0]] * len(pdf), id_: pdf[id_].to_numpy(), "delta": pd.array(delta, "Float64")})
 
+def _ranks(values: pd.Series) -> np.ndarray:
+    """Numbers in the order of the values, NULLs last."""
+    if values.dtype.kind in "ifM":
+        return values.to_numpy()
+    codes, names = pd.factorize(values, sort=True)
+    return np.where(codes < 0, len(names), codes)
+
+
+def differences(stream: DataFrame, key: str, time: str, id_: str, value: str, buckets: int = 1024) -> tuple[DataFrame, str]:
+    """(key, id, delta) of each row: its value less that of the key's row before (by time, then id, NULLs last), NULL for
+    the first or where either is NULL. The state is each key's last value, by buckets of keys: a call of Python costs
+    milliseconds, so a micro-batch makes one for a bucket and not for each key, and rewrites the state of the buckets
+    that came. ``buckets`` belongs to the checkpoint. A bucket's rows of one micro-batch are sorted in one task, so the
+    stream's trigger (maxFilesPerTrigger) bounds them. Rows come in order of time from batch to batch."""
+    types, whole = dict(stream.dtypes), ("tinyint", "smallint", "int", "bigint")
+
+    def filled(c: str) -> Column:  # pandas would turn whole numbers with NULLs into doubles
+        return F.coalesce(c, F.lit(0).cast(types[c])) if types[c] in whole else F.col(c)
+
+    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(parts), ignore_index=True)
+        if k[0] < 0:  # all rows have the one key that is NULL or NaN
+            codes, names = np.zeros(len(pdf), "int64"), [None]
+        else:
+            codes, names = pd.factorize(pdf["key"])
+            names = names.tolist()
+        order = np.lexsort((_ranks(pdf["id"]), pdf["no_id"].to_numpy(), _ranks(pdf["time"]), codes))
+        key_, id_s, no_id, x, null = (pdf[c].to_numpy()[order] for c in ("key", "id", "no_id", "x", "no_x"))
+        first = np.diff(codes[order], prepend=-1) > 0
+        last = np.append(first[1:], True)
+        before, none = np.append(0.0, x[:-1]), np.append(True, null[:-1])
+        kept = dict(zip(*state.get)) if state.exists else {}
+        old = [kept.get(name) for name in names]  # in order of the codes, as the first rows are
+        before[first], none[first] = [0.0 if v is None else v for v in old], [v is None for v in old]
+        kept.update(zip(names, (None if n else v for v, n in zip(x[last].tolist(), null[last].tolist()))))
+        state.update((list(kept), list(kept.values())))
+        with np.errstate(invalid="ignore"):
+            delta = x - before
+        yield pd.DataFrame({key: _typed(key_, np.full(len(pdf), k[0] == -1)), id_: _typed(id_s, no_id), "delta": _typed(delta, null | none)})
+
+    alone = F.when(F.col(key).isNull(), -1)
+    alone = alone.when(F.isnan(key), -2) if types[key] in ("float", "double") else alone
+    at = F.unix_micros(time) if types[time] == "timestamp" else F.col(time)
+    rows = stream.select(
+        alone.otherwise(F.pmod(F.xxhash64(key), F.lit(buckets))).alias("bucket"), filled(key).alias("key"),
+        F.coalesce(at.cast("long"), F.lit(2**63 - 1)).alias("time") if types[time] in ("timestamp", *whole) else at.alias("time"),
+        filled(id_).alias("id"), F.col(id_).isNull().alias("no_id"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("x"), F.col(value).isNull().alias("no_x"),
+    )
     schema = f"{key} {types[key]}, {id_} {types[id_]}, delta double"
-    return stream.select(key, time, id_, value).groupBy(key).applyInPandasWithState(step, schema, "last double", "append", GroupStateTimeout.NoTimeout), schema
+    return rows.groupBy("bucket").applyInPandasWithState(step, schema, f"keys array<{types[key]}>, last array<double>", "append", GroupStateTimeout.NoTimeout), schema
 
 
 def expired(stream: DataFrame, key: str, time: str, delay: str, hours: int) -> tuple[DataFrame, str]:
@@ -100,10 +141,10 @@ def first_within(stream: DataFrame, keys: list[str], time: str, delay: str) -> D
 
 def in_slices(df: DataFrame, time: str, slices: int) -> Iterator[DataFrame]:
     """A table as a stream whose files come in ``slices`` parts of falling age: after each part the stream is handed out,
-    to be run over what is new. Rows without a time come first."""
+    to be run over what is new. Rows without a time come last, as SQL orders them."""
     spark, at = df.sparkSession, folder(df.sparkSession)
-    us = F.coalesce(F.unix_micros(time), F.lit(0))
-    cuts = sorted(set(df.select(us.alias("us")).approxQuantile("us", [k / slices for k in range(1, slices)], 0.01)))
+    us = F.coalesce(F.unix_micros(time), F.lit(2**63 - 1))
+    cuts = sorted(set(df.select(F.unix_micros(time).alias("us")).approxQuantile("us", [k / slices for k in range(1, slices)], 0.01)))
     for lo, hi in zip([None, *cuts], [*cuts, None]):
         part = F.lit(True) if lo is None else us > lo
         df.where(part if hi is None else part & (us <= hi)).write.mode("append").parquet(at)

@@ -1,10 +1,14 @@
 """Streams that come in several micro-batches give what one batch gives."""
 
+import math
+from datetime import datetime, timedelta
+
+import duckdb
 from pyspark.sql import functions as F
 
 import metricmart.plans.stream_queries  # noqa: F401  registers
-from metricmart.plans.registry import QUERIES
-from metricmart.streaming import tables
+from metricmart.plans.registry import ORACLE_SQL, QUERIES
+from metricmart.streaming import state, tables
 
 
 def _stream(spark, at, batches, schema):
@@ -55,3 +59,50 @@ def test_tables_of_one_file_and_of_many(spark, tmp_path):
     for folder in ("many", "single"):
         assert tables.appended(tables.read_table(spark, f"{at}/{folder}", "documents")).count() == 4
         assert QUERIES["stream_content_skip"](spark, f"{at}/{folder}").count() == 3
+
+
+def test_state_delta_calls_python_by_bucket(spark, tmp_path):
+    # a call for each key and micro-batch took hours of CPU; state rows are groups that were called
+    at, run, schema = f"file://{tmp_path}/in", None, "k long, id long, t long, v double"
+    for b in range(2):
+        spark.range(3000).selectExpr("id as k", f"id + {3000 * b} as id", f"{b} as t", f"cast(id * {b + 1} as double) as v").selectExpr("k", "id", "cast(t as long) as t", "v").coalesce(1).write.mode("append").parquet(at)
+        rows, s = state.differences(spark.readStream.schema(schema).parquet(at), "k", "t", "id", "v")
+        run = (run or state.Run.new(spark, s)).go(rows)
+    assert 0 < run.kept <= 1024
+    got = {(r.k, r.id): r.delta for r in run.rows().collect()}
+    assert got == {(k, k): None for k in range(3000)} | {(k, k + 3000): float(k) for k in range(3000)}
+
+
+def test_state_delta_keeps_odd_values(spark, tmp_path):
+    big, nan = 2**60 + 1, math.nan  # a double can't hold the id
+    batches = [
+        [(big, big, 1, 1.0), (None, 2, 1, 5.0), (0, None, 2, 3.0), (0, 3, 2, None), (7, 4, 1, nan), (8, 5, None, 2.0), (8, 6, 1, 1.0)],
+        [(big, big + 2, 3, 4.0), (None, None, 3, 7.0), (0, 7, 4, 9.0), (7, 8, 3, 1.0), (8, 9, 3, 6.0), (9, 10, 3, math.inf), (9, 11, 4, math.inf)],
+    ]
+    want = {(big, big): None, (None, 2): None, (0, 3): None, (0, None): None, (7, 4): None, (8, 6): None, (8, 5): 1.0}
+    want |= {(big, big + 2): 3.0, (None, None): 2.0, (0, 7): 6.0, (7, 8): "nan", (8, 9): 4.0, (9, 10): None, (9, 11): "nan"}
+    stream = _stream(spark, f"file://{tmp_path}/in", batches, "k long, id long, t long, v double")
+    for buckets in (1, 1024):
+        rows, s = state.differences(stream, "k", "t", "id", "v", buckets)
+        got = {(r.k, r.id): "nan" if r.delta is not None and math.isnan(r.delta) else r.delta for r in state.Run.new(spark, s).go(rows).rows().collect()}
+        assert got == want
+
+
+def test_state_delta_of_other_keys(spark, tmp_path):
+    for n, (kind, a, b) in enumerate([("string", "x", None), ("double", 1.5, math.nan), ("timestamp", datetime(2024, 1, 1), datetime(2024, 7, 1))]):
+        stream = _stream(spark, f"file://{tmp_path}/{n}", [[(a, "i", 1, 1), (b, "j", 1, 2)], [(a, "k", 2, 4), (b, None, 2, 8)]], f"k {kind}, id string, t int, v int")
+        rows, s = state.differences(stream, "k", "t", "id", "v", 2)
+        got = {(str(r.k), r.id): r.delta for r in state.Run.new(spark, s).go(rows).rows().collect()}
+        assert got == {(str(a), "i"): None, (str(b), "j"): None, (str(a), "k"): 3.0, (str(b), None): 6.0}
+
+
+def test_state_delta_without_times_as_in_sql(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    rows = [(i, None if i % 7 == 3 else start + timedelta(minutes=i), None if i % 5 == 4 else i % 5, "view", None if i % 11 == 6 else i * 0.5, "{}") for i in range(200)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(2).write.parquet(f"file://{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(f"select user_id, event_id, delta from ({ORACLE_SQL['stream_state_delta']})").fetchall()
+    got = [(r.user_id, r.event_id, r.delta) for r in QUERIES["stream_state_delta"](spark, f"file://{tmp_path}").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
