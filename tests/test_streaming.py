@@ -62,7 +62,7 @@ def test_tables_of_one_file_and_of_many(spark, tmp_path):
 
 
 def test_state_delta_calls_python_by_bucket(spark, tmp_path):
-    # a call for each key and micro-batch took hours of CPU; state rows are groups that were called
+    # a row of state is a group that was called, at some milliseconds each
     at, run, schema = f"file://{tmp_path}/in", None, "k long, id long, t long, v double"
     for b in range(2):
         spark.range(3000).selectExpr("id as k", f"id + {3000 * b} as id", f"{b} as t", f"cast(id * {b + 1} as double) as v").selectExpr("k", "id", "cast(t as long) as t", "v").coalesce(1).write.mode("append").parquet(at)
