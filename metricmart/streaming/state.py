@@ -1,6 +1,6 @@
 """Keyed state in Spark's state store: differences, expiry by event timers, exactly-once contents.
 
-State is kept by key (differences: by bucket of keys) where the stream runs, so a micro-batch touches only the keys or
+State is kept by key or by bucket of keys where the stream runs, so a micro-batch touches only the keys or
 buckets that came, and what a restart reads is the checkpoint. Sinks are files in append mode.
 """
 
@@ -61,24 +61,40 @@ def _ranks(values: pd.Series) -> np.ndarray:
     return np.where(codes < 0, len(names), codes)
 
 
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def _filled(types: dict[str, str], c: str) -> Column:
+    """Without NULLs where pandas would turn whole numbers into doubles for them."""
+    return F.coalesce(c, F.lit(0).cast(types[c])) if types[c] in _WHOLE else F.col(c)
+
+
+def _bucket(types: dict[str, str], key: str, buckets: int) -> Column:
+    """The bucket a key falls in; NULL and NaN have their own below 0."""
+    alone = F.when(F.col(key).isNull(), -1)
+    alone = alone.when(F.isnan(key), -2) if types[key] in ("float", "double") else alone
+    return alone.otherwise(F.pmod(F.xxhash64(key), F.lit(buckets)))
+
+
+def _codes(bucket: int, keys: pd.Series) -> tuple[np.ndarray, list]:
+    """The keys numbered from 0, and each number's key."""
+    if bucket < 0:  # all rows have the one key that is NULL or NaN
+        return np.zeros(len(keys), "int64"), [None]
+    codes, names = pd.factorize(keys)
+    return codes, names.tolist()
+
+
 def differences(stream: DataFrame, key: str, time: str, id_: str, value: str, buckets: int = 1024) -> tuple[DataFrame, str]:
     """(key, id, delta) of each row: its value less that of the key's row before (by time, then id, NULLs last), NULL for
     the first or where either is NULL. The state is each key's last value, by buckets of keys: a call of Python costs
     milliseconds, so a micro-batch makes one for a bucket and not for each key, and rewrites the state of the buckets
     that came. ``buckets`` belongs to the checkpoint. A bucket's rows of one micro-batch are sorted in one task, so the
     stream's trigger (maxFilesPerTrigger) bounds them. Rows come in order of time from batch to batch."""
-    types, whole = dict(stream.dtypes), ("tinyint", "smallint", "int", "bigint")
-
-    def filled(c: str) -> Column:  # pandas would turn whole numbers with NULLs into doubles
-        return F.coalesce(c, F.lit(0).cast(types[c])) if types[c] in whole else F.col(c)
+    types = dict(stream.dtypes)
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(parts), ignore_index=True)
-        if k[0] < 0:  # all rows have the one key that is NULL or NaN
-            codes, names = np.zeros(len(pdf), "int64"), [None]
-        else:
-            codes, names = pd.factorize(pdf["key"])
-            names = names.tolist()
+        codes, names = _codes(k[0], pdf["key"])
         order = np.lexsort((_ranks(pdf["id"]), pdf["no_id"].to_numpy(), _ranks(pdf["time"]), codes))
         key_, id_s, no_id, x, null = (pdf[c].to_numpy()[order] for c in ("key", "id", "no_id", "x", "no_x"))
         first = np.diff(codes[order], prepend=-1) > 0
@@ -93,44 +109,60 @@ def differences(stream: DataFrame, key: str, time: str, id_: str, value: str, bu
             delta = x - before
         yield pd.DataFrame({key: _typed(key_, np.full(len(pdf), k[0] == -1)), id_: _typed(id_s, no_id), "delta": _typed(delta, null | none)})
 
-    alone = F.when(F.col(key).isNull(), -1)
-    alone = alone.when(F.isnan(key), -2) if types[key] in ("float", "double") else alone
     at = F.unix_micros(time) if types[time] == "timestamp" else F.col(time)
     rows = stream.select(
-        alone.otherwise(F.pmod(F.xxhash64(key), F.lit(buckets))).alias("bucket"), filled(key).alias("key"),
-        F.coalesce(at.cast("long"), F.lit(2**63 - 1)).alias("time") if types[time] in ("timestamp", *whole) else at.alias("time"),
-        filled(id_).alias("id"), F.col(id_).isNull().alias("no_id"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("x"), F.col(value).isNull().alias("no_x"),
+        _bucket(types, key, buckets).alias("bucket"), _filled(types, key).alias("key"),
+        F.coalesce(at.cast("long"), F.lit(2**63 - 1)).alias("time") if types[time] in ("timestamp", *_WHOLE) else at.alias("time"),
+        _filled(types, id_).alias("id"), F.col(id_).isNull().alias("no_id"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("x"), F.col(value).isNull().alias("no_x"),
     )
     schema = f"{key} {types[key]}, {id_} {types[id_]}, delta double"
     return rows.groupBy("bucket").applyInPandasWithState(step, schema, f"keys array<{types[key]}>, last array<double>", "append", GroupStateTimeout.NoTimeout), schema
 
 
-def expired(stream: DataFrame, key: str, time: str, delay: str, hours: int) -> tuple[DataFrame, str]:
-    """(key, last_seen, expired_at, n) of each key that wasn't seen for ``hours`` of event time, once its timer is passed
-    by the watermark; it starts anew if it comes again. Each row sets the timer on. Rows without a time are left out."""
+def expired(stream: DataFrame, key: str, time: str, delay: str, hours: int, buckets: int = 1024) -> tuple[DataFrame, str]:
+    """(key, last_seen, expired_at, n) of each key that wasn't seen for ``hours`` of event time, once the watermark reaches
+    that time; it starts anew if it comes again. State lies by buckets of keys, as that of ``differences``, and a bucket's
+    timer stands at the first of its keys that is due. Rows without a time are left out."""
     types, gap = dict(stream.dtypes), hours * 3_600_000_000  # times are microseconds below
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, n = state.get if state.exists else (None, 0)
-        done = []
-        if state.hasTimedOut:
-            state.remove()
-            done.append((k[0], last, last + gap, n))
-        else:
-            for t in sorted(pd.concat([p["us"] for p in parts]).tolist()):
-                if last is not None and t - last >= gap:  # its timer was due before this row
-                    done.append((k[0], last, last + gap, n))
-                    last, n = None, 0
-                last, n = t if last is None else max(last, t), n + 1
-            state.update((last, n))
+        kept = {name: (last, n) for name, last, n in zip(*state.get)} if state.exists else {}
+        done, mark = [], state.getCurrentWatermarkMs()
+        if not state.hasTimedOut:
+            pdf = pd.concat(list(parts), ignore_index=True)
+            codes, names = _codes(k[0], pdf["key"])
+            order = np.lexsort((pdf["us"].to_numpy(), codes))
+            code, t = codes[order], pdf["us"].to_numpy()[order]
+            first = np.diff(code, prepend=-1) > 0
+            old = [kept.get(name, (at, 0)) for name, at in zip(names, t[first].tolist())]
+            seen, count = (np.array(x, "int64") for x in zip(*old))  # by code; a new key counts from its first row
+            before = np.where(first, seen[code], np.maximum(seen[code], np.append(0, t[:-1])))
+            due = t - before >= gap  # the key's timer was due before this row
+            begins = np.flatnonzero(first | due)  # of rows that belong together
+            last, n, who = t[np.append(begins[1:], len(t)) - 1], np.diff(np.append(begins, len(t))), code[begins]
+            goes_on = first[begins] & ~due[begins]
+            last, n = np.where(goes_on, np.maximum(last, seen[who]), last), n + np.where(goes_on, count[who], 0)
+            done += [(names[c], int(seen[c]), int(count[c])) for c in code[first & due]]
+            final = np.append(who[1:] != who[:-1], True)
+            done += [(names[c], l, m) for c, l, m in zip(who[~final], last[~final].tolist(), n[~final].tolist())]
+            kept.update((names[c], (l, m)) for c, l, m in zip(who[final], last[final].tolist(), n[final].tolist()))
+        done += [(name, last, n) for name, (last, n) in kept.items() if last + gap <= mark * 1000]
+        kept = {name: x for name, x in kept.items() if x[0] + gap > mark * 1000}
+        if kept:
+            state.update((list(kept), *map(list, zip(*kept.values()))))
             # timers fire once the watermark is beyond them, and a key is due when the watermark reaches last + gap
-            state.setTimeoutTimestamp(max((last + gap - 1) // 1000, state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max((min(last for last, _ in kept.values()) + gap - 1) // 1000, mark + 1))
+        elif state.exists:
+            state.remove()
         if done:
-            yield pd.DataFrame(done, columns=[key, "last_seen", "expired_at", "n"])
+            names, last, n = zip(*done)
+            yield pd.DataFrame({key: list(names), "last_seen": last, "expired_at": [x + gap for x in last], "n": n})
 
-    marked = stream.where(F.col(time).isNotNull()).select(key, time, F.unix_micros(time).alias("us")).withWatermark(time, delay).groupBy(key)
-    rows = marked.applyInPandasWithState(step, f"{key} {types[key]}, last_seen long, expired_at long, n long", "last long, n long", "append", GroupStateTimeout.EventTimeTimeout)
-    return rows.select(key, F.timestamp_micros("last_seen").alias("last_seen"), F.timestamp_micros("expired_at").alias("expired_at"), "n"), f"{key} {types[key]}, last_seen timestamp, expired_at timestamp, n long"
+    rows = stream.where(F.col(time).isNotNull()).select(_bucket(types, key, buckets).alias("bucket"), _filled(types, key).alias("key"), time, F.unix_micros(time).alias("us"))
+    made = rows.withWatermark(time, delay).groupBy("bucket").applyInPandasWithState(
+        step, f"{key} {types[key]}, last_seen long, expired_at long, n long", f"keys array<{types[key]}>, last array<long>, n array<long>", "append", GroupStateTimeout.EventTimeTimeout
+    )
+    return made.select(key, F.timestamp_micros("last_seen").alias("last_seen"), F.timestamp_micros("expired_at").alias("expired_at"), "n"), f"{key} {types[key]}, last_seen timestamp, expired_at timestamp, n long"
 
 
 def first_within(stream: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:

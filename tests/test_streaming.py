@@ -1,6 +1,7 @@
 """Streams that come in several micro-batches give what one batch gives."""
 
 import math
+import random
 from datetime import datetime, timedelta
 
 import duckdb
@@ -106,3 +107,32 @@ def test_state_delta_without_times_as_in_sql(spark, tmp_path):
     want = con.execute(f"select user_id, event_id, delta from ({ORACLE_SQL['stream_state_delta']})").fetchall()
     got = [(r.user_id, r.event_id, r.delta) for r in QUERIES["stream_state_delta"](spark, f"file://{tmp_path}").collect()]
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_timers_call_python_by_bucket(spark, tmp_path):
+    at, run = f"file://{tmp_path}/in", None
+    for h in (0, 5):
+        spark.range(3000).selectExpr("id as k", f"timestamp_seconds({h} * 3600 + id) as t").coalesce(1).write.mode("append").parquet(at)
+        rows, s = state.expired(spark.readStream.schema("k long, t timestamp").parquet(at), "k", "t", "1 hour", 10)
+        run = (run or state.Run.new(spark, s)).go(rows)
+    assert run.rows().count() == 0 and 0 < run.kept <= 1024
+
+
+def test_timers_share_a_bucket(spark, tmp_path):
+    """Many keys on one timer, over several micro-batches, with rows that follow after an end, ties, NULL keys and times."""
+    draw, start, gap = random.Random(7), datetime(2024, 1, 1), timedelta(hours=10)
+    rows = sorted((start + timedelta(minutes=draw.randrange(14_400)), draw.choice([-1, *range(40)])) for _ in range(600))
+    rows = [(None if k < 0 else 2**60 + k, t) for t, k in rows]
+    batches = [rows[i : i + 100] + [(3, None)] for i in range(0, 600, 100)]
+    stream = _stream(spark, f"file://{tmp_path}/in", batches, "k long, t timestamp")
+    want, mark = [], max(t for _, t in rows) - timedelta(hours=1)
+    for key in {k for k, _ in rows}:
+        times = [t for k, t in rows if k == key]
+        ends = [i for i in range(len(times)) if i + 1 == len(times) or times[i + 1] - times[i] >= gap]
+        for a, b in zip([-1, *ends], ends):
+            if times[b] + gap <= mark:
+                want.append((key, times[b], times[b] + gap, b - a))
+    for buckets in (1, 3, 1024):
+        made, s = state.expired(stream, "k", "t", "1 hour", 10, buckets)
+        got = [(r.k, r.last_seen, r.expired_at, r.n) for r in state.Run.new(spark, s).go(made).rows().collect()]
+        assert len(want) > 100 and sorted(map(str, got)) == sorted(map(str, want))
