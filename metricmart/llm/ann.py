@@ -7,8 +7,9 @@ neighbours, which blocks of vectors walk together. A query reads the lists whose
 of its nearest. Both ratios are measured, not guessed: the first is that at which sampled vectors lie in ``replicas``
 lists on average, the second the least at which sampled vectors find the share ``recall`` of their true neighbours in
 the sample in some list. So clustered vectors read few lists, and vectors without structure as many as they need; no
-cap decides. Neighbouring lists are read together, as a shard, and a shard that grew too long in several parts. Every
-vector is indexed; distances are exact on the original vectors, so only the choice of lists is approximate.
+cap decides. Neighbouring lists are read together, as a shard, and a shard that grew too long in several parts. A query
+goes once to each shard it asks, with the numbers of its lists there. Every vector is indexed; distances are exact on the
+original vectors, so only the choice of lists is approximate.
 
 Vectors that are null, zero, or hold null or non-finite components take no part. Vectors of one dimension are searched
 among themselves. Null ids take no part; of a repeated id the smallest vector counts. Ties go to the smaller id.
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from metricmart.llm.kernel import stored
 
 OUT = "query_id long, rank int, vec_id long, score double"
+AT_ONCE = 1 << 20  # numbers that an assignment to lists holds at once, in each of its few arrays
 
 
 def usable(vector: Column) -> Column:
@@ -75,7 +77,12 @@ def measured_ratios(x: np.ndarray, centroids: np.ndarray, k: int, recall: float,
     if len(centroids) < 2 or len(x) < 3:
         return 1.0, 1.0
     rng = np.random.default_rng(seed)
-    near_all = np.sort(_ratios(x[rng.permutation(len(x))[:2048]], centroids), axis=None)
+    some = rng.permutation(len(x))[:2048]
+    near_all = np.empty((len(some), len(centroids)))
+    for lo in range(0, len(some), 128):
+        near_all[lo : lo + 128] = _ratios(x[some[lo : lo + 128]], centroids)
+    near_all = near_all.ravel()
+    near_all.sort()
     boundary = float(near_all[min(len(near_all), max(1, int(min(len(x), 2048) * replicas))) - 1])
     need = []
     for i in rng.permutation(len(x))[:asked].tolist():
@@ -88,7 +95,8 @@ def measured_ratios(x: np.ndarray, centroids: np.ndarray, k: int, recall: float,
 
 
 class CentroidGraph:
-    """Each centroid linked with its nearest ones and some far ones; blocks of vectors walk it together, best first."""
+    """Each centroid linked with its nearest ones and some far ones; blocks of vectors walk it together, best first. A
+    vector that asks for a large share of all centroids is compared with all."""
 
     def __init__(self, centroids: np.ndarray, degree: int = 16):
         self.x, n = centroids, len(centroids)
@@ -123,23 +131,31 @@ class CentroidGraph:
             active, best, todo = active[more], best[more], todo[more]
             r, c = np.nonzero(todo)
             opened[active[r], best[r, c]] = True
-            to = self.links[best[r, c]]
-            pairs = np.unique((active[r][:, None] * n + to).ravel())
-            rows, at = pairs // n, pairs % n
-            unseen = ~np.isfinite(found[rows, at])
-            rows, at = rows[unseen], at[unseen]
-            found[rows, at] = self._evaluate(q, rows, at)
+            step = max(1, AT_ONCE // self.links.shape[1])  # the centroids that most are near to have hundreds of links
+            for lo in range(0, len(r), step):
+                rs, cs = r[lo : lo + step], c[lo : lo + step]
+                pairs = np.unique((active[rs][:, None] * n + self.links[best[rs, cs]]).ravel())
+                rows, at = pairs // n, pairs % n
+                unseen = ~np.isfinite(found[rows, at])
+                rows, at = rows[unseen], at[unseen]
+                found[rows, at] = self._evaluate(q, rows, at)
         order = np.argsort(found, axis=1, kind="stable")[:, :breadth]
         return order, np.sqrt(np.take_along_axis(found, order, 1))
 
     def within(self, q: np.ndarray, ratio: float, breadth: int = 8) -> tuple[np.ndarray, np.ndarray]:
         """(row of ``q``, centroid) for all centroids within ``ratio`` of the nearest; a row's search widens until one
-        lies beyond."""
-        rows, lists, left = [], [], np.arange(len(q))
+        lies beyond, or until it comes near a walk over all."""
+        rows, lists, left, n = [], [], np.arange(len(q)), len(self.x)
         while len(left):
+            if 16 * breadth >= n:  # a walk would meet nearly all
+                d = np.sqrt(self._evaluate(q, np.repeat(left, n), np.tile(np.arange(n), len(left)))).reshape(-1, n)
+                r, c = np.nonzero(d <= ratio * d.min(1, keepdims=True) + 1e-12)
+                rows.append(left[r])
+                lists.append(c)
+                break
             at, d = self.search(q[left], breadth)
             inside = d <= ratio * d[:, :1] + 1e-12
-            done = ~inside[:, -1] | (at.shape[1] >= len(self.x))
+            done = ~inside[:, -1]
             r, c = np.nonzero(inside & done[:, None])
             rows.append(left[r])
             lists.append(at[r, c])
@@ -147,21 +163,57 @@ class CentroidGraph:
         return (np.concatenate(rows), np.concatenate(lists)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _assigner(graph, ratio: float, block: int = 512):
+def _assigned(graph: CentroidGraph, batch: pa.RecordBatch, ratio: float) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Parts of a batch of rows (id, v), each with (row of the part, list) for the lists within ``ratio``, by row."""
+    block = max(1, min(512, AT_ONCE // len(graph.x)))
+    for lo in range(0, len(batch), block):
+        part = batch.slice(lo, block)
+        q = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1).astype(np.float64)
+        with np.errstate(over="ignore", invalid="ignore"):
+            rows, lists = graph.within(q, ratio)
+        order = np.lexsort((lists, rows))
+        yield part, rows[order], lists[order]
+
+
+def _at_once(batch: pa.RecordBatch) -> int:
+    """Rows with a vector in a batch of output: a few MB, however many lists a vector lies in."""
+    return max(1, AT_ONCE * len(batch) // max(1, len(batch.column(1).flatten())) // 2)
+
+
+def _poster(graph, ratio: float):
     """mapInArrow function: rows (id, v) to (list, id, v) for each list of a vector."""
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = graph.value
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = _at_once(batch)
+            for part, rows, lists in _assigned(graph.value, batch, ratio):
+                for lo in range(0, len(rows), most):
+                    at = pa.array(rows[lo : lo + most])
+                    yield pa.RecordBatch.from_arrays([pa.array(lists[lo : lo + most], pa.int32()), part.column(0).take(at), part.column(1).take(at)], names=["list", "id", "v"])
+
+    return post
+
+
+def _asker(graph, ratio: float, shards: int):
+    """mapInArrow function: rows (id, v) to (shard, lists, id, v) for each shard that a query asks: its vector goes there
+    once, whatever number of lists it reads."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(graph.value.x)
         for batch in batches:
-            for lo in range(0, len(batch), block):
-                part = batch.slice(lo, block)
-                q = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1).astype(np.float64)
-                with np.errstate(over="ignore", invalid="ignore"):
-                    rows, lists = g.within(q, ratio)
-                at = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), part.column(0).take(at), part.column(1).take(at)], names=["list", "id", "v"])
+            most = _at_once(batch)
+            for part, rows, lists in _assigned(graph.value, batch, ratio):
+                shard = lists.astype(np.int64) * shards // n
+                begins = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (shard[1:] != shard[:-1])]) if len(rows) else np.zeros(0, np.int64)
+                ends = np.append(begins, len(rows))
+                for lo in range(0, len(begins), most):
+                    first = begins[lo : lo + most]
+                    cuts = ends[lo : lo + len(first) + 1]
+                    own = pa.ListArray.from_arrays(pa.array(cuts - cuts[0], pa.int32()), pa.array(lists[cuts[0] : cuts[-1]], pa.int32()))
+                    at = pa.array(rows[first])
+                    yield pa.RecordBatch.from_arrays([pa.array(shard[first], pa.int32()), own, part.column(0).take(at), part.column(1).take(at)], names=["shard", "lists", "id", "v"])
 
-    return assign
+    return ask
 
 
 def _distances(v: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -175,8 +227,9 @@ def _distances(v: np.ndarray, one: np.ndarray) -> np.ndarray:
     return d
 
 
-def postings(vectors: DataFrame, queries: DataFrame, n: int, k: int, sample: int, per_list: int, replicas: float, recall: float) -> tuple[DataFrame, DataFrame, int]:
-    """(list, id, v) of all vectors and of the queries, and the number of lists. Lists near each other have near numbers."""
+def _dealt(vectors: DataFrame, queries: DataFrame, n: int, k: int, sample: int, per_list: int, replicas: float, recall: float, part: int) -> tuple[DataFrame, DataFrame, int, int]:
+    """(list, id, v) of all vectors, (shard, lists, id, v) of the queries, and the numbers of lists and shards.
+    Lists near each other have near numbers."""
     spark, dim = vectors.sparkSession, len(vectors.first().v)
     picked = vectors.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) / float(1 << 20) < sample / n).limit(2 * sample)
 
@@ -192,26 +245,46 @@ def postings(vectors: DataFrame, queries: DataFrame, n: int, k: int, sample: int
     finite = lambda c, other: float(found[c].iloc[0]) if len(found) and np.isfinite(found[c].iloc[0]) else other
     if not np.isfinite(centroids).all():
         centroids = np.zeros((1, dim))
+    lists = len(centroids)
+    shards = max(1, min(lists, -(-int(n * replicas) // part)))  # neighbouring lists together, so a query meets few
     graph = spark.sparkContext.broadcast(CentroidGraph(centroids))
-    out = "list int, id long, v array<double>"
-    posted = vectors.mapInArrow(_assigner(graph, finite("boundary", 1.0)), out)
-    asked = queries.mapInArrow(_assigner(graph, finite("ratio", np.inf)), out)
-    return stored(posted), stored(asked), len(centroids)
+    posted = vectors.mapInArrow(_poster(graph, finite("boundary", 1.0)), "list int, id long, v array<double>")
+    asked = queries.mapInArrow(_asker(graph, finite("ratio", np.inf), shards), "shard int, lists array<int>, id long, v array<double>")
+    return stored(posted), stored(asked), lists, shards
+
+
+def postings(vectors: DataFrame, queries: DataFrame, n: int, k: int, sample: int, per_list: int, replicas: float, recall: float, part: int = 16_384) -> tuple[DataFrame, DataFrame, int]:
+    """(list, id, v) of all vectors and of the queries, and the number of lists: what is kept and read, a row a list."""
+    posted, asked, lists, _ = _dealt(vectors, queries, n, k, sample, per_list, replicas, recall, part)
+    return posted, asked.select(F.explode("lists").alias("list"), "id", "v"), lists
+
+
+def _nearest_once(query: np.ndarray, near: np.ndarray, far: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` nearest of each query by distance and then id; a vector of several lists counts once."""
+    order = np.lexsort((near, far, query))
+    query, near, far = query[order], near[order], far[order]
+    once = np.r_[True, (query[1:] != query[:-1]) | (near[1:] != near[:-1])] if len(query) else np.zeros(0, bool)
+    query, near, far = query[once], near[once], far[once]
+    best = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[best], near[best], far[best]
 
 
 def _search(k: int, dim: int, cells: int = 1 << 21):
     """Cogrouped function: the ``k`` nearest vectors of a shard for each query, over the lists it asks for."""
 
-    def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        order = np.lexsort((t.column("id").to_numpy(), t.column("list").to_numpy()))
-        v = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
-        return t.column("list").to_numpy()[order], t.column("id").to_numpy()[order], v[order]
+    def matrix(t: pa.Table) -> np.ndarray:
+        return t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64, copy=False)
 
     def search(asked: pa.Table, posted: pa.Table) -> pa.Table:
-        query, near, far = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        out, held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
         if asked.num_rows and posted.num_rows:
-            ql, qi, q = matrix(asked)
-            xl, xi, x = matrix(posted)
+            own = asked.column("lists").combine_chunks()
+            ql, at = own.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(asked.num_rows), own.value_lengths().to_numpy(zero_copy_only=False))
+            qi, q = asked.column("id").to_numpy(), matrix(asked)
+            order = np.lexsort((qi[at], ql))
+            ql, at = ql[order], at[order]  # lists asked, and the query's row
+            order = np.lexsort((posted.column("id").to_numpy(), posted.column("list").to_numpy()))
+            xl, xi, x = posted.column("list").to_numpy()[order], posted.column("id").to_numpy()[order], matrix(posted)[order]
             with np.errstate(over="ignore", invalid="ignore"):
                 qq, xx = (q**2).sum(1), (x**2).sum(1)
                 for one in np.unique(ql).tolist():
@@ -219,7 +292,7 @@ def _search(k: int, dim: int, cells: int = 1 << 21):
                     a, b = np.searchsorted(ql, [one, one + 1])
                     step = max(1, cells // max(hi - lo, 1))
                     for s in range(a, b if hi > lo else a, step):
-                        r = slice(s, min(b, s + step))
+                        r = at[s : min(b, s + step)]
                         d = qq[r, None] - 2 * q[r] @ x[lo:hi].T + xx[None, lo:hi]
                         slack = 1e-9 * (qq[r] + xx[lo:hi].max())  # far more than the products' rounding
                         if np.isfinite(d).all() and hi - lo > k + 1:
@@ -227,33 +300,30 @@ def _search(k: int, dim: int, cells: int = 1 << 21):
                         else:
                             keep = np.ones(d.shape, bool)
                         row, col = np.nonzero(keep)
-                        for at in range(0, len(row), cells // 16):
-                            part = slice(at, at + cells // 16)
-                            query.append(qi[r][row[part]])
-                            near.append(xi[lo:hi][col[part]])
-                            far.append(_distances(q[r][row[part]], x[lo:hi][col[part]]))
-        query, near, far = np.concatenate(query), np.concatenate(near), np.concatenate(far)
-        other = query != near
-        query, near, far = query[other], near[other], far[other]
-        order = np.lexsort((near, far, query))
-        query, near, far = query[order], near[order], far[order]
-        once = np.r_[True, (query[1:] != query[:-1]) | (near[1:] != near[:-1])] if len(query) else np.zeros(0, bool)  # a vector of several lists
-        query, near, far = query[once], near[once], far[once]
-        best = np.arange(len(query)) - np.searchsorted(query, query) < k
-        return pa.table({"query_id": query[best], "vec_id": near[best], "score": far[best]})
+                        for p in range(0, len(row), cells // 16):
+                            rs, cs = r[row[p : p + cells // 16]], lo + col[p : p + cells // 16]
+                            other = qi[rs] != xi[cs]
+                            rs, cs = rs[other], cs[other]
+                            out.append((qi[rs], xi[cs], _distances(q[rs], x[cs])))
+                            held += len(rs)
+                        if held > cells:
+                            out = [_nearest_once(*map(np.concatenate, zip(*out)), k)]
+                            held = 0
+        query, near, far = _nearest_once(*map(np.concatenate, zip(*out)), k)
+        return pa.table({"query_id": query, "vec_id": near, "score": far})
 
     return search
 
 
 def _nearest(vectors: DataFrame, queries: DataFrame, n: int, k: int, sample: int, per_list: int, replicas: float, recall: float, part: int) -> DataFrame:
-    posted, asked, lists = postings(vectors, queries, n, k, sample, per_list, replicas, recall)
-    shards = max(1, min(lists, -(-int(n * replicas) // part)))  # neighbouring lists together, so a query meets few
+    posted, asked, lists, shards = _dealt(vectors, queries, n, k, sample, per_list, replicas, recall, part)
+    asks = max(1, -(-queries.count() // part))  # parts of the queries, so that a task's queries are bounded as its vectors are
     shard = F.floor(F.col("list").cast("long") * shards / lists).cast("int")
     sizes = posted.groupBy(shard.alias("shard")).agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
-    posted = posted.withColumn("shard", shard).join(sizes, "shard").select("shard", "list", "id", "v", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
-    asked = asked.withColumn("shard", shard).join(sizes, "shard").select("shard", "list", "id", "v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    posted = posted.withColumn("shard", shard).join(sizes, "shard").select("shard", "list", "id", "v", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("ask"))
+    asked = asked.join(sizes, "shard").select("shard", "lists", "id", "v", F.pmod(F.xxhash64("id"), F.lit(asks)).cast("int").alias("ask"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     dim = len(vectors.first().v)
-    pairs = asked.groupBy("shard", "part").cogroup(posted.groupBy("shard", "part")).applyInArrow(_search(k, dim), "query_id long, vec_id long, score double")
+    pairs = asked.groupBy("shard", "part", "ask").cogroup(posted.groupBy("shard", "part", "ask")).applyInArrow(_search(k, dim), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     best = pairs.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

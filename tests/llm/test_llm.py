@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -395,6 +396,28 @@ def test_op6_graph_finds_nearest_centroids():
     assert len(found & true) > 0.97 * len(true) and len(found) == len(rows)
 
 
+def test_op6_assignment_is_bounded():
+    """Thousands of lists, of which a query reads half: neither the walk nor a batch of output grows with them."""
+    rng = np.random.default_rng(8)
+    g = ann.CentroidGraph(rng.normal(size=(2000, 16)))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(256)), pa.array(rng.normal(size=(256, 16)).tolist())], names=["id", "v"])
+
+    class Value:
+        value = g
+
+    tracemalloc.start()
+    out = list(ann._asker(Value, 2.2, 40)([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    pairs = {(i, l) for b in out for i, own in zip(b.column("id").to_pylist(), b.column("lists").to_pylist()) for l in own}
+    x = np.array(batch.column("v").to_pylist())
+    d = np.sqrt(((x[:, None] - g.x[None]) ** 2).sum(2))
+    true = {(i, l) for i, l in zip(*(k.tolist() for k in np.nonzero(d <= 2.2 * d.min(1, keepdims=True))))}
+    assert len(true) > 256 * 500 and pairs == true
+    assert sum(b.num_rows for b in out) <= 256 * 40 and all(b.num_rows * 16 <= ann.AT_ONCE for b in out)
+    assert peak < 160e6  # a walk over so many held 1,051 MB
+
+
 def test_op6_hot_vector(spark):
     """A third of all rows hold one vector: parts of a shard, all ties by id."""
     rng = np.random.default_rng(3)
