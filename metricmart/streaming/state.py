@@ -151,7 +151,7 @@ def expired(stream: DataFrame, key: str, time: str, delay: str, hours: int, buck
         if kept:
             state.update((list(kept), *map(list, zip(*kept.values()))))
             # timers fire once the watermark is beyond them, and a key is due when the watermark reaches last + gap
-            state.setTimeoutTimestamp(max((min(last for last, _ in kept.values()) + gap - 1) // 1000, mark + 1))
+            state.setTimeoutTimestamp(max((min(last for last, _ in kept.values()) + gap - 1) // 1000, 1))  # never before the watermark
         elif state.exists:
             state.remove()
         if done:

@@ -136,3 +136,13 @@ def test_timers_share_a_bucket(spark, tmp_path):
         made, s = state.expired(stream, "k", "t", "1 hour", 10, buckets)
         got = [(r.k, r.last_seen, r.expired_at, r.n) for r in state.Run.new(spark, s).go(made).rows().collect()]
         assert len(want) > 100 and sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_timers_due_a_millisecond_later(spark, tmp_path):
+    """The watermark stands less than a millisecond before a key's end, and then moves by one."""
+    start, ms = datetime(2024, 1, 1), timedelta(milliseconds=1)
+    batches = [[(1, start + timedelta(microseconds=500)), (2, start + timedelta(hours=11))], [(2, start + timedelta(hours=11) + ms)]]
+    for buckets in (1, 1024):
+        made, s = state.expired(_stream(spark, f"file://{tmp_path}/{buckets}", batches, "k long, t timestamp"), "k", "t", "1 hour", 10, buckets)
+        got = [tuple(r) for r in state.Run.new(spark, s).go(made).rows().collect()]
+        assert got == [(1, batches[0][0][1], batches[0][0][1] + timedelta(hours=10), 1)]
